@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, ledger, mixing, splitter, terms
-from orrery.plans.type_sql import keys
+from orrery.llm import bpe, ledger, mixing, splitter, survivors, terms
+from orrery.plans.type_sql import NAME, keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": ledger.written_type_copies,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": splitter.all_pieces,
     "p4_found": terms.terms_found,
     "p4_terms": terms.marked_terms,
+    "p5_found": survivors.best_rows,
+    "p5_survivors": survivors.type_survivors,
     "p7_ids": bpe.encoded_documents,
     "p8_mix": mixing.training_order,
     "p8_shares": mixing.reached_shares,
@@ -33,6 +35,19 @@ p4 AS (SELECT c.*, CASE WHEN records < min_records THEN 'rare' WHEN records > ma
   FROM counts c JOIN totals USING (table_name) JOIN term_limits USING (table_name))
 """
 
+_P5 = f"""WITH tnames AS (SELECT *, {NAME} AS s FROM types),
+{keys("SELECT s FROM tnames")},
+counts AS (SELECT struct_id, count(DISTINCT id) AS members FROM struct_members GROUP BY struct_id),
+braces AS (SELECT id, regexp_replace(source, '[^{{}}]', '', 'g') AS b FROM types),
+chars AS (SELECT id, unnest(string_split(b, '')) AS c, generate_subscripts(string_split(b, ''), 1) AS i FROM braces WHERE b <> ''),
+depth AS (SELECT id, sum(CASE c WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY id ORDER BY i) AS d FROM chars WHERE i >= 1),
+whole AS (SELECT DISTINCT id FROM depth WHERE d = 0),
+p5 AS (SELECT full_key, t.id, t.loaded_at, coalesce(members, 0) AS members, t.id IN (SELECT id FROM whole) AS whole
+  FROM tnames t JOIN k USING (s) LEFT JOIN counts c ON c.struct_id = t.id),
+best AS (SELECT full_key, count(*) AS n, min(id) AS first_id, arg_max(id, (members, loaded_at, -id)) AS members_from_id,
+  arg_max(id, (loaded_at, -id)) FILTER (whole) AS source_from_id FROM p5 GROUP BY full_key)
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": _P1
     + """, least AS (SELECT id, min(id) OVER (PARTITION BY full_key) AS first_id FROM type_references JOIN k ON s = type_string)
@@ -43,5 +58,6 @@ FROM type_references JOIN k ON s = type_string GROUP BY full_key""",
     "p2_found": """SELECT DISTINCT table_name, id AS row_id FROM types, split_limits WHERE table_name = 'types' AND length(source) > max_chars
 UNION SELECT table_name, id FROM function_bodies, split_limits WHERE table_name = 'function_bodies' AND length(fully_qualified_name) > max_chars""",
     "p4_found": _P4 + "SELECT table_name, term, mark FROM p4 WHERE mark IS NOT NULL",
+    "p5_found": _P5 + "SELECT first_id, members_from_id, source_from_id FROM best WHERE n > 1",
     "p4_terms": _P4 + "SELECT table_name, term, occurrences, records, mark FROM p4",
 }
