@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, ledger, mixing, splitter, survivors, terms
+from orrery.llm import bpe, ledger, mixing, splitter, subjects, survivors, terms
 from orrery.plans.type_sql import NAME, keys
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_ids": bpe.encoded_documents,
     "p8_mix": mixing.training_order,
     "p8_shares": mixing.reached_shares,
+    "p9_found": subjects.subjects_found,
+    "p9_composition": subjects.composition,
 }
 
 _P1 = f"WITH {keys('SELECT type_string AS s FROM type_references')}"
