@@ -447,7 +447,7 @@ def _enum(source: str, line: int) -> Definition | None:
     if end > start:
         at = start + 1
         for part in split_top(source[start + 1 : end], ",", "{}"):
-            if m := re.match(r"^\s*([a-zA-Z_]\w*)\s*(?:=\s*(.*?))?\s*$", part, re.S):
+            if m := re.match(r"^\s*([a-zA-Z_][a-zA-Z0-9_]*)\s*(?:=\s*(.*?))?\s*$", part, re.S):
                 out.values.append((m[1], m[2] or "", line + source.count("\n", 0, at)))
             at += len(part) + 1
     return out

@@ -14,19 +14,27 @@ def _escape(text: str) -> str:
     return "".join(f"\\{c}" if not (c.isalnum() or c in "_ ") else c for c in text)
 
 
+_SPACE = r"[\s\p{Z}]"
+
+
+def trimmed(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+
+
 def strip_comments(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(?s)/\*.*?\*/", ""), r"//[^\r\n]*", "")
 
 
 def normalize_type(c: Column) -> Column:
     """One space between words, none before ``*``, ``&`` and ``>``; blank gives an empty string."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), " (?=[*&>])", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, f"{_SPACE}+", " "), " (?=[*&>])", ""))
 
 
 def base_type_name(c: Column) -> Column:
     """No ``*`` and ``&`` at the end, no leading const, no template arguments, no namespace."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"[*&\s]+$", ""), r"^const ", ""))
-    bare = F.trim(F.regexp_replace(bare, r"(?s)(?<=.)<.*$", ""))
+    bare = trimmed(F.regexp_replace(F.regexp_replace(trimmed(c), r"[*&\s\p{Z}]+$", ""), r"^const ", ""))
+    bare = trimmed(F.regexp_replace(bare, r"(?s)(?<=.)<.*$", ""))
     return F.regexp_replace(bare, r"(?s)^.*::(?=.)", "")
 
 
@@ -196,7 +204,7 @@ def cache_key(model: Column, temperature: Column, prompt: Column) -> Column:
 
 def without_fences(answer: Column) -> Column:
     """An answer without the lines that open or close a block of code."""
-    return F.trim(F.array_join(F.filter(F.split(answer, "\n"), lambda x: ~F.ltrim(x).startswith("```")), "\n"))
+    return trimmed(F.array_join(F.filter(F.split(answer, "\n"), lambda x: ~F.ltrim(x).startswith("```")), "\n"))
 
 
 def verdict(answer: Column) -> Column:

@@ -32,32 +32,44 @@ def type_alignment(alignment: Column, base_name: Column) -> Column:
     return F.coalesce(alignment, F.when(S.is_sized_primitive(base_name), own).otherwise(4))
 
 
+def _by_string(text: Column, named: Column) -> Column:
+    """The size a type string has by itself; null if it names a type of the catalog."""
+    base = S.base_type_name(text)
+    star = F.coalesce(S.trimmed(text).endswith("*"), F.lit(False))
+    return F.when((F.coalesce(F.length(text), F.lit(0)) == 0) | star, 4).when(S.is_sized_primitive(base), S.primitive_size(base)).when(named.isNull(), 4)
+
+
 def member_parts(members: DataFrame, references: DataFrame, types: DataFrame) -> DataFrame:
-    """Members with what their size depends on: fixed (bytes, if known by itself), part_id (a struct), count, pointer_like."""
-    refs = references.select(F.col("id").alias("type_reference_id"), "referenced_type_id", F.col("is_pointer").alias("_p"), F.col("is_array").alias("_a"), F.col("array_size").alias("_n"), F.col("type_string").alias("_s")).withColumn("_ref", F.lit(True))
+    """Members with what their size depends on: fixed (bytes, if known by itself) or part_id (a type), and count.
+
+    An id without a type has no bytes.  What has no bytes aligns as its type string says: alt_fixed or alt_id.
+    """
+    refs = references.select(F.col("id").alias("type_reference_id"), "referenced_type_id", F.col("is_pointer").alias("_p"), F.col("is_array").alias("_a"), F.col("array_size").alias("_n"), F.col("type_string").alias("_s"))
     named = types.where(F.length("stored_fully_qualified_name") > 0).groupBy(F.col("stored_fully_qualified_name").alias("_text")).agg(F.min("id").alias("_named"))
-    rows = members.join(refs, "type_reference_id", "left")
-    array = F.coalesce(F.col("_a"), F.lit(False))
-    pointer = F.coalesce(F.col("_p"), F.lit(False))
-    text = F.when(array & F.col("_ref"), F.col("_s")).otherwise(F.col("type_string"))
-    rows = rows.withColumn("_text", F.when(F.col("referenced_type_id").isNull(), text)).join(named, "_text", "left")
-    star = F.coalesce(F.rtrim(text).endswith("*"), F.lit(False))
-    by_string = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 4).when(star, 4).when(S.is_sized_primitive(S.base_type_name(text)), S.primitive_size(S.base_type_name(text))).when(F.col("_named").isNull(), 4)
-    fixed = F.when(F.col("is_function_pointer") | pointer, 4).when(F.col("referenced_type_id").isNull(), by_string)
-    plain_pointer = ~F.col("is_function_pointer") & pointer & ~array
+    there = types.select(F.col("id").alias("referenced_type_id")).distinct().withColumn("_there", F.lit(True))
+    array, pointer, called = F.coalesce(F.col("_a"), F.lit(False)), F.coalesce(F.col("_p"), F.lit(False)), F.coalesce(F.col("is_function_pointer"), F.lit(False))
+    rows = members.join(refs, "type_reference_id", "left").join(there, "referenced_type_id", "left")
+    rows = rows.withColumn("_text", F.when(F.col("referenced_type_id").isNull(), F.when(array, F.col("_s")).otherwise(F.col("type_string")))).join(named, "_text", "left")
+    rows = rows.join(named.select(F.col("_text").alias("type_string"), F.col("_named").alias("_own")), "type_string", "left")
+    by_id = F.when(F.col("referenced_type_id").isNotNull() & F.col("_there").isNull(), 0)
+    fixed = F.when(called | pointer, 4).when(F.col("referenced_type_id").isNull(), _by_string(F.col("_text"), F.col("_named"))).otherwise(by_id)
     return rows.select(
         "struct_id", "id", "name", "decl_order", "bit_width", "alignment", fixed.alias("fixed"), F.when(fixed.isNull(), F.coalesce("referenced_type_id", "_named")).alias("part_id"),
-        F.when(F.col("is_function_pointer") | ~array, 1).otherwise(F.coalesce("_n", F.lit(1))).alias("count"), array.alias("array"), plain_pointer.alias("plain_pointer"),
+        F.when(called | ~array, 1).otherwise(F.coalesce("_n", F.lit(1))).alias("count"), (array & ~called).alias("array"), (~called & pointer & ~array).alias("plain_pointer"),
+        _by_string(F.col("type_string"), F.col("_own")).alias("alt_fixed"), F.col("_own").alias("alt_id"),
     )
 
 
 def _sized(parts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``parts`` with size and align, where the sizes of their structs are known; null where they aren't."""
+    """``parts`` with size and align, where the sizes of their types are known; null where they aren't."""
     joined = parts.join(sizes.select(F.col("id").alias("part_id"), F.col("size").alias("_size")), "part_id", "left")
+    alt = F.when(F.coalesce("fixed", "_size") == 0, F.col("alt_id"))
+    joined = joined.withColumn("_alt", alt).join(sizes.select(F.col("id").alias("_alt"), F.col("size").alias("_alt_size")), "_alt", "left")
     element = F.coalesce("fixed", "_size")
     counted = F.when(F.col("array") & (element == 0), 1).otherwise(element) * F.col("count")
-    align = F.coalesce("alignment", F.when(F.col("plain_pointer"), 4).otherwise(_alignment_of_size(F.when(element == 0, 4).otherwise(element))))
-    return joined.withColumn("size", counted).withColumn("align", F.when(element.isNotNull(), align)).drop("_size")
+    shown = F.when(element == 0, F.coalesce("alt_fixed", "_alt_size", F.lit(4))).otherwise(element)
+    align = F.coalesce("alignment", F.when(F.col("plain_pointer"), 4).otherwise(_alignment_of_size(shown)))
+    return joined.withColumn("size", counted).withColumn("align", F.when(element.isNotNull(), align)).drop("_size", "_alt", "_alt_size")
 
 
 def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, bases: DataFrame, longest: int = 200) -> DataFrame:

@@ -21,21 +21,22 @@ from orrery.plans.shared import hot_keys, join_to_keys
 from orrery.sources.tables import table
 
 
-def orphans(references: DataFrame, parents: DataFrame, removals: DataFrame, ways: int = 64) -> DataFrame:
-    """The rows of ``references`` whose parent is missing, deleted or late.
+def orphans(references: DataFrame, parents: DataFrame, removals: DataFrame, keep: tuple[str, ...] = ("table_name",), ways: int = 64) -> DataFrame:
+    """row_id, at, state and the columns ``keep`` of the rows of ``references`` whose parent is missing, deleted or late.
 
-    ``references`` has ``_key`` (any type), ``at`` (when it was loaded) and ``row_id`` besides columns of its own; ``parents``
-    has ``_key`` and ``since``; ``removals`` has ``_key``.  A null ``_key`` refers to nothing and gives no row.  A null ``at`` or
-    ``since`` is never late.  Repeated references are all judged; repeated parents and removals count once.
+    ``references`` has ``_key`` (a string), ``row_id`` and ``at`` (when it was loaded); ``parents`` has ``_key`` and ``since``; ``removals`` has
+    ``_key``.  Other columns don't matter, whatever their names.  A null ``_key`` refers to nothing and gives no row.  A null ``at`` or
+    ``since`` is never late; a parent exists from its earliest ``since``, ties make no difference.  Repeated references are all judged,
+    repeated parents and removals count once.  Empty tables are tables without parents, removals or references.
     """
-    facts = parents.select("_key", F.col("since"), F.lit(1).alias("here"), F.lit(0).alias("gone")).unionByName(
-        removals.select("_key", F.lit(None).cast("timestamp_ntz").alias("since"), F.lit(0).alias("here"), F.lit(1).alias("gone"))
+    facts = parents.select("_key", F.col("since").alias("_since"), F.lit(1).alias("_here"), F.lit(0).alias("_gone")).unionByName(
+        removals.select("_key", F.lit(None).cast("timestamp_ntz").alias("_since"), F.lit(0).alias("_here"), F.lit(1).alias("_gone"))
     )
-    intervals = facts.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("since").alias("since"), F.max("here").alias("here"), F.max("gone").alias("gone"))
-    asked = references.where(F.col("_key").isNotNull())
-    hot = hot_keys(asked.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", "n")
-    state = F.when(F.col("here") == 1, F.when(F.col("since") > F.col("at"), "late")).when(F.col("gone") == 1, "deleted").otherwise("missing")
-    return join_to_keys(asked, intervals, "_key", "row_id", hot, "left", ways).withColumn("state", state).where(F.col("state").isNotNull()).drop("_key", "since", "here", "gone")
+    intervals = facts.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_since").alias("_since"), F.max("_here").alias("_here"), F.max("_gone").alias("_gone"))
+    asked = references.select("_key", "row_id", "at", *keep).where(F.col("_key").isNotNull())
+    hot = hot_keys(asked.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "_key", "_n")
+    state = F.when(F.col("_here") == 1, F.when(F.col("_since") > F.col("at"), "late")).when(F.col("_gone") == 1, "deleted").otherwise("missing")
+    return join_to_keys(asked, intervals, "_key", "row_id", hot, "left", ways).select("row_id", "at", *keep, state.alias("state")).where(F.col("state").isNotNull())
 
 
 def written_references(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,14 +146,37 @@ def with_comments(texts: DataFrame, comments: DataFrame) -> DataFrame:
     return texts.join(comments, "full_name", "left").select("id", "full_name", F.concat(F.coalesce(shown, F.lit("")), F.col("content")).alias("content"))
 
 
-def term_hits(terms: DataFrame, bodies: DataFrame, most: int = 20) -> DataFrame:
-    """enum_id, body_id, hits: for each enum the functions that mention most of its terms (enum_id, term), as a top-``most`` report.
+def term_hits(terms: DataFrame, bodies: DataFrame, text: str, most: int = 20, block: int = 50_000) -> DataFrame:
+    """owner_id, body_id, hits: for each owner of terms (owner_id, term) the texts (id, ``text``) that contain most of its terms, as a
+    top-``most`` report.  Terms are literal, without regard to case; blank ones don't count.
 
-    Terms are looked up among the words of a text, so neither side is multiplied by the other.
+    The terms are the stated set: they go out in blocks of ``block``, each as one automaton that a text passes once, so no term is paired
+    with a text that doesn't contain it.
     """
-    words = bodies.select(F.col("id").alias("body_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body_text"), F.lit(r"\w+"), F.lit(0)))).alias("word"))
-    asked = terms.select("enum_id", F.lower("term").alias("word")).where(F.length("word") > 0).distinct()
-    hits = words.join(asked, "word").groupBy("enum_id", "body_id").agg(F.count(F.lit(1)).alias("hits"))
+    import ahocorasick
+    import pandas as pd
     from pyspark.sql.window import Window as W
 
-    return hits.withColumn("_n", F.row_number().over(W.partitionBy("enum_id").orderBy(F.desc("hits"), "body_id"))).where(F.col("_n") <= most).drop("_n")
+    asked = terms.select("owner_id", F.lower("term").alias("term")).where(F.length(F.trim("term")) > 0).distinct()
+    words = asked.select("term").distinct()
+    spark, parts = terms.sparkSession, []
+    n = words.count()
+    numbered = words.withColumn("_b", F.pmod(F.xxhash64("term"), F.lit(-(-n // block) or 1)))
+    for b in range(-(-n // block)):
+        automaton = ahocorasick.Automaton()
+        for (word,) in numbered.where(F.col("_b") == b).select("term").collect():
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        shared = spark.sparkContext.broadcast(automaton)
+
+        def find(batches, shared=shared):
+            for rows in batches:
+                got = [(i, w) for i, t in zip(rows.body_id, rows.text) if t for w in {w for _, w in shared.value.iter(t)}]
+                yield pd.DataFrame(got, columns=["body_id", "term"])
+
+        parts.append(bodies.select(F.col("id").alias("body_id"), F.lower(text).alias("text")).mapInPandas(find, "body_id bigint, term string"))
+    if not parts:
+        return spark.createDataFrame([], "owner_id bigint, body_id bigint, hits bigint")
+    found = reduce(DataFrame.unionByName, parts).distinct()
+    hits = found.join(asked, "term").groupBy("owner_id", "body_id").agg(F.count(F.lit(1)).alias("hits"))
+    return hits.withColumn("_n", F.row_number().over(W.partitionBy("owner_id").orderBy(F.desc("hits"), "body_id"))).where(F.col("_n") <= most).drop("_n")

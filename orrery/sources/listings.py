@@ -88,7 +88,7 @@ def statics_of(line: Column) -> Column:
 
 
 def references_of(text: Column) -> Column:
-    return F.element_at(_listed(f"array<{REFERENCE}>", lambda t: [cpp.reference(t)])(text), 1)
+    return F.get(_listed(f"array<{REFERENCE}>", lambda t: [cpp.reference(t)])(text), 0)
 
 
 def parameters_of(text: Column) -> Column:
@@ -102,7 +102,7 @@ def signature_of(text: Column) -> Column:
         s = cpp.parse_signature(t)
         return [{"name": s.name, "returns": s.returns, "convention": s.convention, "signature": s.normalized, "parameters": _parameters(s)}] if s else []
 
-    return F.element_at(_listed(f"array<struct<name: string, returns: string, convention: string, signature: string, parameters: {_PARAMETERS}>>", read)(text), 1)
+    return F.get(_listed(f"array<struct<name: string, returns: string, convention: string, signature: string, parameters: {_PARAMETERS}>>", read)(text), 0)
 
 
 def member_names_of(source: Column) -> Column:
