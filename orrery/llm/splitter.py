@@ -130,10 +130,10 @@ def limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, int, int]]:
 def oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p2_found: table_name, row_id of each record that has to be cut, which is what has a second piece."""
     found = [split_texts(table(spark, sf_dir, t), "id", f, m, o).where("piece_no = 1").select(F.lit(t).alias("table_name"), "row_id") for t, f, m, o in limits(spark, sf_dir)]
-    return reduce(DataFrame.unionByName, found).distinct()
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "table_name string, row_id int")).distinct()
 
 
 def all_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, row_id, piece_no, begin, end, strength, text of every piece of every record."""
     cut = [split_texts(one_per_record(table(spark, sf_dir, t), "id", f), "id", f, m, o).select(F.lit(t).alias("table_name"), "*") for t, f, m, o in limits(spark, sf_dir)]
-    return reduce(DataFrame.unionByName, cut)
+    return reduce(DataFrame.unionByName, cut, spark.createDataFrame([], f"table_name string, row_id int, {_PIECE[7:-1]}"))

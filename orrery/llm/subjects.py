@@ -319,6 +319,8 @@ def subject_names(spark: SparkSession, sf_dir: str) -> list[str]:
 
 def document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, names = table(spark, sf_dir, "documents"), subject_names(spark, sf_dir)
+    if not names:
+        return spark.createDataFrame([], f"doc_id {dict(documents.dtypes)['doc_id']}, subject string, posterior double")
     return predicted(documents, train(with_masks(documents, table(spark, sf_dir, "doc_labels"), names), names))
 
 
