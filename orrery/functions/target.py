@@ -17,7 +17,7 @@ _QUALIFIER = re.compile(r"(?:const|volatile|struct|enum|union) | (?:const|volati
 
 
 def _identifier(name: str, space: str) -> str:
-    name = name.removeprefix(f"{space}.") if space else name
+    name = name.removeprefix(space) if space and name.startswith(f"{space}.") else name
     stars = len(name) - len(name.rstrip("*"))
     name = name.rstrip("*") + "_ptr" * stars
     for old, new in (("[", "_Array"), ("]", "_"), ("::", "_"), (".", "_"), ("<", "__"), (">", ""), (",", "__"), (" ", "_")):

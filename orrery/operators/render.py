@@ -166,6 +166,8 @@ def term_hits(terms: DataFrame, bodies: DataFrame, text: str, most: int = 20, bl
         automaton = ahocorasick.Automaton()
         for (word,) in numbered.where(F.col("_b") == b).select("term").collect():
             automaton.add_word(word, word)
+        if not len(automaton):
+            continue
         automaton.make_automaton()
         shared = spark.sparkContext.broadcast(automaton)
 

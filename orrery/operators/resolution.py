@@ -27,16 +27,18 @@ def typedef_targets(typedefs: DataFrame, types: DataFrame, longest: int = 1000)
     follows one more link of all chains that are still open; a circle is one that is open after as many rounds as there are names.
     """
     own = typedefs.groupBy("name").agg(F.min_by("type_string", F.struct(F.col("namespace") != "", "id")).alias("to"))
-    links = cut(own.select("name", S.base_type_name(F.col("to")).alias("to")))
+    bare = S.trimmed(F.regexp_replace(F.regexp_replace(S.trimmed(F.col("to")), r"[*&\s]+$", ""), "^const ", ""))
+    links = cut(own.select("name", bare.alias("to")).withColumn("base", S.base_type_name(F.col("to"))))
     named = ids_by_name(types)
-    open_ends = links.select("name", "to", F.lit(1).alias("depth"))
+    open_ends = links.select("name", "to", "base", F.lit(1).alias("depth"))
     done, most = None, min(links.count() + 1, longest)
     for _ in range(most):
-        found = cut(open_ends.join(named.withColumnRenamed("name", "to"), "to", "left"))
+        full, short = named.select(F.col("name").alias("to"), F.col("type_id").alias("_a")), named.select(F.col("name").alias("base"), F.col("type_id").alias("_b"))
+        found = cut(open_ends.join(full, "to", "left").join(short, "base", "left").select("name", "to", "base", "depth", F.coalesce("_a", "_b").alias("type_id")))
         ended = found.where("type_id IS NOT NULL").select("name", "type_id", "depth")
         done = ended if done is None else done.unionByName(ended)
-        moved = found.where("type_id IS NULL").join(links.select(F.col("name").alias("to"), F.col("to").alias("_to")), "to")
-        open_ends = cut(moved.where("name <> _to").select("name", F.col("_to").alias("to"), (F.col("depth") + 1).alias("depth")))
+        moved = found.where("type_id IS NULL").join(links.select(F.col("name").alias("base"), F.col("to").alias("_to"), F.col("base").alias("_base")), "base")
+        open_ends = cut(moved.where("name <> _base").select("name", F.col("_to").alias("to"), F.col("_base").alias("base"), (F.col("depth") + 1).alias("depth")))
         if not open_ends.take(1):
             break
     empty = links.select("name")
@@ -94,7 +96,7 @@ def register_arguments(arguments: DataFrame, references: DataFrame) -> tuple[Dat
     """(arguments with type_reference_id, references to add): strings that have no reference yet get one, numbered after the last."""
     text = S.normalize_type(F.col("type_string"))
     known = references.where("type_string IS NOT NULL").groupBy("type_string").agg(F.min("id").alias("type_reference_id"))
-    want = arguments.where(~S.is_primitive(F.col("type_string"))).select(text.alias("type_string")).distinct()
+    want = arguments.where(~S.is_primitive(F.col("type_string")) & (F.length(text) > 0)).select(text.alias("type_string")).distinct()
     missing = want.join(known, "type_string", "left_anti")
     from orrery.plans.shared import row_numbers
 

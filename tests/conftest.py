@@ -74,7 +74,7 @@ def catalog(spark, tmp_path):
 
 
 def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, str(x)) for x in r))
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, 0 if x is None else x) for x in r))
 
 
 def same_as_sql(spark, duck, data, query, sql):
