@@ -81,28 +81,32 @@ def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, base
     parts = cut(member_parts(members, references, types).join(structs.select(F.col("id").alias("struct_id")), "struct_id", "left_semi"))
     heads = bases.where("related_type_id IS NOT NULL").join(rows.select(F.col("id").alias("related_type_id"), type_alignment(F.col("alignment"), F.col("base_name")).alias("align")), "related_type_id")
     heads = cut(heads.join(structs.select(F.col("id").alias("parent_type_id")), "parent_type_id", "left_semi").select(F.col("parent_type_id").alias("struct_id"), "ord", F.col("id").alias("base_row"), F.col("related_type_id").alias("part_id"), "align"))
+    # What a struct still waits for; a level takes those that wait for nothing, and what waits for them waits no longer.
+    needs = parts.where("part_id IS NOT NULL").select("struct_id", "part_id").unionByName(parts.where("fixed = 0 AND alt_fixed IS NULL AND alt_id IS NOT NULL").select("struct_id", F.col("alt_id").alias("part_id")))
+    needs = cut(needs.unionByName(heads.select("struct_id", "part_id")).distinct().join(known.select(F.col("id").alias("part_id")), "part_id", "left_anti"))
     waiting = structs
     for _ in range(longest):
-        done = cut(_level(waiting, parts, heads, known))
-        if not done.take(1):
+        ready = cut(waiting.join(needs.select(F.col("struct_id").alias("id")).distinct(), "id", "left_anti"))
+        if not ready.take(1):
             break
-        known = cut(known.unionByName(done))
-        waiting = cut(waiting.join(done.select("id"), "id", "left_anti"))
-        if not waiting.take(1):
-            return known
+        known = cut(known.unionByName(_level(ready, parts, heads, known)))
+        waiting = cut(waiting.join(ready.select("id"), "id", "left_anti"))
+        needs = cut(needs.join(ready.select(F.col("id").alias("part_id")), "part_id", "left_anti"))
+    if not waiting.take(1):
+        return known
     # Only circles are left, and what contains them: their parts count four bytes where they aren't known.
     guess = known.unionByName(waiting.select("id", F.lit(4).alias("size")))
     return known.unionByName(_level(waiting, parts, heads, guess))
 
 
 def _level(waiting: DataFrame, parts: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
-    """id, size of those waiting whose bases and members all have a known size."""
+    """id, size of structs whose parts all have a size in ``known``."""
     ids = waiting.select(F.col("id").alias("struct_id"))
     base = heads.join(ids, "struct_id", "left_semi").join(known.select(F.col("id").alias("part_id"), "size"), "part_id", "left")
     own = _sized(parts.join(ids, "struct_id", "left_semi"), known)
     rows = base.select("struct_id", F.lit(0).alias("_g"), F.col("ord").alias("_o"), F.col("base_row").alias("_i"), "size", "align").unionByName(own.select("struct_id", F.lit(1).alias("_g"), F.col("decl_order").alias("_o"), F.col("id").alias("_i"), "size", "align"))
-    listed = rows.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("_g", "_o", "_i", "size", "align"))).alias("parts"), F.count_if(F.col("size").isNull()).alias("open"))
-    joined = waiting.join(listed, waiting.id == listed.struct_id, "left").where("coalesce(open, 0) = 0")
+    listed = rows.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("_g", "_o", "_i", "size", "align"))).alias("parts"))
+    joined = waiting.join(listed, waiting.id == listed.struct_id, "left")
     start = F.struct(F.lit(0).alias("at"), F.coalesce("alignment", F.lit(1)).alias("most"))
     fold = F.aggregate(
         F.coalesce("parts", F.array().cast(dict(listed.dtypes)["parts"])), start,

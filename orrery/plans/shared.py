@@ -21,11 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from a checkpoint in the shared folder, so that neither plans grow nor a lost executor matters."""
-    sc = df.sparkSession.sparkContext
+    """The same rows read from a checkpoint in the shared folder, so that neither plans grow nor a lost executor matters.
+
+    A checkpoint keeps the estimated size of the plan it was made from.  In a loop of joins estimates multiply, and the planner soon spends
+    all its time on numbers of millions of digits; so rows whose estimate is beyond all reason are taken up anew, without one, and
+    adaptive execution goes by the sizes it measures.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_dir(spark))
+    done = df.checkpoint(eager=True)
+    if int(str(done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 62:
+        return done
+    plain = spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(plain, spark)
 
 
 def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
