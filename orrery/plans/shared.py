@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +46,7 @@ def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFram
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, shares: int = 64) -> list:
@@ -81,10 +82,8 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: st
     partitions plus that of groups.
     """
     pid = "_pid"
-    laid = written(df.repartitionByRange(*[F.col(c) for c in (group, *order)]).sortWithinPartitions(group, *order).withColumn(pid, F.spark_partition_id()), partition_by=None)
+    laid = written(df.repartitionByRange(*[F.col(c) for c in (group, *order)]).withColumn(pid, F.spark_partition_id()))
     sums = laid.groupBy(pid, group).agg(F.sum(value).alias("_sum"))
-    from pyspark.sql import Window as W
-
     before = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(W.partitionBy(group).orderBy(pid).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     local = F.coalesce(F.sum(value).over(W.partitionBy(pid, group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return laid.withColumn("_local", local).join(F.broadcast(before), [pid, group]).withColumn(out, (F.col("_local") + F.col("_base")).cast(T.LongType())).drop("_local", "_base", pid)
@@ -95,8 +94,6 @@ def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
 
     One number per partition goes through the driver.
     """
-    from pyspark.sql import Window as W
-
     laid = written(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_pid", F.spark_partition_id()))
     sizes = sorted(tuple(r) for r in laid.groupBy("_pid").count().collect())
     before, first = [], 0

@@ -2,11 +2,11 @@
 
 import pytest
 
-from orrery import general_queries, reference_queries
+from orrery import fixture_queries, general_queries, reference_queries
 from tests.conftest import same_as_sql
 
-QUERIES = general_queries.QUERIES | reference_queries.QUERIES
-ORACLES = general_queries.ORACLES | reference_queries.ORACLES
+QUERIES = general_queries.QUERIES | reference_queries.QUERIES | fixture_queries.QUERIES
+ORACLES = general_queries.ORACLES | reference_queries.ORACLES | fixture_queries.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
