@@ -71,7 +71,7 @@ def type_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def type_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_name, row_id, load_month, state of every reference to a type that is missing, deleted or late."""
-    primitive = [r[0] for r in table(spark, sf_dir, "primitive_types").where(is_value(F.col("name"))).select(F.concat(F.lit("$"), written_key(F.col("name")))).distinct().limit(10_000).collect()]
+    primitive = [r[0] for r in table(spark, sf_dir, "primitive_types").where(is_value(F.col("name"))).select(F.concat(F.lit("$"), written_key(F.col("name")))).distinct().collect()]  # a small fixed table
     asked = written_references(spark, sf_dir)
     asked = asked.where(~F.col("_key").isin(*primitive)) if primitive else asked
     found = orphans(asked, type_parents(spark, sf_dir), type_removals(spark, sf_dir))

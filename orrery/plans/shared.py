@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -39,6 +40,24 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(plain, spark)
 
 
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder when the driver's Python ends in good order; results may read it until then."""
+    sc = spark.sparkContext
+    if (mine := getattr(sc, "_orrery_tables", None)) is None:
+        sc._orrery_tables = mine = []
+
+        def clean() -> None:
+            try:
+                for p in mine:
+                    at = sc._jvm.org.apache.hadoop.fs.Path(p)
+                    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+            except Exception:  # the session has ended before
+                pass
+
+        atexit.register(clean)
+    mine.append(path)
+
+
 def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     """The same rows read from a Parquet table in the shared folder (compact and columnar, unlike a checkpoint)."""
     spark, path = df.sparkSession, f"{shared_dir(df.sparkSession)}/orrery-{uuid.uuid4().hex}"
@@ -46,6 +65,7 @@ def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFram
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
+    _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

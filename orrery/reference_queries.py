@@ -17,7 +17,7 @@ from orrery.functions import strings as S
 from orrery.functions.fixed import IGNORED_PREFIXES, IGNORED_SUFFIXES, KEPT_NAMES, PRIMITIVE_COMBINATIONS, PRIMITIVE_NAMES, PRIMITIVE_SIZES, REMAPS, RESERVED
 from orrery.functions.target import mapped
 from orrery.operators import catalog as K
-from orrery.operators import graph, layout, pipeline, render, resolution, rules
+from orrery.operators import graph, layout, methods, pipeline, render, resolution, rules
 from orrery.operators.catalog import Catalog, first_per, gathered
 from orrery.sources import listings
 
@@ -420,3 +420,21 @@ query("e2_stage", "SELECT 'CommentEnums' AS stage, 'Enum' AS entity_type, coales
 query("d_update_path", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN 'moved' END, base_type_path) AS base_type_path FROM types")(lambda c: K.update(c.types, c.types.where("id % 2 = 0").select("id", F.lit("moved").alias("base_type_path"))).select("id", "base_type_path"))
 query("d_delete_members", f"SELECT id FROM {MEMBERS} WHERE struct_id NOT IN (SELECT id FROM types WHERE namespace = 'Net') OR struct_id IS NULL")(lambda c: K.delete(c.members, c.types_in("Net").select("id"), "struct_id").select("id"))
 query("d_insert_types", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region WHERE r_name NOT IN (SELECT n_name FROM nation)")(lambda c: K.insert(c.table("nation").select(F.col("n_name").alias("name")), c.table("region").select(F.col("r_name").alias("name")), "name"))
+
+# Functions as members.
+_signed = lambda c: methods.signatures(c.bodies)
+query("f21_function_kinds")(lambda c: methods.kinds(_signed(c), c.types))
+query("c9_method_texts")(lambda c: methods.method_texts(_signed(c)))
+query("j29_function_contexts")(lambda c: methods.contexts(_signed(c), c.types, c.bases))
+query(
+    "j23_slot_bodies",
+    f"""WITH t AS (SELECT id, base_name, coalesce(namespace, '') AS ns FROM types), p AS (SELECT base_name, ns, min(id) AS parent_id FROM t GROUP BY ALL),
+s AS (SELECT m.id AS member_id, m.name, parent_id FROM {MEMBERS} m JOIN t ON t.id = m.struct_id JOIN p ON p.ns = t.ns AND p.base_name = regexp_replace(t.base_name, '_vtbl$', '') WHERE ends_with(t.base_name, '_vtbl')),
+b AS (SELECT id, parent_id, list_last(string_split(regexp_extract(fully_qualified_name, '([\\w:~]+)\\(', 1), '::')) AS name FROM {BODIES} WHERE length(fully_qualified_name) > 0)
+SELECT member_id, min(b.id) AS body_id FROM s JOIN b ON b.parent_id = s.parent_id AND b.name = s.name GROUP BY 1""",
+)(lambda c: methods.slot_bodies(c.types, c.members, _signed(c)))
+query("g9_nested_flat")(lambda c: graph.closure(resolution.nested_types(c.types).select(F.col("child_id").cast("long").alias("child"), F.col("parent_id").cast("long").alias("parent"))))
+_DECLARED = "regexp_extract(line, '^(.*[\\s*&>\\]])\\w+;$', 1)"
+query("x6_types_of_declarations", f"SELECT DISTINCT line, {NORM(_DECLARED)} AS type FROM (SELECT trim(unnest(regexp_split_to_array(source, '\\r?\\n'))) AS line FROM types) WHERE regexp_matches(line, '^[\\w:]+[ *]+\\w+;$')")(
+    lambda c: c.types.select(F.explode(F.split("source", r"\r?\n")).alias("l")).select(F.trim("l").alias("line")).where(F.col("line").rlike(r"^[\w:]+[ *]+\w+;$")).distinct().select("line", S.normalize_type(F.regexp_extract("line", r"^(.*[\s*&>\]])\w+;$", 1)).alias("type"))
+)
