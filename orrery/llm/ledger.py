@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.typekeys import written_key
-from orrery.plans.shared import join_to_keys, hot_keys, shared_dir
+from orrery.plans.shared import hot_keys, join_to_keys, shared_dir, written
 from orrery.sources.tables import table
 
 SCHEMA = "key string, copies bigint, first_id bigint, first_value string"
@@ -98,25 +98,27 @@ def copies(batch: DataFrame, ident: str, key: Column, ledger: Ledger) -> DataFra
     return join_to_keys(rows, several, "key", "copy_id", hot).where("copy_id <> first_id").select(F.col("first_id").cast(kind).alias("first_id"), "copy_id")
 
 
-def type_ledger(spark: SparkSession, sf_dir: str) -> Ledger:
-    """The ledger of all written types of type_references, in batches by the quarter in which rows were loaded."""
-    rows = table(spark, sf_dir, "type_references").select("id", "type_string", "loaded_at")
-    low, high = rows.agg(F.min("loaded_at"), F.max("loaded_at")).first()
-    ledger = Ledger(spark)
-    quarter = lambda t: (t.year * 4 + (t.month - 1) // 3)
-    starts = [f"{q // 4}-{q % 4 * 3 + 1:02d}-01" for q in range(quarter(low), quarter(high) + 2)] if low else []
-    batches = [rows.where((F.col("loaded_at") >= a) & (F.col("loaded_at") < b)) for a, b in zip(starts, starts[1:])]
-    for batch in [*batches, rows.where("loaded_at IS NULL")]:
-        ledger.add(batch, "id", "type_string", written_key(F.col("type_string")))
+def keyed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, type_string, key, quarter of all rows of type_references, by the quarter in which they were loaded; keys are made once."""
+    rows = table(spark, sf_dir, "type_references")
+    return written(rows.select("id", "type_string", written_key(F.col("type_string")).alias("key"), (F.year("loaded_at") * 4 + F.quarter("loaded_at")).alias("quarter")), partition_by=["quarter"])
+
+
+def type_ledger(keyed: DataFrame) -> Ledger:
+    """The ledger of all written types, fed a quarter at a time."""
+    ledger = Ledger(keyed.sparkSession)
+    for (quarter,) in sorted(map(tuple, keyed.select("quarter").distinct().collect()), key=lambda q: (q[0] is None, q[0] or 0)):
+        ledger.add(keyed.where(F.col("quarter").eqNullSafe(F.lit(quarter))), "id", "type_string", F.col("key"))
     return ledger
 
 
 def written_type_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p1_found."""
-    rows = table(spark, sf_dir, "type_references")
-    return copies(rows, "id", written_key(F.col("type_string")), type_ledger(spark, sf_dir))
+    keyed = keyed_types(spark, sf_dir)
+    return copies(keyed, "id", F.col("key"), type_ledger(keyed))
 
 
 def written_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per written type: first_id, type_string, copies."""
-    return type_ledger(spark, sf_dir).records().select(F.col("first_id").cast("int").alias("first_id"), F.col("first_value").alias("type_string"), "copies")
+    records = type_ledger(keyed_types(spark, sf_dir)).records()
+    return records.select(F.col("first_id").cast("int").alias("first_id"), F.col("first_value").alias("type_string"), "copies")
