@@ -94,7 +94,7 @@ def mix(documents: DataFrame, targets: list[Target], total: float | None = None,
 def targets_of(spark: SparkSession, sf_dir: str, tilt: float = 0.25) -> list[Target]:
     """The targets of mix_targets.  Sources that may be repeated rise by ``tilt`` over the time, so that copies come late, and
     the others fall; 0 gives the same mix at all times."""
-    rows = table(spark, sf_dir, "mix_targets").where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share"), F.max("max_repeats")).orderBy("source").limit(10_000).collect()
+    rows = table(spark, sf_dir, "mix_targets").where("source IS NOT NULL AND target_share > 0").groupBy("source").agg(F.max("target_share"), F.max("max_repeats")).orderBy("source").collect()
     turn = lambda r: tilt if r > 1 else -tilt
     return [Target(s, w, r or 0, ((0.0, 1 - turn(r or 0)), (1.0, 1 + turn(r or 0)))) for s, w, r in rows]
 

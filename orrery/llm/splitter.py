@@ -124,7 +124,7 @@ def one_per_record(df: DataFrame, ident: str, text: str) -> DataFrame:
 def limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, int, int]]:
     """table_name, field_name, max_chars, overlap_chars: a small table of settings, a row per field."""
     rows = table(spark, sf_dir, "split_limits").where("max_chars > 0").select("table_name", "field_name", "max_chars", F.coalesce("overlap_chars", F.lit(0))).distinct()
-    return [tuple(r) for r in rows.orderBy("table_name", "field_name").limit(1000).collect()]
+    return [tuple(r) for r in rows.orderBy("table_name", "field_name").collect()]
 
 
 def oversized(spark: SparkSession, sf_dir: str) -> DataFrame:

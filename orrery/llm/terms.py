@@ -118,7 +118,7 @@ def marked_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     mark is ``rare``, ``common`` or null; rows sharing an id are one record (of the greatest text), rows without one one each.
     """
-    fields = [tuple(r) for r in table(spark, sf_dir, "term_limits").select("table_name", "field_name", "min_records", "max_record_share").distinct().orderBy("table_name", "field_name").limit(1000).collect()]
+    fields = [tuple(r) for r in table(spark, sf_dir, "term_limits").select("table_name", "field_name", "min_records", "max_record_share").distinct().orderBy("table_name", "field_name").collect()]
     if not fields:
         return spark.createDataFrame([], "table_name string, term string, occurrences bigint, records bigint, mark string")
     parts = []
