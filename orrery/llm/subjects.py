@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ UNLABELLED = 0.3
 SHARPNESS, SMOOTHING, ASIDE_SHARE, CLEARLY = 0.3, 0.3, 0.2, 0.9
 BLOCK, FAN_IN = 4096, 64
 _CUTS = re.compile(r"[\n\r]+|(?<=[.!?])\s+")
-_QUALIFIER = re.compile(r"\w+(?:<[^<>\n]*>)?::")
+_QUALIFIER = re.compile(r"\b\w++(?:<[^<>\n]*>)?::")
 _ARGUMENTS = re.compile(r"<.*", re.S)
 
 
@@ -53,14 +54,18 @@ def segments(text: str, about: str | None) -> list[str]:
     return [s for s in map(str.strip, _CUTS.split(_QUALIFIER.sub(" ", text))) if s]
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)], dtype=bool)
+
+
 def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(segment, hashed n-gram) pairs, distinct and sorted by segment.  Segments of fewer letters than n have none."""
     codes = np.frombuffer("\n".join(parts).encode("utf-32-le"), dtype=np.uint32)
     ends = codes == 10
     owner = np.cumsum(ends)
-    letter = np.zeros(len(codes), dtype=bool)
-    distinct, at = np.unique(codes, return_inverse=True)
-    letter = np.array([chr(c).isalpha() for c in distinct], dtype=bool)[at] if len(codes) else letter
+    letter = _letters()[codes]
     codes, owner = codes[letter].astype(np.uint64), owner[letter]
     n = len(codes) - NGRAM + 1
     if n <= 0:
@@ -73,7 +78,8 @@ def grams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         value *= np.uint64(0xBF58476D1CE4E5B9)
         value ^= value >> np.uint64(32)
     inside = owner[:n] == owner[NGRAM - 1 :]
-    pairs = np.unique(owner[:n][inside].astype(np.int64) << BITS | (value[inside] & np.uint64((1 << BITS) - 1)).astype(np.int64))
+    pairs = np.sort(owner[:n][inside].astype(np.int64) << BITS | (value[inside] & np.uint64((1 << BITS) - 1)).astype(np.int64))
+    pairs = pairs[np.diff(pairs, prepend=-1) != 0]
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -101,10 +107,21 @@ class Batch:
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
-    """Complement weights of each class and n-gram, from counts by class and n-gram."""
+    """Complement weights by n-gram and class (a row per n-gram, so that one look finds all classes), from counts by class and n-gram."""
     rest = counts.sum(0) - counts
     size = max(int((counts.sum(0) > 0).sum()), 1)
-    return -np.log((rest + SMOOTHING) / (rest.sum(1, keepdims=True) + SMOOTHING * size)).astype(np.float32)
+    return np.ascontiguousarray(-np.log((rest + SMOOTHING) / (rest.sum(1, keepdims=True) + SMOOTHING * size)).T.astype(np.float32))
+
+
+def scored(batch: Batch, w: np.ndarray, at_once: int = 1 << 13) -> np.ndarray:
+    """The sum of the weights of each segment's n-grams, by class; segments are taken ``at_once``."""
+    out = np.zeros((len(batch.owner), w.shape[1]))
+    cuts = np.searchsorted(batch.seg, np.arange(0, len(batch.owner) + at_once, at_once))
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            own, first = np.unique(batch.seg[a:b], return_index=True)
+            out[own] = np.add.reduceat(w[batch.gram[a:b]], first, axis=0)
+    return out
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
@@ -114,8 +131,8 @@ def _soft(x: np.ndarray) -> np.ndarray:
 
 def posteriors(batch: Batch, w: np.ndarray, asides: bool) -> np.ndarray:
     """The class posteriors of each segment, given the mix of classes in its document."""
-    classes = len(w)
-    scores = np.stack([np.bincount(batch.seg, weights=w[k][batch.gram], minlength=len(batch.owner)) for k in range(classes)], 1) * SHARPNESS
+    classes = w.shape[1]
+    scores = scored(batch, w) * SHARPNESS
     if not asides:
         scores[:, -1] = -1e9
     free = _soft(scores) if len(scores) else scores
@@ -192,8 +209,13 @@ def assign(batch: Batch, mask: np.ndarray, subjects: int, free: np.ndarray | Non
 
 
 def count(batch: Batch, share: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    weighted = share * weight[:, None]
-    return np.stack([np.bincount(batch.gram, weights=weighted[batch.seg, k], minlength=1 << BITS) for k in range(share.shape[1])])
+    """Counts by class and n-gram.  Most segments belong to one class or two, so each class takes its own only."""
+    weighted, out = share * weight[:, None], np.zeros((share.shape[1], 1 << BITS))
+    for k in range(share.shape[1]):
+        own = weighted[batch.seg, k]
+        used = own > 0
+        out[k] = np.bincount(batch.gram[used], weights=own[used], minlength=1 << BITS)
+    return out
 
 
 # The passes over a table of documents (doc_id, text, type_fqn, mask), in Spark.
@@ -314,7 +336,7 @@ def predicted(documents: DataFrame, model: Model) -> DataFrame:
 
 def subject_names(spark: SparkSession, sf_dir: str) -> list[str]:
     """The subjects: a small fixed table (62 at most, as masks are 64 bits)."""
-    return sorted(r[0] for r in table(spark, sf_dir, "subjects").where("subject IS NOT NULL AND subject <> 'none'").select("subject").distinct().limit(62).collect())
+    return sorted(r[0] for r in table(spark, sf_dir, "subjects").where("subject IS NOT NULL AND subject <> 'none'").select("subject").distinct().collect())
 
 
 def document_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
