@@ -28,30 +28,41 @@ def closure(links: DataFrame) -> DataFrame:
     return pairs
 
 
+#: Links that a round follows before it is written down.
+STRIDE = 8
+
+
+def reached(links: DataFrame, seeds: DataFrame, at: str, to: str, *tags: str) -> DataFrame:
+    """The seeds (node and ``tags``) and all nodes that links lead to from ``at`` to ``to``, each under its seed's tags.
+
+    A round takes STRIDE links at once and goes on from the nodes it has newly found in its last step.
+    """
+    step_of = links.select(F.col(at).alias("node"), F.col(to).alias("_to"))
+    found = front = cut(seeds.select("node", *tags).distinct())
+    while front.take(1):
+        step, every = front, None
+        for k in range(1, STRIDE + 1):
+            step = step.join(step_of, "node").select(F.col("_to").alias("node"), *tags).distinct()
+            numbered = step.withColumn("_k", F.lit(k))
+            every = numbered if every is None else every.unionByName(numbered)
+        new = cut(every.groupBy("node", *tags).agg(F.max("_k").alias("_k")).join(found, ["node", *tags], "left_anti"))
+        found = cut(found.unionByName(new.drop("_k")))
+        front = new.where(F.col("_k") == STRIDE).drop("_k")
+    return found
+
+
 def derived_from(links: DataFrame, types: DataFrame, names: DataFrame) -> DataFrame:
     """id, name: the types that derive from a named one (``names``: name), which itself is among them; ignored types have no name."""
     named = types.where(~F.col("is_ignored")).join(names.select(F.col("name").alias("stored_fully_qualified_name")).distinct(), "stored_fully_qualified_name")
-    targets = cut(named.select(F.col("id").cast("long").alias("parent"), F.col("stored_fully_qualified_name").alias("name")))
-    found = new = targets.select(F.col("parent").alias("id"), "name")
-    while new.take(1):  # down from the named types only, a level at a time
-        new = cut(links.join(new.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id"), "name").distinct().join(found, ["id", "name"], "left_anti"))
-        found = cut(found.union(new))
-    return found.distinct()
+    seeds = named.select(F.col("id").cast("long").alias("node"), F.col("stored_fully_qualified_name").alias("name"))
+    return reached(links, seeds, "parent", "child", "name").select(F.col("node").alias("id"), "name")
 
 
 def bases_of(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """id: the seeds (id) and all above them."""
-    found = new = cut(seeds.select(F.col("id").cast("long").alias("id")).distinct())
-    while new.take(1):
-        new = cut(links.join(new.withColumnRenamed("id", "child"), "child").select(F.col("parent").alias("id")).distinct().join(found, "id", "left_anti"))
-        found = cut(found.union(new))
-    return found
+    return reached(links, seeds.select(F.col("id").cast("long").alias("node")), "child", "parent").select(F.col("node").alias("id"))
 
 
 def with_destructor(links: DataFrame, own: DataFrame) -> DataFrame:
     """id: types that have a destructor (``own``: id) or a base that has one."""
-    found = new = cut(own.select(F.col("id").cast("long").alias("id")).distinct())
-    while new.take(1):
-        new = cut(links.join(new.withColumnRenamed("id", "parent"), "parent").select(F.col("child").alias("id")).distinct().join(found, "id", "left_anti"))
-        found = cut(found.union(new))
-    return found
+    return reached(links, own.select(F.col("id").cast("long").alias("node")), "parent", "child").select(F.col("node").alias("id"))
