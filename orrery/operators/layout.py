@@ -1,8 +1,8 @@
 """Sizes and offsets of structs on x86.
 
-Sizes depend on sizes: structs contain structs by value.  They are computed level by level, those first whose parts are all known;
-what is left lies on a circle, and a part of that counts four bytes.  Within a struct, an ordered fold over its members carries the
-offset and the open unit of bit fields.  Known quirks are kept: a union or enum by value counts four bytes, the size of a struct
+Sizes depend on sizes: structs contain structs by value.  They are computed level by level, those first whose parts are all known.
+Where that stops, circles are in the way: a part on the same circle as its struct counts four bytes, and the levels go on above with
+the sizes this gives.  Within a struct, an ordered fold over its members carries the offset and the open unit of bit fields.  Known quirks are kept: a union or enum by value counts four bytes, the size of a struct
 takes no notice of packed bit fields, and members align to four bytes at most.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import strings as S
+from orrery.operators.graph import closure
 from orrery.plans.shared import cut
 
 
@@ -72,37 +73,46 @@ def _sized(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     return joined.withColumn("size", counted).withColumn("align", F.when(element.isNotNull(), align)).drop("_size", "_alt", "_alt_size")
 
 
-def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, bases: DataFrame, longest: int = 200) -> DataFrame:
+def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, bases: DataFrame) -> DataFrame:
     """id, size of every type."""
-    rows = types.select("id", "base_name", "kind", "alignment").dropDuplicates(["id"])
-    primitive = S.is_sized_primitive(F.col("base_name"))
-    known = cut(rows.where(primitive | (F.col("kind") != "Struct")).select("id", F.when(primitive, S.primitive_size(F.col("base_name"))).otherwise(4).alias("size")))
-    structs = cut(rows.where(~primitive & (F.col("kind") == "Struct")))
+    rows = cut(types.select("id", "base_name", "kind", "alignment").dropDuplicates(["id"]))
+    primitive, struct = S.is_sized_primitive(F.col("base_name")), F.coalesce(F.col("kind") == "Struct", F.lit(False))
+    known = cut(rows.where(primitive | ~struct).select("id", F.when(primitive, S.primitive_size(F.col("base_name"))).otherwise(4).alias("size")))
+    structs = cut(rows.where(~primitive & struct))
     parts = cut(member_parts(members, references, types).join(structs.select(F.col("id").alias("struct_id")), "struct_id", "left_semi"))
     heads = bases.where("related_type_id IS NOT NULL").join(rows.select(F.col("id").alias("related_type_id"), type_alignment(F.col("alignment"), F.col("base_name")).alias("align")), "related_type_id")
-    heads = cut(heads.join(structs.select(F.col("id").alias("parent_type_id")), "parent_type_id", "left_semi").select(F.col("parent_type_id").alias("struct_id"), "ord", F.col("id").alias("base_row"), F.col("related_type_id").alias("part_id"), "align"))
+    heads = cut(heads.join(structs.select(F.col("id").alias("parent_type_id")), "parent_type_id", "left_semi").select(F.col("parent_type_id").alias("struct_id"), "ord", F.col("id").alias("base_row"), F.col("related_type_id").alias("part_id"), "align", F.lit(None).cast("int").alias("fixed")))
     # What a struct still waits for; a level takes those that wait for nothing, and what waits for them waits no longer.
     needs = parts.where("part_id IS NOT NULL").select("struct_id", "part_id").unionByName(parts.where("fixed = 0 AND alt_fixed IS NULL AND alt_id IS NOT NULL").select("struct_id", F.col("alt_id").alias("part_id")))
     needs = cut(needs.unionByName(heads.select("struct_id", "part_id")).distinct().join(known.select(F.col("id").alias("part_id")), "part_id", "left_anti"))
     waiting = structs
-    for _ in range(longest):
+    while waiting.take(1):
         ready = cut(waiting.join(needs.select(F.col("struct_id").alias("id")).distinct(), "id", "left_anti"))
         if not ready.take(1):
-            break
+            # All that is left lies on a circle or above one.  Without the links inside circles, no circle is left.
+            back = closure(needs.select(F.col("struct_id").alias("child"), F.col("part_id").alias("parent"))).select(F.col("child").alias("part_id"), F.col("parent").alias("struct_id"))
+            inner = cut(needs.join(back, ["struct_id", "part_id"], "left_semi").select("struct_id", "part_id"))
+            if not inner.take(1):
+                raise ValueError("structs wait for parts that are not types")
+            parts, heads = cut(_broken(_broken(parts, inner, "part_id", "fixed"), inner, "alt_id", "alt_fixed")), cut(_broken(heads, inner, "part_id", "fixed"))
+            needs = cut(needs.join(inner, ["struct_id", "part_id"], "left_anti"))
+            continue
         known = cut(known.unionByName(_level(ready, parts, heads, known)))
         waiting = cut(waiting.join(ready.select("id"), "id", "left_anti"))
         needs = cut(needs.join(ready.select(F.col("id").alias("part_id")), "part_id", "left_anti"))
-    if not waiting.take(1):
-        return known
-    # Only circles are left, and what contains them: their parts count four bytes where they aren't known.
-    guess = known.unionByName(waiting.select("id", F.lit(4).alias("size")))
-    return known.unionByName(_level(waiting, parts, heads, guess))
+    return known
+
+
+def _broken(rows: DataFrame, inner: DataFrame, part: str, fixed: str) -> DataFrame:
+    """``rows`` whose ``part`` lies on a circle with their struct (``inner``) count four bytes for it."""
+    joined = rows.join(inner.select("struct_id", F.col("part_id").alias(part), F.lit(True).alias("_inner")), ["struct_id", part], "left")
+    return joined.withColumn(fixed, F.when(F.col("_inner"), 4).otherwise(F.col(fixed))).select(*rows.columns)
 
 
 def _level(waiting: DataFrame, parts: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
     """id, size of structs whose parts all have a size in ``known``."""
     ids = waiting.select(F.col("id").alias("struct_id"))
-    base = heads.join(ids, "struct_id", "left_semi").join(known.select(F.col("id").alias("part_id"), "size"), "part_id", "left")
+    base = heads.join(ids, "struct_id", "left_semi").join(known.select(F.col("id").alias("part_id"), "size"), "part_id", "left").withColumn("size", F.coalesce("fixed", "size"))
     own = _sized(parts.join(ids, "struct_id", "left_semi"), known)
     rows = base.select("struct_id", F.lit(0).alias("_g"), F.col("ord").alias("_o"), F.col("base_row").alias("_i"), "size", "align").unionByName(own.select("struct_id", F.lit(1).alias("_g"), F.col("decl_order").alias("_o"), F.col("id").alias("_i"), "size", "align"))
     listed = rows.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("_g", "_o", "_i", "size", "align"))).alias("parts"))

@@ -143,6 +143,16 @@ def test_circle_counts_four(spark):
     assert sizes == {1: 4, 2: 4, 3: 1}
 
 
+def test_what_contains_a_circle_takes_its_real_size(spark):
+    # 1 and 2 lie on a circle and count four bytes for each other only; 3 contains one of them, 4 derives from 3, 5 contains itself, 6 contains 5 and 4, 7 lies below.
+    types = [(k, n, "Struct", None, n) for k, n in enumerate("ABCDEFG", 1)] + [(8, "H", None, None, "H")]
+    members = [member(1, "b", "B", 0), member(1, "x", "int", 1), member(1, "g", "G", 2), member(2, "y", "double", 0), member(2, "a", "A", 1), member(3, "a", "A", 0), member(3, "n", "int", 1)]
+    members += [member(4, "z", "int", 0), member(5, "e", "E", 0), member(5, "v", "double", 1), member(6, "e", "E", 0), member(6, "d", "D", 1), member(6, "w", "int", 2), member(7, "p", "double", 0), member(7, "q", "double", 1), member(8, "h", "H", 0)]
+    sizes, at = layouts(spark, types, members, bases=[(4, 3, 0)])
+    assert sizes == {1: 4 + 4 + 16, 2: 8 + 4, 3: 24 + 4, 4: 28 + 4, 5: 4 + 8, 6: 12 + 32 + 4, 7: 16, 8: 4}
+    assert [at[k] for k in (1, 4, 6, 7, 11, 12)] == [12, 8, 24, 28, 12, 44]
+
+
 def test_quirks_of_sizes(spark):
     assert values(spark, S.primitive_size, ["unsigned char", "unsigned __int16", "long long", "double", "DOUBLE", "void"]) == [4, 4, 4, 8, 8, 0]
 
