@@ -142,11 +142,16 @@ def _reach_back(links: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def ancestors(h: Hierarchy) -> DataFrame:
-    """ancestor, node, depth: every node under each of its ancestors, with the fewest steps; nodes that meet a circle are left out.
+    """ancestor, node, depth: every node under each of its ancestors, with the fewest steps; nodes that meet a circle are left out."""
+    return all_ancestors(h.links.join(h.circular.withColumnRenamed("node", "child"), "child", "left_anti"))
 
-    The closure doubles: pairs up to 2^i steps apart, joined with themselves, give those up to 2^(i+1) apart.
+
+def all_ancestors(links: DataFrame) -> DataFrame:
+    """ancestor, node, depth: every node under each node that its links (child, parent: distinct) lead to, with the fewest steps.
+
+    Circles do no harm: what lies on one is under all of it, itself included.  The closure doubles: pairs up to 2^i steps apart, joined
+    with themselves, give those up to 2^(i+1) apart.
     """
-    links = h.links.join(h.circular.withColumnRenamed("node", "child"), "child", "left_anti")
     pairs = cut(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
     new, reach = pairs, 1
     while _some(new):
@@ -211,8 +216,8 @@ def type_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """relation, type_id, descendant_id, depth."""
-    pairs = ancestors(resolve(type_links(spark, sf_dir)))
+    """relation, type_id, descendant_id, depth of all types; a type on a circle is under itself (see :func:`type_circles`)."""
+    pairs = all_ancestors(type_links(spark, sf_dir))
     return pairs.select(relation("node").alias("relation"), type_id("ancestor").alias("type_id"), type_id("node").alias("descendant_id"), F.col("depth").cast("int").alias("depth"))
 
 

@@ -71,3 +71,27 @@ def test_types(spark, catalog):
 def test_empty(spark, catalog):
     d = catalog()
     assert rows(H.type_roots(spark, d)) == rows(H.type_paths(spark, d)) == rows(H.type_descendants(spark, d)) == rows(H.type_circles(spark, d)) == []
+
+
+def test_circles_take_no_descendants_away(spark, catalog):
+    # 3 derives from 2 and from 5, which lies on a circle with 6; 4 derives from 3, 7 from itself.
+    links = [(2, 1), (3, 2), (3, 5), (5, 6), (6, 5), (4, 3), (7, 7)]
+    d = catalog(types=[{"id": i} for i in range(1, 8)], type_inheritances=[{"id": k, "parent_type_id": c, "related_type_id": p} for k, (c, p) in enumerate(links)])
+    found = [(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 3, 1), (2, 4, 2), (3, 4, 1), (5, 3, 1), (5, 4, 2), (5, 5, 2), (5, 6, 1), (6, 3, 2), (6, 4, 3), (6, 5, 1), (6, 6, 2), (7, 7, 1)]
+    assert rows(H.type_descendants(spark, d)) == [("inheritance", *f) for f in found]
+
+
+def test_all_ancestors_by_brute_force(spark):
+    for seed in (3, 4):
+        links = sorted(set(graph("mixed", seed)))
+        up = {}
+        for c, p in links:
+            up.setdefault(c, set()).add(p)
+        want = set()
+        for c in up:
+            seen, now, d = set(), up[c], 1
+            while now:
+                seen |= now
+                want |= {(p, c, d) for p in now}
+                now, d = {q for p in now for q in up.get(p, ())} - seen, d + 1
+        assert {(r.ancestor, r.node, r.depth) for r in H.all_ancestors(spark.createDataFrame(links, "child long, parent long")).collect()} == want
