@@ -132,6 +132,13 @@ query("r11_links", "SELECT id, '/type/' || CASE WHEN coalesce(namespace, '') = '
 )
 
 # Joins.
+def _enum_terms(c: Catalog) -> DataFrame:
+    """owner_id, term: the names of enums and those of their members."""
+    enums = c.types_of_kind("Enum").select(F.col("id").alias("owner_id"), F.col("base_name").alias("term"))
+    values = _enum_values(c).select(F.col("enum_id").alias("owner_id"), F.col("name").alias("term"))
+    return enums.unionByName(values.join(enums.select("owner_id").distinct(), "owner_id", "left_semi"))
+
+
 _join = lambda col, order: F.array_join(F.transform(col, lambda x: F.coalesce(x[order].cast("string"), F.lit("-"))), ",")
 query("j1_types_with_bases", f"SELECT t.id, coalesce(string_agg(coalesce(b.related_type_id::VARCHAR, '-'), ',' ORDER BY b.ord, b.id) FILTER (b.id IS NOT NULL), '') AS bases FROM types t LEFT JOIN {BASES} b ON b.parent_type_id = t.id GROUP BY t.id")(
     lambda c: c.types_with_bases().select("id", _join("bases", "related_type_id").alias("bases"))
@@ -204,7 +211,7 @@ query(
     f"""WITH terms AS (SELECT DISTINCT id AS owner_id, lower(base_name) AS term FROM types WHERE kind = 'Enum' AND length(trim(base_name)) > 0),
 hits AS (SELECT owner_id, b.id AS body_id, count(*) AS hits FROM terms JOIN (SELECT DISTINCT id, fully_qualified_name FROM function_bodies) b ON contains(lower(fully_qualified_name), term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY hits DESC, body_id) AS n FROM hits) SELECT owner_id, body_id, hits FROM r WHERE n <= 20""",
-)(lambda c: render.term_hits(c.types_of_kind("Enum").select(F.col("id").alias("owner_id"), F.col("base_name").alias("term")), c.bodies.select("id", "fully_qualified_name").distinct(), "fully_qualified_name"))
+)(lambda c: render.term_hits(_enum_terms(c), c.bodies.select("id", "body_text").distinct(), "body_text"))
 query("j35_lookup_by_name", "SELECT stored_fully_qualified_name, max(id) AS id FROM types WHERE NOT is_ignored AND stored_fully_qualified_name IS NOT NULL GROUP BY 1")(lambda c: c.lookup_by_name())
 query("j35_lookup_by_base_name", "SELECT lower(base_name) AS base_name, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM types WHERE NOT is_ignored GROUP BY 1")(lambda c: c.lookup_by_base_name().select("base_name", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids")))
 

@@ -178,6 +178,23 @@ def test_groups_take_no_notice_of_case(spark):
     assert rows(rules.grouped(types, places)) == [("A", "X", 1), ("A", "X", 2), ("A", "X", 3)]
 
 
+def test_functions_that_mention_an_enum(spark, catalog):
+    from orrery.reference_queries import QUERIES
+
+    source = lambda name, *values: f"/* 1 */\nenum {name}\n{{\n" + ",\n".join(f"  {v} = 0x{k}" for k, v in enumerate(values)) + "\n};\n"
+    enums = {1: ("Color", ("RED_C", "BLUE_C")), 2: ("Shape", ("ROUND_S",)), 3: ("Unused", ("NONE_U",))}
+    bodies = {10: "x = RED_C;", 11: "Color c = blue_c; c = RED_C; c = RED_C;", 12: "f(ROUND_S);", 13: "", 14: None, 15: "Shape s;"} | {k: "Color" for k in range(20, 45)}
+    d = catalog(
+        types=[{"id": k, "base_name": n, "kind": "Enum", "is_ignored": False, "source": source(n, *v)} for k, (n, v) in enums.items()] + [{"id": 4, "base_name": "S", "kind": "Struct", "is_ignored": False, "source": source("S", "ROUND_S")}],
+        function_bodies=[{"id": k, "fully_qualified_name": "void Unused::f()", "body_text": t} for k, t in bodies.items()],
+    )
+    want = set()
+    for e, (name, values_) in enums.items():
+        hits = [(b, sum(w.lower() in (t or "").lower() for w in (name, *values_))) for b, t in bodies.items()]
+        want |= {(e, b, n) for b, n in sorted((h for h in hits if h[1]), key=lambda h: (-h[1], h[0]))[:20]}
+    assert {(r.owner_id, r.body_id, r.hits) for r in QUERIES["j28_texts_by_terms"](spark, d).collect()} == want and (1, 11, 3) in want
+
+
 def test_texts(spark, tmp_path):
     values_ = spark.createDataFrame([(1, 0, "A", "0x0"), (1, 1, "B", ""), (2, 0, "class", "-1")], "enum_id int, position int, name string, value string")
     enums = spark.createDataFrame([(1, "N::E", True), (2, "F", False)], "id int, full_name string, is_bitmask boolean")
