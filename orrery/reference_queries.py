@@ -392,9 +392,19 @@ query("y4_type_sizes")(lambda c: layout.type_sizes(c.types, c.members, c.referen
 query("y7_primitive_sizes", f"SELECT name, CASE lower(name) {' '.join(f'''WHEN '{k.lower()}' THEN {v}''' for k, v in PRIMITIVE_SIZES.items())} ELSE 4 END AS size FROM primitive_types")(lambda c: c.table("primitive_types").select("name", S.primitive_size(F.col("name")).alias("size")))
 query("y10_aligned", "SELECT l_orderkey, l_linenumber, (l_linenumber * 3 + (8 - (l_linenumber * 3) % 8) % 8)::INT AS aligned FROM lineitem")(lambda c: c.table("lineitem").select("l_orderkey", "l_linenumber", layout.align_up(F.col("l_linenumber") * 3, F.lit(8)).cast("int").alias("aligned")))
 _full = lambda: F.coalesce("stored_fully_qualified_name", "base_name").alias("full_name")
-_plain_members = lambda c: c.members.where("struct_id IS NOT NULL").select("struct_id", "id", "decl_order", "name", "type_string", F.lit(False).alias("is_array"), F.lit(None).cast("int").alias("array_size"), "bit_width", "is_function_pointer", F.lit("").alias("parameters"), F.lit("").alias("convention"), "member_offset")
+
+
+def _plain_members(c: Catalog) -> DataFrame:
+    """Members as texts take them (see :func:`render.member_text`): arrays by their references, pointers to functions by their types."""
+    refs = c.references.select(F.col("id").alias("type_reference_id"), F.coalesce("is_array", F.lit(False)).alias("_array"), "array_size").dropDuplicates(["type_reference_id"])
+    rows = c.members.where("struct_id IS NOT NULL").join(refs, "type_reference_id", "left").withColumn("is_array", F.coalesce("_array", F.lit(False)) & ~F.coalesce("is_function_pointer", F.lit(False)))
+    rows = rows.withColumn("_p", listings.pointer_of(F.when(F.col("is_function_pointer"), F.col("type_string"))))
+    kind = F.when(F.col("is_array"), S.trimmed(F.regexp_replace("type_string", r"^([^\[]*)\[\d*\]", "$1"))).otherwise(F.coalesce("_p.returns", "type_string"))
+    return rows.select("struct_id", "id", "decl_order", "name", kind.alias("type_string"), "is_array", "array_size", "bit_width", "is_function_pointer", F.coalesce("_p.parameters", F.lit("")).alias("parameters"), F.coalesce("_p.convention", F.lit("")).alias("convention"), "member_offset")
+
+
 query("c3_struct_texts")(lambda c: render.struct_texts(c.types.where("kind IN ('Struct', 'Class', 'Union')").select("id", _full(), "source", "alignment"), _plain_members(c), c.bases))
-query("c1_headers")(lambda c: render.headers(rules.grouped(c.types, rules.locations(c.types)), QUERIES["c3_struct_texts"](c.spark, c.directory)))
+query("c1_headers")(lambda c: render.headers(rules.grouped(c.types, rules.locations(c.types)), QUERIES["c3_struct_texts"](c.spark, c.directory).unionByName(QUERIES["c2_enum_texts"](c.spark, c.directory))))
 _enum_values = lambda c: listings.definitions(_files(c)).where("kind = 'Enum'").select(F.col("file").cast("int").alias("enum_id"), F.posexplode("values").alias("position", "v")).select("enum_id", "position", "v.name", "v.value")
 query("c2_enum_texts")(lambda c: render.enum_texts(c.types_of_kind("Enum").select("id", _full(), "is_bitmask"), _enum_values(c)))
 query("a7_enum_widths")(lambda c: render.enum_widths(_enum_values(c)))

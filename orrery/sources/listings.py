@@ -6,6 +6,7 @@ parallel.  Each text is parsed once per kind of row, in Arrow batches; everythin
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -105,6 +106,21 @@ def signature_of(text: Column) -> Column:
     return F.get(_listed(f"array<struct<name: string, returns: string, convention: string, signature: string, parameters: {_PARAMETERS}>>", read)(text), 0)
 
 
+def pointer_of(type_string: Column) -> Column:
+    """returns, convention, parameters (as written) of the type of a pointer to a function, which has no name; null for other types."""
+
+    def read(t: str) -> list[dict]:
+        s = cpp.parse_function_pointer(re.sub(r"\*\s*\)", "*__name)", t, count=1))
+        if not s:
+            return []
+        whole = t.strip()
+        plain = s.name == "__name" and re.search(r"\*\s*\)$", whole[: cpp.opening(whole, len(whole) - 1)].rstrip())
+        written = whole[cpp.opening(whole, len(whole) - 1) + 1 : -1].strip() if plain else ", ".join(p.type for p in s.parameters)
+        return [{"returns": s.returns, "convention": s.convention, "parameters": written}]
+
+    return F.get(_listed("array<struct<returns: string, convention: string, parameters: string>>", read)(type_string), 0)
+
+
 def member_names_of(source: Column) -> Column:
     return _listed("array<string>", cpp.member_names)(source)
 

@@ -195,6 +195,24 @@ def test_functions_that_mention_an_enum(spark, catalog):
     assert {(r.owner_id, r.body_id, r.hits) for r in QUERIES["j28_texts_by_terms"](spark, d).collect()} == want and (1, 11, 3) in want
 
 
+def test_headers_have_enums_arrays_and_parameters(spark, catalog):
+    from orrery.reference_queries import QUERIES
+
+    pointer, nested = "char (__stdcall *)(N::A *, unsigned char)", "int (__cdecl *(__thiscall *)(A *))(float)"
+    refs = ["int[4]", pointer, "N::A *[8]", nested]
+    d = catalog(
+        types=[{"id": 1, "base_name": "A", "namespace": "", "stored_fully_qualified_name": "A", "kind": "Struct", "source": "struct A", "is_ignored": False, "is_vtable": False, "is_bitmask": False}]
+        + [{"id": 2, "base_name": "E", "namespace": "", "stored_fully_qualified_name": "E", "kind": "Enum", "source": "/* 1 */\nenum E\n{\n  X = 0x1,\n};\n", "is_ignored": False, "is_vtable": False, "is_bitmask": False}],
+        type_references=[{"id": k, "type_string": t, "is_array": t.endswith("]"), "array_size": {0: 4, 2: 8}.get(k)} for k, t in enumerate(refs)],
+        struct_members=[{"id": k, "struct_id": 1, "name": f"m{k}", "type_string": t, "type_reference_id": k, "decl_order": k, "is_function_pointer": "(" in t} for k, t in enumerate(refs)],
+    )
+    files = {r.file: r.content for r in QUERIES["c1_headers"](spark, d).collect()}
+    assert set(files) == {"A.h", "E.h"} and "enum E\n{\n    X = 0x1,\n};" in files["E.h"]
+    for line in ("int32_t m0[4];", "byte (__stdcall *m1)(N::A *, unsigned char);", "N::A * m2[8];", "(__thiscall *m3)(A*);"):
+        assert line in files["A.h"], files["A.h"]
+    assert "public fixed int m0[4];" in {r.id: r.content for r in QUERIES["c7_bindings"](spark, d).collect()}[1]
+
+
 def test_texts(spark, tmp_path):
     values_ = spark.createDataFrame([(1, 0, "A", "0x0"), (1, 1, "B", ""), (2, 0, "class", "-1")], "enum_id int, position int, name string, value string")
     enums = spark.createDataFrame([(1, "N::E", True), (2, "F", False)], "id int, full_name string, is_bitmask boolean")
