@@ -19,30 +19,27 @@ def ids_by_name(types: DataFrame) -> DataFrame:
     return named.groupBy(F.col("stored_fully_qualified_name").alias("name")).agg(F.min("id").alias("type_id"))
 
 
-def typedef_targets(typedefs: DataFrame, types: DataFrame, longest: int = 1000) -> DataFrame:
+def typedef_targets(typedefs: DataFrame, types: DataFrame) -> DataFrame:
     """name, type_id, depth: what the chain of typedefs of each name ends on.
 
     ``typedefs`` has name, namespace and type_string.  Typedefs without a namespace come first, then the smallest id.  Names
     whose chain runs in a circle, or ends on a name that is neither a type nor a typedef, have a null type_id.  Each round
-    follows one more link of all chains that are still open; a circle is one that is open after as many rounds as there are names.
+    doubles the links followed; a circle is what is still open after as many links as there are names.
     """
     own = typedefs.groupBy("name").agg(F.min_by("type_string", F.struct(F.col("namespace") != "", "id")).alias("to"))
     bare = S.trimmed(F.regexp_replace(F.regexp_replace(S.trimmed(F.col("to")), r"[*&\s]+$", ""), "^const ", ""))
     links = cut(own.select("name", bare.alias("to")).withColumn("base", S.base_type_name(F.col("to"))))
     named = ids_by_name(types)
-    open_ends = links.select("name", "to", "base", F.lit(1).alias("depth"))
-    done, most = None, min(links.count() + 1, longest)
-    for _ in range(most):
-        full, short = named.select(F.col("name").alias("to"), F.col("type_id").alias("_a")), named.select(F.col("name").alias("base"), F.col("type_id").alias("_b"))
-        found = cut(open_ends.join(full, "to", "left").join(short, "base", "left").select("name", "to", "base", "depth", F.coalesce("_a", "_b").alias("type_id")))
-        ended = found.where("type_id IS NOT NULL").select("name", "type_id", "depth")
-        done = ended if done is None else done.unionByName(ended)
-        moved = found.where("type_id IS NULL").join(links.select(F.col("name").alias("base"), F.col("to").alias("_to"), F.col("base").alias("_base")), "base")
-        open_ends = cut(moved.where("name <> _base").select("name", F.col("_to").alias("to"), F.col("_base").alias("base"), (F.col("depth") + 1).alias("depth")))
-        if not open_ends.take(1):
+    full, short = named.select(F.col("name").alias("to"), F.col("type_id").alias("_a")), named.select(F.col("name").alias("base"), F.col("type_id").alias("_b"))
+    jump = cut(links.join(full, "to", "left").join(short, "base", "left").select("name", F.col("base").alias("at"), F.coalesce("_a", "_b").alias("type_id"), F.lit(1).alias("depth")))
+    for _ in range(links.count().bit_length() + 1):
+        still = jump.where("type_id IS NULL").select("name", "at", "depth")
+        if not still.take(1):
             break
-    empty = links.select("name")
-    return empty.join(done, "name", "left") if done is not None else empty.withColumn("type_id", F.lit(None).cast("int")).withColumn("depth", F.lit(None).cast("int"))
+        on = jump.select(F.col("name").alias("at"), F.col("at").alias("_at"), "type_id", F.col("depth").alias("_d"))
+        moved = still.join(on, "at").select("name", F.col("_at").alias("at"), "type_id", (F.col("depth") + F.col("_d")).alias("depth"))
+        jump = cut(jump.where("type_id IS NOT NULL").unionByName(moved))
+    return links.select("name").join(jump.where("type_id IS NOT NULL").select("name", "type_id", "depth"), "name", "left")
 
 
 def resolve_names(names: DataFrame, types: DataFrame, targets: DataFrame | None = None) -> DataFrame:
@@ -206,10 +203,11 @@ def base_paths(types: DataFrame) -> DataFrame:
     return out.select("id", F.coalesce(filed, "_s1", "_s2", "_same", "_o1", "_o2", "full").alias("base_type_path"))
 
 
-def grouping_roots(types: DataFrame, longest: int = 64) -> DataFrame:
+def grouping_roots(types: DataFrame) -> DataFrame:
     """id, root_id: up the chain of base_type_path to a type without one or that names itself; null where the chain breaks or turns back.
 
-    Each step looks for the full name, then the base name in the same namespace, then the base name anywhere.
+    Each step looks for the full name, then the base name in the same namespace, then the base name anywhere.  Each round doubles the
+    steps climbed; what is still open after as many steps as there are links turns back.
     """
     rows = types.select("id", "base_name", F.coalesce("namespace", F.lit("")).alias("namespace"), F.coalesce("stored_fully_qualified_name", F.lit("")).alias("full"), F.coalesce("base_type_path", F.lit("")).alias("path"))
     target = S.base_type_name(F.col("path"))
@@ -219,16 +217,15 @@ def grouping_roots(types: DataFrame, longest: int = 64) -> DataFrame:
     three = rows.groupBy(F.col("base_name").alias("_t")).agg(F.min("id").alias("_c"))
     up = pathed.join(one, "path", "left").join(two, ["_t", "namespace"], "left").join(three, "_t", "left").select("id", F.coalesce("_a", "_b", "_c").alias("up"))
     is_root = (F.col("path") == "") | (F.col("path") == F.col("full")) | (target == F.col("base_name"))
-    links = cut(up.join(rows.select(F.col("id").alias("up"), is_root.alias("_root")).dropDuplicates(["up"]), "up", "left").select("id", "up", "_root"))
-    walk = links.select("id", "up", "_root")
-    done = None
-    for _ in range(longest):
-        ended = walk.where("_root").select("id", F.col("up").alias("root_id"))
-        done = ended if done is None else done.unionByName(ended)
-        walk = cut(walk.where("NOT _root AND id <> up").join(links.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("_root").alias("_r")), "up").select("id", F.col("_up").alias("up"), F.col("_r").alias("_root")))
-        if not walk.take(1):
+    links = cut(up.join(rows.select(F.col("id").alias("up"), is_root.alias("_root")).dropDuplicates(["up"]), "up").select("id", "up", "_root").dropDuplicates(["id"]))
+    jump = links
+    for _ in range(links.count().bit_length() + 1):
+        still = jump.where("NOT _root").select("id", "up")
+        if not still.take(1):
             break
-    return types.select("id").join(done.dropDuplicates(["id"]), "id", "left")
+        on = jump.select(F.col("id").alias("up"), F.col("up").alias("_up"), "_root")
+        jump = cut(jump.where("_root").unionByName(still.join(on, "up").select("id", F.col("_up").alias("up"), "_root")))
+    return types.select("id").join(jump.where("_root").select("id", F.col("up").alias("root_id")), "id", "left")
 
 
 def provenance(catalog, n: int | None = None) -> DataFrame:

@@ -94,6 +94,15 @@ def test_grouping_roots(spark):
     assert found[2] == 1 and found[3] == 1 and found[4] is None and found[5] is None and found[6] is None and found[1] is None
 
 
+def test_long_chains_have_ends(spark):
+    types = [(0, "T0", "", "T0", "")] + [(k, f"T{k}", "", f"T{k}", f"T{k - 1}") for k in range(1, 150)] + [(200, "R0", "", "R0", "R2"), (201, "R1", "", "R1", "R0"), (202, "R2", "", "R2", "R1"), (203, "L", "", "L", "R0")]
+    got = dict(tuple(r) for r in resolution.grouping_roots(spark.createDataFrame(types, "id int, base_name string, namespace string, stored_fully_qualified_name string, base_type_path string")).collect())
+    assert got == {0: None} | dict.fromkeys(range(1, 150), 0) | dict.fromkeys(range(200, 204))
+    defs = [(k, f"D{k}", "", f"D{k - 1} *" if k else "End") for k in range(1200)] + [(2000, "X", "", "Y"), (2001, "Y", "", "Z"), (2002, "Z", "", "X"), (2003, "W", "", "X")]
+    ends = resolution.typedef_targets(spark.createDataFrame(defs, "id int, name string, namespace string, type_string string"), spark.createDataFrame([(7, "End")], "id int, stored_fully_qualified_name string"))
+    assert {r.name: (r.type_id, r.depth) for r in ends.collect()} == {f"D{k}": (7, k + 1) for k in range(1200)} | dict.fromkeys("XYZW", (None, None))
+
+
 def test_graph(spark):
     links = spark.createDataFrame([(2, 1), (3, 2), (4, 3), (3, 9), (5, 6), (6, 5)], "child long, parent long")
     types = spark.createDataFrame([(1, "Root", False), (6, "Ring", False), (2, "Hidden", True)], "id int, stored_fully_qualified_name string, is_ignored boolean")
