@@ -5,11 +5,105 @@ A type derives from itself.  Circles do no harm: what lies on one reaches all of
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators.hierarchy import clean_links
-from orrery.plans.shared import cut
+from orrery.plans.shared import cut, hot_keys, join_to_keys
+
+#: Links that one task settles by itself.
+LOCAL = 1 << 19
+#: Rows a key has at least before its rows are spread.
+LEAST_HOT = 1 << 16
+
+
+def clean_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct links between nodes that exist; ``links`` has child and parent, ``nodes`` has node."""
+    known = nodes.where(F.col("node").isNotNull()).distinct()
+    whole = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent").distinct()
+    return whole.join(known.withColumnRenamed("node", "parent"), "parent", "left_semi").join(known.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent")
+
+
+def tarjan(links: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """Node to component (its smallest node) of the nodes on circles."""
+    to: dict[int, list[int]] = {}
+    loops = set()
+    for a, b in links:
+        to.setdefault(a, []).append(b)
+        if a == b:
+            loops.add(a)
+    seen: dict[int, int] = {}
+    low: dict[int, int] = {}
+    found: dict[int, int] = {}
+    for start in to:
+        if start in seen:
+            continue
+        seen[start] = low[start] = len(seen)
+        work, stack, held = [(start, iter(to[start]))], [start], {start}
+        while work:
+            at, rest = work[-1]
+            for n in rest:
+                if n not in seen:
+                    seen[n] = low[n] = len(seen)
+                    stack.append(n)
+                    held.add(n)
+                    work.append((n, iter(to.get(n, ()))))
+                    break
+                if n in held:
+                    low[at] = min(low[at], seen[n])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == seen[at]:
+                    own = []
+                    while not own or own[-1] != at:
+                        own.append(stack.pop())
+                    held.difference_update(own)
+                    if len(own) > 1 or at in loops:
+                        found |= dict.fromkeys(own, min(own))
+    return found
+
+
+def _components_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = tarjan(pair for rows in batches for pair in zip(rows.child.tolist(), rows.parent.tolist()))
+    yield pd.DataFrame({"node": list(found), "component": list(found.values())})
+
+
+def components(links: DataFrame, local: int = LOCAL) -> DataFrame:
+    """node, component of the nodes on circles of ``links`` (child, parent: distinct): of two that reach each other the same.
+
+    Up to ``local`` links are settled in one task.  Beyond that, each node takes the greatest node that reaches it; of the nodes that
+    took a node's name, those that reach it make up its component; what is left of links between equal names goes on.
+    """
+    links = cut(links.select(F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent")))
+    found = []
+    while (n := links.count()) > local:
+        names = cut(links.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("name", F.col("node")))
+        new = names
+        while new.take(1):
+            offered = links.join(new.withColumnRenamed("node", "child"), "child").groupBy(F.col("parent").alias("node")).agg(F.max("name").alias("offer"))
+            new = cut(offered.join(names, "node").where("offer > name").select("node", F.col("offer").alias("name")))
+            names = cut(names.join(new.withColumnRenamed("name", "offer"), "node", "left").select("node", F.coalesce("offer", "name").alias("name")))
+        inner = links.join(names.select(F.col("node").alias("child"), F.col("name").alias("_c")), "child").join(names.select(F.col("node").alias("parent"), F.col("name").alias("_p")), "parent")
+        inner = cut(inner.where("_c = _p").select("child", "parent", F.col("_c").alias("name")))
+        # A node with its own name makes up a component with those that reach it by links inside; it is on a circle if there is any.
+        core = reached(inner, inner.where("child = name").select(F.col("child").alias("node"), "name"), "parent", "child", "name")
+        found.append(cut(core.join(inner.select(F.col("parent").alias("name")).distinct(), "name", "left_semi").select("node", F.col("name").alias("component"))))
+        links = inner.join(core.select(F.col("node").alias("child")), "child", "left_anti").join(core.select(F.col("node").alias("parent")), "parent", "left_anti")
+        # What nothing leads to, or what leads nowhere, is on no circle.
+        links = links.join(inner.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(inner.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
+        links = cut(links.select("child", "parent"))
+    if n:
+        found.append(links.coalesce(1).mapInPandas(_components_of, "node long, component long"))
+    if not found:
+        return links.select(F.col("child").alias("node"), F.col("parent").alias("component")).limit(0)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return cut(out)
 
 
 def inheritance_links(bases: DataFrame, types: DataFrame) -> DataFrame:
@@ -17,38 +111,49 @@ def inheritance_links(bases: DataFrame, types: DataFrame) -> DataFrame:
     return clean_links(bases.select(F.col("parent_type_id").cast("long").alias("child"), F.col("related_type_id").cast("long").alias("parent")), types.select(F.col("id").cast("long").alias("node")))
 
 
-def closure(links: DataFrame) -> DataFrame:
-    """child, parent, over any number of links, circles included.  The distance covered doubles with each round."""
-    pairs = cut(links.select("child", "parent").distinct())
-    size = -1
-    while (now := pairs.count()) != size:
-        size = now
-        further = pairs.join(pairs.select(F.col("child").alias("parent"), F.col("parent").alias("_up")), "parent").select("child", F.col("_up").alias("parent"))
-        pairs = cut(pairs.union(further).distinct())
-    return pairs
+def all_ancestors(links: DataFrame) -> DataFrame:
+    """ancestor, node, depth: every node under each node that its links (child, parent: distinct) lead to, with the fewest steps.
+
+    Circles do no harm: what lies on one is under all of it, itself included.  Each round doubles the distance: pairs exactly as far apart
+    as the rounds have come go on by all pairs so far, and only pairs not seen before are written.
+    """
+    parts = [cut(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))]
+    reach = 1
+    while True:
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more)
+        edge = parts[-1].where(F.col("depth") == reach).select("node", "ancestor")
+        hot = hot_keys(edge.groupBy("ancestor").agg(F.count(F.lit(1)).alias("n")), "ancestor", "n", least=LEAST_HOT)
+        further = join_to_keys(edge, every.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("depth").alias("_d")), "ancestor", "node", hot, merge=False)
+        far = further.groupBy("node", F.col("_up").alias("ancestor")).agg((F.min("_d") + reach).alias("depth"))
+        new = cut(far.join(every.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        if not new.take(1):
+            return every
+        parts.append(new)
+        reach *= 2
 
 
-#: Links that a round follows before it is written down.
-STRIDE = 8
+def closure(links: DataFrame) -> DataFrame:
+    """child, parent, over any number of links, circles included."""
+    return all_ancestors(links.select("child", "parent").distinct()).select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
 
 
 def reached(links: DataFrame, seeds: DataFrame, at: str, to: str, *tags: str) -> DataFrame:
     """The seeds (node and ``tags``) and all nodes that links lead to from ``at`` to ``to``, each under its seed's tags.
 
-    A round takes STRIDE links at once and goes on from the nodes it has newly found in its last step.
+    A round takes the links of the nodes newly found; those of nodes with very many links are spread.
     """
     step_of = links.select(F.col(at).alias("node"), F.col(to).alias("_to"))
-    found = front = cut(seeds.select("node", *tags).distinct())
-    while front.take(1):
-        step, every = front, None
-        for k in range(1, STRIDE + 1):
-            step = step.join(step_of, "node").select(F.col("_to").alias("node"), *tags).distinct()
-            numbered = step.withColumn("_k", F.lit(k))
-            every = numbered if every is None else every.unionByName(numbered)
-        new = cut(every.groupBy("node", *tags).agg(F.max("_k").alias("_k")).join(found, ["node", *tags], "left_anti"))
-        found = cut(found.unionByName(new.drop("_k")))
-        front = new.where(F.col("_k") == STRIDE).drop("_k")
-    return found
+    hot = hot_keys(step_of.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", "n", least=LEAST_HOT)
+    parts = [cut(seeds.select("node", *tags).distinct())]
+    while parts[-1].take(1):
+        found = parts[0]
+        for more in parts[1:]:
+            found = found.unionByName(more)
+        step = join_to_keys(step_of, parts[-1], "node", "_to", hot, merge=False).select(F.col("_to").alias("node"), *tags).distinct()
+        parts.append(cut(step.join(found, ["node", *tags], "left_anti")))
+    return found if len(parts) > 1 else parts[0]
 
 
 def derived_from(links: DataFrame, types: DataFrame, names: DataFrame) -> DataFrame:

@@ -2,31 +2,34 @@
 
 Method.  About one node in ``EVERY`` is a splitter, chosen by a hash of its key, so the choice is the same in any run.
 
-1. *Walk*: every node with links is walked up, breadth first, until each walk stands on a splitter or a root.  A walk without
-   a splitter is short except on long chains without one, whose chance falls exponentially with their length.
-2. *Splitterless circles*, separately: every node of one comes back to itself in as many steps as the circle has links; those
-   nodes are marked, walks that stand on one are dropped, and the mark goes down to all below.
-3. *Reduced graph*: the walks of splitters are links between splitters (or to roots).  Pointer doubling gives the roots of each
-   with the fewest steps; after as many doublings as the number of splitters has bits, what still stands on a splitter that isn't
-   a root walks in a circle.
+1. *Walk*: every node with links is walked up until each walk stands on a splitter or a root.  Walks that stand elsewhere go on by the
+   walks of where they stand, so a stretch without splitters takes as many rounds as its length has bits.
+2. *Splitterless circles*, separately: when every node that still walks has a walk to such a node, all of them walk without end.
+   They lie on a circle without a splitter, or lead to one.
+3. *Reduced graph*: the walks of splitters are links between splitters (or to roots).  Up to ``LOCAL`` of them are solved in one task,
+   more are followed in the same way.  Walks that end on nodes of step 2, and those that never end, are circular.
 4. *Expansion*: the walk of a node and the way of the splitter it stands on, joined.
 
 A node may have several parents: every root above it counts, each with the fewest steps (and, of paths as short, the smallest).
 Each round moves distinct (origin, position) pairs, so what a round holds never exceeds the pairs of origins and ancestors.
-Hot parents are dealt with by where they stand: a root ends a walk without any join, and joins on other popular nodes are split.
+Joins on positions that hold many walks are spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.plans.shared import cut, hot_keys, join_to_keys
+from orrery.operators.graph import LEAST_HOT, LOCAL, all_ancestors, clean_links, components
+from orrery.plans.shared import cut, cut_and_count, hot_keys, join_to_keys
 from orrery.sources.tables import table
 
-EVERY = 4
+EVERY = 3
 
 
 def _is_splitter(node: Column, every: int) -> Column:
@@ -43,139 +46,134 @@ class Hierarchy:
     circular: DataFrame
 
 
-def clean_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct links between nodes that exist; ``links`` has child and parent, ``nodes`` has node."""
-    known = nodes.where(F.col("node").isNotNull()).distinct()
-    whole = links.where(F.col("child").isNotNull() & F.col("parent").isNotNull()).select("child", "parent").distinct()
-    return whole.join(known.withColumnRenamed("node", "parent"), "parent", "left_semi").join(known.withColumnRenamed("node", "child"), "child", "left_semi").select("child", "parent")
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
 
+def _best() -> Column:
+    return F.min(F.struct("steps", "path")).alias("b")
 
-def _some(df: DataFrame) -> bool:
-    return bool(df.take(1))
 
+def _follow(walks: DataFrame, left: int, paths: bool) -> tuple[DataFrame, DataFrame]:
+    """Walks (origin, at, root, stop, steps, path) followed by each other until they stop, and the origins (node) of those that never do.
 
-def resolve(links: DataFrame, every: int = EVERY, paths: bool = False) -> Hierarchy:
+    A walk that doesn't stop (of which there are ``left``) stands on an origin.  Each round doubles the walks that go on.  Once each origin of
+    those has one that stands on such an origin again, all of them go on without end; that is asked when they don't get much fewer.
+    """
+    active, done, before = walks.where("NOT stop"), [walks.where("stop")], 0
+    while left:
+        if 2 * left > before > 0:
+            origins = active.select(F.col("origin").alias("at"), F.lit(1).alias("_o")).distinct()
+            again = active.join(origins, "at", "left").groupBy("origin").agg(F.max("_o").alias("_o"))
+            if not again.where("_o IS NULL").take(1):
+                break
+        hot = hot_keys(active.groupBy("at").agg(F.count(F.lit(1)).alias("n")), "at", "n", least=LEAST_HOT) if left >= LEAST_HOT else []
+        on = _union([*done, active]).select(F.col("origin").alias("at"), F.col("at").alias("_at"), F.col("root").alias("_root"), F.col("stop").alias("_stop"), F.col("steps").alias("_steps"), F.col("path").alias("_path"))
+        grown = F.concat("path", "_path") if paths else F.col("path")
+        moved = join_to_keys(active, on, "at", "origin", hot, merge=False).select("origin", F.col("_at").alias("at"), F.col("_root").alias("root"), F.col("_stop").alias("stop"), (F.col("steps") + F.col("_steps")).alias("steps"), grown.alias("path"))
+        before = left
+        moved, left = cut_and_count(moved.groupBy("origin", "at", "root", "stop").agg(_best()).select("origin", "at", "root", "stop", "b.steps", "b.path"), "NOT stop")
+        done.append(moved.where("stop"))
+        active = moved.where("NOT stop")
+    return _union(done), active.select(F.col("origin").alias("node")).distinct()
+
+
+_WALK = "origin long, at long, root boolean, stop boolean, steps int, path array<long>"
+
+
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same in one task: origins from the end backwards; those never come to walk without end (and don't stop).  Should the ways be too many
+    to hold, one row without an origin says so."""
+    to: dict[int, list[tuple]] = defaultdict(list)
+    users: dict[int, list[int]] = defaultdict(list)
+    open_: dict[int, int] = defaultdict(int)
+    for rows in batches:
+        for origin, at, root, stop, steps, path in zip(rows.origin.tolist(), rows["at"].tolist(), rows["root"], rows["stop"], rows["steps"].tolist(), rows["path"]):
+            to[origin].append((at, bool(root), bool(stop), steps, None if path is None else list(path)))
+            if not stop:
+                users[at].append(origin)
+                open_[origin] += 1
+    ready, held, out = [o for o in to if not open_[o]], 0, []
+    ways: dict[int, dict[tuple[int, bool], tuple]] = {}
+    while ready:
+        origin = ready.pop()
+        mine: dict[tuple[int, bool], tuple] = {}
+        for at, root, stop, steps, path in to.pop(origin):
+            on = [((at, root), (0, [] if path is not None else None))] if stop else ways[at].items()
+            for end, (more, rest) in on:
+                way = (steps + more, None if path is None else path + rest)
+                if end not in mine or way < mine[end]:
+                    mine[end] = way
+        ways[origin] = mine
+        held += len(mine)
+        if held > 16 * LOCAL:
+            yield pd.DataFrame([(pd.NA, -1, False, True, 0, None)], columns=["origin", "at", "root", "stop", "steps", "path"]).astype({"origin": "Int64"})
+            return
+        for user in users.pop(origin, ()):
+            open_[user] -= 1
+            if not open_[user]:
+                ready.append(user)
+    for origin, mine in ways.items():
+        out += [(origin, at, root, True, steps, path) for (at, root), (steps, path) in mine.items()]
+    out += [(origin, -1, False, False, 0, None) for origin in to]
+    for k in range(0, len(out), 100_000):
+        yield pd.DataFrame(out[k : k + 100_000], columns=["origin", "at", "root", "stop", "steps", "path"])
+
+
+def _solved(way: DataFrame, paths: bool, local: int) -> tuple[DataFrame, DataFrame]:
+    """:func:`_follow` of the reduced graph, in one task if it has no more than ``local`` links."""
+    way, n = cut_and_count(way, "true")
+    if n <= local:
+        found, too_many = cut_and_count(way.coalesce(1).mapInPandas(_solve, _WALK), "origin IS NULL")
+        if not too_many:
+            return found.where("stop"), found.where("NOT stop").select(F.col("origin").alias("node"))
+    return _follow(way, way.where("NOT stop").count(), paths)
+
+
+def resolve(links: DataFrame, every: int = EVERY, paths: bool = False, local: int = LOCAL) -> Hierarchy:
     """Roots, depths and circles of ``links`` (child, parent: distinct, without nulls; see :func:`clean_links`)."""
+    links = cut(links)
+    hot = hot_keys(links.groupBy("parent").agg(F.count(F.lit(1)).alias("n")), "parent", "n", least=LEAST_HOT)
     linked = links.select(F.col("child").alias("parent")).distinct().withColumn("_linked", F.lit(True))
-    links = cut(
-        links.join(linked, "parent", "left")
-        .select("child", "parent", F.col("_linked").isNull().alias("root"))
-        .withColumn("stop", F.col("root") | _is_splitter(F.col("parent"), every))
-    )
-    up = links.select(F.col("child").alias("at"), F.col("parent").alias("_next"), F.col("root").alias("_root"), F.col("stop").alias("_stop"))
+    root = F.col("_linked").isNull()
     path = F.array("parent") if paths else F.lit(None).cast("array<bigint>")
-    front = cut(links.select(F.col("child").alias("origin"), F.col("parent").alias("at"), F.lit(1).alias("steps"), path.alias("path"), "root", "stop"))
-    walks, loops, rounds = front.where("stop"), front.where("origin = at").select("origin"), 1
-    settled = [walks]
-    found_loops = [loops]
-    front = front.where("NOT stop AND origin <> at")
-    while _some(front):
-        rounds += 1
-        grown = F.concat("path", F.array("_next")) if paths else F.col("path")
-        moved = front.join(up, "at").select("origin", F.col("_next").alias("at"), F.lit(rounds).alias("steps"), grown.alias("path"), F.col("_root").alias("root"), F.col("_stop").alias("stop"))
-        every_one = cut(moved.groupBy("origin", "at", "steps", "root", "stop").agg(F.min("path").alias("path")) if paths else moved.distinct())
-        settled.append(every_one.where("stop"))
-        found_loops.append(every_one.where("origin = at AND NOT stop").select("origin"))
-        front = every_one.where("NOT stop AND origin <> at")
-        if rounds >= 8 and rounds & (rounds - 1) == 0:
-            looped = _union(found_loops).distinct().withColumnRenamed("origin", "at")
-            front = cut(front.join(looped, "at", "left_anti"))
-    # What lies on a circle without a splitter, and down from there as far as the next splitters.
-    own_loops = cut(_union(found_loops).distinct().select(F.col("origin").alias("node")))
-    below = own_loops
-    spread = own_loops
-    while _some(spread):
-        down = links.join(spread.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
-        spread = cut(down.join(below, "node", "left_anti"))
-        below = cut(below.union(spread))
-        spread = spread.where(~_is_splitter(F.col("node"), every))
-    best = F.min(F.struct("steps", "path")).alias("b")
-    walks = cut(_union(settled).groupBy("origin", "at", "root").agg(best).select("origin", "at", "root", "b.steps", "b.path"))
-    # The reduced graph: links from splitters to splitters or roots, doubled.
-    bad = below.withColumn("_bad", F.lit(True))
-    way = walks.where(_is_splitter(F.col("origin"), every)).join(bad.withColumnRenamed("node", "origin"), "origin", "left_anti")
-    way = cut(way.withColumnRenamed("origin", "s"))
-    n = way.select("s").distinct().count()
-    active, done = way.where("NOT root"), [way.where("root")]
-    lost = [way.join(bad.withColumnRenamed("node", "at"), "at", "left_semi").select(F.col("s").alias("node"))]
-    left = n.bit_length() + 1
-    step = way
-    while left and _some(active):
-        left -= 1
-        on = step.select(F.col("s").alias("at"), F.col("at").alias("_at"), F.col("root").alias("_root"), F.col("steps").alias("_steps"), F.col("path").alias("_path"))
-        grown = F.concat("path", "_path") if paths else F.col("path")
-        moved = active.join(on, "at").select("s", F.col("_at").alias("at"), F.col("_root").alias("root"), (F.col("steps") + F.col("_steps")).alias("steps"), grown.alias("path"))
-        moved = cut(moved.groupBy("s", "at", "root").agg(best).select("s", "at", "root", "b.steps", "b.path"))
-        done.append(moved.where("root"))
-        active = moved.where("NOT root")
-        step = cut(_union(done).groupBy("s", "at", "root").agg(best).select("s", "at", "root", "b.steps", "b.path").unionByName(active))
-    solved = step.where("root").select(F.col("s").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("path").alias("_path"))
-    # A splitter is circular if it still walks, or if a way of it ends on a marked one.
-    ends = active.select(F.col("s").alias("node")).union(_union(lost)).distinct()
-    circular_splitters = cut(_reach_back(way.select(F.col("s").alias("child"), F.col("at").alias("parent")), ends).union(below.where(_is_splitter(F.col("node"), every))).distinct())
-    circular = walks.join(circular_splitters.withColumnRenamed("node", "at"), "at", "left_semi").select(F.col("origin").alias("node")).union(below).union(circular_splitters)
-    circular = cut(circular.distinct())
+    first = join_to_keys(links, linked, "parent", "child", hot, "left", merge=False).select(F.col("child").alias("origin"), F.col("parent").alias("at"), root.alias("root"), (root | _is_splitter(F.col("parent"), every)).alias("stop"), F.lit(1).alias("steps"), path.alias("path"))
+    settled, endless = _follow(*cut_and_count(first, "NOT stop"), paths)
+    endless = cut(endless)
+    walks = cut(settled.groupBy("origin", "at", "root").agg(_best()).select("origin", "at", "root", "b.steps", "b.path"))
+    # The reduced graph: links from splitters to splitters or roots.  Those on or below splitterless circles are ends, too.
+    bad = endless.where(_is_splitter(F.col("node"), every)).select(F.col("node").alias("at"), F.lit(True).alias("_bad"))
+    way = walks.where(_is_splitter(F.col("origin"), every)).join(endless.withColumnRenamed("node", "origin"), "origin", "left_anti")
+    way = way.join(bad, "at", "left").select("origin", "at", "root", (F.col("root") | F.col("_bad").isNotNull()).alias("stop"), "steps", "path")
+    ways, turning = _solved(way, paths, local)
+    circular_splitters = cut(turning.union(ways.where("NOT root").select(F.col("origin").alias("node"))).union(bad.select(F.col("at").alias("node"))).distinct())
+    on_splitter = walks.where("NOT root")
+    hot = hot_keys(on_splitter.groupBy("at").agg(F.count(F.lit(1)).alias("n")), "at", "n", least=LEAST_HOT)
+    lost = join_to_keys(on_splitter, circular_splitters.withColumnRenamed("node", "at"), "at", "origin", hot, "left_semi", merge=False).select(F.col("origin").alias("node"))
+    circular = cut(lost.union(endless).union(circular_splitters).distinct())
     straight = walks.join(circular.withColumnRenamed("node", "origin"), "origin", "left_anti")
-    on_splitter = straight.where("NOT root")
-    hot = hot_keys(on_splitter.groupBy("at").agg(F.count(F.lit(1)).alias("n")), "at", "n")
+    solved = ways.where("root").groupBy("origin", "at").agg(_best()).select(F.col("origin").alias("at"), F.col("at").alias("_at"), F.col("b.steps").alias("_steps"), F.col("b.path").alias("_path"))
     grown = F.concat("path", "_path") if paths else F.col("path")
-    expanded = join_to_keys(on_splitter, solved, "at", "origin", hot).select("origin", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), grown.alias("path"))
+    expanded = join_to_keys(straight.where("NOT root"), solved, "at", "origin", hot, merge=False).select("origin", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), grown.alias("path"))
     every_way = straight.where("root").select("origin", "at", "steps", "path").unionByName(expanded)
-    roots = every_way.groupBy("origin", "at").agg(best).select(F.col("origin").alias("node"), F.col("at").alias("root"), F.col("b.steps").alias("depth"), *([F.col("b.path").alias("path")] if paths else []))
+    roots = every_way.groupBy("origin", "at").agg(_best()).select(F.col("origin").alias("node"), F.col("at").alias("root"), F.col("b.steps").alias("depth"), *([F.col("b.path").alias("path")] if paths else []))
     return Hierarchy(links.select("child", "parent"), roots, circular)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _reach_back(links: DataFrame, ends: DataFrame) -> DataFrame:
-    """``ends`` and all nodes that reach one of them by ``links``, in rounds that each take the nodes newly reached."""
-    reached = new = cut(ends)
-    while _some(new):
-        new = cut(links.join(new.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct().join(reached, "node", "left_anti"))
-        reached = cut(reached.union(new))
-    return reached
-
-
 def ancestors(h: Hierarchy) -> DataFrame:
     """ancestor, node, depth: every node under each of its ancestors, with the fewest steps; nodes that meet a circle are left out."""
     return all_ancestors(h.links.join(h.circular.withColumnRenamed("node", "child"), "child", "left_anti"))
 
 
-def all_ancestors(links: DataFrame) -> DataFrame:
-    """ancestor, node, depth: every node under each node that its links (child, parent: distinct) lead to, with the fewest steps.
-
-    Circles do no harm: what lies on one is under all of it, itself included.  The closure doubles: pairs up to 2^i steps apart, joined
-    with themselves, give those up to 2^(i+1) apart.
-    """
-    pairs = cut(links.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-    new, reach = pairs, 1
-    while _some(new):
-        more = new.join(pairs.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("depth").alias("_d")), "ancestor").select("node", F.col("_up").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
-        pairs = cut(pairs.unionByName(more).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        new, reach = pairs.where(F.col("depth") > reach), 2 * reach
-    return pairs
-
-
-def circle_links(h: Hierarchy) -> DataFrame:
-    """child, parent of the links that run in circles: those whose parent reaches the child again."""
+def circle_links(h: Hierarchy, local: int = LOCAL) -> DataFrame:
+    """child, parent of the links that run in circles: those whose ends are in one component."""
     inside = h.links.join(h.circular.withColumnRenamed("node", "child"), "child", "left_semi").join(h.circular.withColumnRenamed("node", "parent"), "parent", "left_semi")
-    inside = cut(inside)
-    while True:  # what has no child in here lies below a circle, not on it
-        kept = cut(inside.join(inside.select(F.col("parent").alias("child")).distinct(), "child", "left_semi"))
-        if kept.count() == inside.count():
-            break
-        inside = kept
-    pairs = inside.select("child", F.col("parent").alias("up")).distinct()
-    size = -1
-    while (now := pairs.count()) != size:
-        size = now
-        pairs = cut(pairs.union(pairs.join(pairs.select(F.col("child").alias("up"), F.col("up").alias("_up")), "up").select("child", F.col("_up").alias("up"))).distinct())
-    return inside.join(pairs.select(F.col("child").alias("parent"), F.col("up").alias("child")), ["child", "parent"], "left_semi").select("child", "parent")
+    circle = components(inside, local)
+    ends = inside.join(circle.select(F.col("node").alias("child"), F.col("component").alias("_c")), "child").join(circle.select(F.col("node").alias("parent"), F.col("component").alias("_p")), "parent")
+    return ends.where("_c = _p").select("child", "parent")
 
 
 #: The two relations between types are resolved in one pass: nodes are type ids plus the relation times 2^32.

@@ -2,21 +2,35 @@
 
 Sizes depend on sizes: structs contain structs by value.  They are computed level by level, those first whose parts are all known.
 Where that stops, circles are in the way: a part on the same circle as its struct counts four bytes, and the levels go on above with
-the sizes this gives.  Within a struct, an ordered fold over its members carries the offset and the open unit of bit fields.  Known quirks are kept: a union or enum by value counts four bytes, the size of a struct
-takes no notice of packed bit fields, and members align to four bytes at most.
+the sizes this gives.  Known quirks are kept: a union or enum by value counts four bytes, the size of a struct takes no notice of
+packed bit fields, and members align to four bytes at most.
+
+Before the levels begin, runs of members whose sizes are known become one *shift* each: by how much a run moves an offset depends on
+nothing but the offset's remainder, so a run of any length is a table of a few numbers, and tables of tasks that share a struct are
+applied one after the other.  What goes through the levels is therefore a few numbers per part that is still open.  A level joins only
+the sizes that are new with the parts that wait for them.  When no more than ``LOCAL`` parts are open, one task settles the rest, by
+the same function; results are the same wherever that happens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from math import lcm
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.functions import strings as S
-from orrery.operators.graph import closure
-from orrery.plans.shared import cut
+from orrery.operators.graph import components, tarjan
+from orrery.plans.shared import cut, hot_keys, join_to_keys, written
+
+#: Open parts that one task settles by itself.
+LOCAL = 1 << 18
+#: Remainders a shift tells apart at most; what aligns to more stands by itself.
+REMAINDERS = 64
 
 
 def align_up(offset: Column, to: Column) -> Column:
@@ -50,8 +64,10 @@ def member_parts(members: DataFrame, references: DataFrame, types: DataFrame) ->
     there = types.select(F.col("id").alias("referenced_type_id")).distinct().withColumn("_there", F.lit(True))
     array, pointer, called = F.coalesce(F.col("_a"), F.lit(False)), F.coalesce(F.col("_p"), F.lit(False)), F.coalesce(F.col("is_function_pointer"), F.lit(False))
     rows = members.join(refs, "type_reference_id", "left").join(there, "referenced_type_id", "left")
-    rows = rows.withColumn("_text", F.when(F.col("referenced_type_id").isNull(), F.when(array, F.col("_s")).otherwise(F.col("type_string")))).join(named, "_text", "left")
-    rows = rows.join(named.select(F.col("_text").alias("type_string"), F.col("_named").alias("_own")), "type_string", "left")
+    rows = rows.withColumn("_text", F.when(F.col("referenced_type_id").isNull(), F.when(array, F.col("_s")).otherwise(F.col("type_string"))))
+    hot = hot_keys(members.groupBy("type_string").agg(F.count(F.lit(1)).alias("n")), "type_string", "n")
+    rows = join_to_keys(rows, named, "_text", "id", hot, "left")
+    rows = join_to_keys(rows, named.select(F.col("_text").alias("type_string"), F.col("_named").alias("_own")), "type_string", "id", hot, "left")
     by_id = F.when(F.col("referenced_type_id").isNotNull() & F.col("_there").isNull(), 0)
     fixed = F.when(called | pointer, 4).when(F.col("referenced_type_id").isNull(), _by_string(F.col("_text"), F.col("_named"))).otherwise(by_id)
     return rows.select(
@@ -73,57 +89,203 @@ def _sized(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     return joined.withColumn("size", counted).withColumn("align", F.when(element.isNotNull(), align)).drop("_size", "_alt", "_alt_size")
 
 
-def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, bases: DataFrame) -> DataFrame:
-    """id, size of every type."""
+def _aligned(at: int, to: int) -> int:
+    return at + -at % to if to > 1 else at
+
+
+_ELEMENT = "fixed int, part_id int, count int, array boolean, align int, alt_fixed int, alt_id int"
+_ITEM = f"struct_id int, g int, o int, i int, shift array<int>, most int, {_ELEMENT}"
+
+
+def _shifts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted elements to items: runs of known ones as one shift, open ones as they are.  A run ends with its struct, partition or batch."""
+    names = [c.split()[0] for c in _ITEM.split(", ")]
+    nothing = (None,) * 7
+    for rows in batches:
+        out, at, table, most = [], None, [0], 1
+
+        def close() -> None:
+            nonlocal at, table, most
+            if at is not None:
+                out.append((*at, table, most, *nothing))
+            at, table, most = None, [0], 1
+
+        for struct, g, o, i, size, align, *element in zip(rows.struct_id, rows.g, rows.o, rows.i, rows.known_size, rows.known_align, *(rows[c.split()[0]] for c in _ELEMENT.split(", "))):
+            key = (struct, g, _whole(o), _whole(i))
+            if at is not None and at[0] != struct:
+                close()
+            if size != size or max(1, align) > REMAINDERS:
+                close()
+                many = bool(element[3]) if element[3] is not None else False
+                out.append((*key, None, None, *map(_whole, element[:3]), many, *map(_whole, element[4:])))
+                continue
+            size, align = int(size), max(1, int(align))
+            width = lcm(len(table), align)
+            if width > REMAINDERS:
+                close()
+                width = align
+            at, most = at or key, max(most, align)
+            table = [_aligned(r + table[r % len(table)], align) + size - r for r in range(width)]
+        close()
+        yield pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("o", "i", "most", "fixed", "part_id", "count", "align", "alt_fixed", "alt_id")})
+
+
+def _whole(x) -> int | None:
+    """A number of a pandas column, in which nulls may stand as NaN."""
+    return None if x is None or x != x else int(x)
+
+
+def _read(items) -> list[dict]:
+    return [{k: v if k in ("shift", "array") else _whole(v) for k, v in e.items()} | {"shift": None if e["shift"] is None else [int(x) for x in e["shift"]]} for e in items]
+
+
+def _settle(alignment: int | None, items: list[dict], size_of: Callable[[int], int | None]) -> tuple[int | None, list[int]]:
+    """The size of a struct, or the types whose sizes it waits for."""
+    at, most, needs = 0, alignment or 1, []
+    for e in items:
+        if (shift := e["shift"]) is not None:
+            if not needs:
+                at += shift[at % len(shift)]
+                most = max(most, e["most"])
+            continue
+        element = e["fixed"] if e["fixed"] is not None else size_of(e["part_id"])
+        if element is None:
+            needs.append(e["part_id"])
+            continue
+        align, shown = e["align"], element
+        if align is None:
+            if element == 0:
+                shown = e["alt_fixed"] if e["alt_fixed"] is not None else 4 if e["alt_id"] is None else size_of(e["alt_id"])
+                if shown is None:
+                    needs.append(e["alt_id"])
+                    continue
+            align = 1 if shown <= 1 else 2 if shown <= 2 else 4
+        if not needs:
+            at = _aligned(at, align) + (1 if e["array"] and element == 0 else element) * e["count"]
+            most = max(most, align)
+    return (None, needs) if needs else (_aligned(at, most), [])
+
+
+@F.pandas_udf(T.StructType().add("size", T.IntegerType()).add("needs", T.ArrayType(T.IntegerType())))
+def _settled(structs: pd.Series, alignments: pd.Series, items: pd.Series, have: pd.Series) -> pd.DataFrame:
+    """Null items (structs that nothing new has come for) give nulls."""
+    got = [(None, None) if x is None else _settle(_whole(a), _read(x), dict(h).get) for a, x, h in zip(alignments, items, have)]
+    return pd.DataFrame({"size": pd.Series([g[0] for g in got], dtype="Int32"), "needs": [g[1] for g in got]})
+
+
+def settle_all(waiting: dict[int, tuple[int | None, list[dict], dict[int, int]]]) -> dict[int, int]:
+    """Sizes of structs (alignment, items, sizes of parts known before) in one go: levels, then circles, then levels again."""
+    sizes: dict[int, int] = {}
+    users: dict[int, set[int]] = defaultdict(set)
+    needs: dict[int, set[int]] = {}
+    todo = sorted(waiting)
+    while True:
+        while todo:
+            one = todo.pop()
+            if one not in waiting:
+                continue
+            alignment, items, have = waiting[one]
+            size, open_ = _settle(alignment, items, lambda p: have[p] if p in have else sizes.get(p))
+            needs[one] = set(open_)
+            if size is None:
+                for p in open_:
+                    users[p].add(one)
+                continue
+            sizes[one] = size
+            del waiting[one], needs[one]
+            for user in users.pop(one, ()):
+                if user in needs:
+                    needs[user].discard(one)
+                    if not needs[user]:
+                        todo.append(user)
+        if not waiting:
+            return sizes
+        circle = tarjan((s, p) for s, parts in needs.items() for p in parts)
+        for s, parts in needs.items():
+            if inner := [p for p in parts if s in circle and circle[s] == circle.get(p)]:
+                waiting[s][2].update(dict.fromkeys(inner, 4))
+                todo.append(s)
+        if not todo:
+            raise ValueError("structs wait for parts that are not types")
+
+
+def _settle_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    waiting = {}
+    for rows in batches:
+        for one, alignment, items, have in zip(rows["id"], rows["alignment"], rows["items"], rows["have"]):
+            waiting[int(one)] = (_whole(alignment), _read(items), dict(have))
+    sizes = settle_all(waiting)
+    yield pd.DataFrame({"id": list(sizes), "size": list(sizes.values())})
+
+
+def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, bases: DataFrame, parts: DataFrame | None = None, local: int = LOCAL) -> DataFrame:
+    """id, size of every type.  ``parts`` are those of :func:`member_parts`, if they are at hand."""
     rows = cut(types.select("id", "base_name", "kind", "alignment").dropDuplicates(["id"]))
     primitive, struct = S.is_sized_primitive(F.col("base_name")), F.coalesce(F.col("kind") == "Struct", F.lit(False))
-    known = cut(rows.where(primitive | ~struct).select("id", F.when(primitive, S.primitive_size(F.col("base_name"))).otherwise(4).alias("size")))
-    structs = cut(rows.where(~primitive & struct))
-    parts = cut(member_parts(members, references, types).join(structs.select(F.col("id").alias("struct_id")), "struct_id", "left_semi"))
+    plain = rows.where(primitive | ~struct).select("id", F.when(primitive, S.primitive_size(F.col("base_name"))).otherwise(4).cast("int").alias("size"))
+    structs = rows.where(~primitive & struct).select("id", "alignment")
+    parts = (member_parts(members, references, types) if parts is None else parts).join(structs.select(F.col("id").alias("struct_id")), "struct_id", "left_semi")
+    parts = parts.join(plain.select(F.col("id").alias("part_id"), F.col("size").alias("_p")), "part_id", "left").join(plain.select(F.col("id").alias("alt_id"), F.col("size").alias("_a")), "alt_id", "left")
+    align = F.coalesce("alignment", F.when(F.col("plain_pointer"), 4))
+    own = parts.select("struct_id", F.lit(1).alias("g"), F.col("decl_order").alias("o"), F.col("id").alias("i"), F.coalesce("fixed", "_p").alias("fixed"), "part_id", "count", "array", align.alias("align"), F.coalesce("alt_fixed", "_a").alias("alt_fixed"), "alt_id")
     heads = bases.where("related_type_id IS NOT NULL").join(rows.select(F.col("id").alias("related_type_id"), type_alignment(F.col("alignment"), F.col("base_name")).alias("align")), "related_type_id")
-    heads = cut(heads.join(structs.select(F.col("id").alias("parent_type_id")), "parent_type_id", "left_semi").select(F.col("parent_type_id").alias("struct_id"), "ord", F.col("id").alias("base_row"), F.col("related_type_id").alias("part_id"), "align", F.lit(None).cast("int").alias("fixed")))
-    # What a struct still waits for; a level takes those that wait for nothing, and what waits for them waits no longer.
-    needs = parts.where("part_id IS NOT NULL").select("struct_id", "part_id").unionByName(parts.where("fixed = 0 AND alt_fixed IS NULL AND alt_id IS NOT NULL").select("struct_id", F.col("alt_id").alias("part_id")))
-    needs = cut(needs.unionByName(heads.select("struct_id", "part_id")).distinct().join(known.select(F.col("id").alias("part_id")), "part_id", "left_anti"))
-    waiting = structs
-    while waiting.take(1):
-        ready = cut(waiting.join(needs.select(F.col("struct_id").alias("id")).distinct(), "id", "left_anti"))
-        if not ready.take(1):
-            # All that is left lies on a circle or above one.  Without the links inside circles, no circle is left.
-            back = closure(needs.select(F.col("struct_id").alias("child"), F.col("part_id").alias("parent"))).select(F.col("child").alias("part_id"), F.col("parent").alias("struct_id"))
-            inner = cut(needs.join(back, ["struct_id", "part_id"], "left_semi").select("struct_id", "part_id"))
-            if not inner.take(1):
-                raise ValueError("structs wait for parts that are not types")
-            parts, heads = cut(_broken(_broken(parts, inner, "part_id", "fixed"), inner, "alt_id", "alt_fixed")), cut(_broken(heads, inner, "part_id", "fixed"))
-            needs = cut(needs.join(inner, ["struct_id", "part_id"], "left_anti"))
+    heads = heads.join(structs.select(F.col("id").alias("parent_type_id")), "parent_type_id", "left_semi").join(plain.withColumnRenamed("id", "related_type_id"), "related_type_id", "left")
+    none = F.lit(None).cast("int")
+    above = heads.select(F.col("parent_type_id").alias("struct_id"), F.lit(0).alias("g"), F.col("ord").alias("o"), F.col("id").alias("i"), F.col("size").alias("fixed"), F.col("related_type_id").alias("part_id"), F.lit(1).alias("count"), F.lit(False).alias("array"), "align", none.alias("alt_fixed"), none.alias("alt_id"))
+    shown = F.when(F.col("fixed") == 0, F.coalesce("alt_fixed", F.when(F.col("alt_id").isNull(), 4))).otherwise(F.col("fixed"))
+    known_align = F.coalesce("align", _alignment_of_size(shown))
+    known = F.col("fixed").isNotNull() & (F.col("align").isNotNull() | shown.isNotNull())
+    counted = F.when(F.col("array") & (F.col("fixed") == 0), 1).otherwise(F.col("fixed")) * F.col("count")
+    elements = above.unionByName(own).select("*", F.when(known, counted).alias("known_size"), F.when(known, known_align).alias("known_align"))
+    laid = elements.repartitionByRange("struct_id", "g", "o", "i").sortWithinPartitions("struct_id", "g", "o", "i")
+    items = written(laid.mapInPandas(_shifts, _ITEM))
+    listed = items.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("g", "o", "i", "shift", "most", *[c.split()[0] for c in _ELEMENT.split(", ")]))).alias("items")).withColumnRenamed("struct_id", "id")
+    empty = F.array().cast(dict(listed.dtypes)["items"])
+    state = structs.join(listed, "id", "left").select("id", "alignment", F.coalesce("items", empty).alias("items"), F.create_map().cast("map<int,int>").alias("have"))
+    judged = cut(state.withColumn("r", _settled("id", "alignment", "items", "have")))
+    sized = [plain, _done(judged)]
+    waiting = judged.where("r.size IS NULL")
+    slots = items.where("shift IS NULL").select("struct_id", F.explode(F.array("part_id", "alt_id")).alias("part_id")).where("part_id IS NOT NULL").distinct()
+    slots = cut(slots.join(waiting.select(F.col("id").alias("struct_id")), "struct_id", "left_semi"))
+    # Sizes of level 0 go to all that wait for them.
+    waiting = cut(_filled(waiting, slots, sized[-1]))
+    while (left := waiting.agg(F.sum(F.size("items"))).first()[0]) and left > local:
+        judged = cut(waiting.withColumn("r", _settled("id", "alignment", F.when(F.col("touched"), F.col("items")), "have")).withColumn("r", F.when(F.col("touched"), F.col("r")).otherwise(F.col("old"))))
+        new, waiting = _done(judged), judged.where("r.size IS NULL")
+        if new.take(1):
+            sized.append(new)
+            waiting = cut(_filled(waiting, slots, new))
             continue
-        known = cut(known.unionByName(_level(ready, parts, heads, known)))
-        waiting = cut(waiting.join(ready.select("id"), "id", "left_anti"))
-        needs = cut(needs.join(ready.select(F.col("id").alias("part_id")), "part_id", "left_anti"))
-    return known
-
-
-def _broken(rows: DataFrame, inner: DataFrame, part: str, fixed: str) -> DataFrame:
-    """``rows`` whose ``part`` lies on a circle with their struct (``inner``) count four bytes for it."""
-    joined = rows.join(inner.select("struct_id", F.col("part_id").alias(part), F.lit(True).alias("_inner")), ["struct_id", part], "left")
-    return joined.withColumn(fixed, F.when(F.col("_inner"), 4).otherwise(F.col(fixed))).select(*rows.columns)
-
-
-def _level(waiting: DataFrame, parts: DataFrame, heads: DataFrame, known: DataFrame) -> DataFrame:
-    """id, size of structs whose parts all have a size in ``known``."""
-    ids = waiting.select(F.col("id").alias("struct_id"))
-    base = heads.join(ids, "struct_id", "left_semi").join(known.select(F.col("id").alias("part_id"), "size"), "part_id", "left").withColumn("size", F.coalesce("fixed", "size"))
-    own = _sized(parts.join(ids, "struct_id", "left_semi"), known)
-    rows = base.select("struct_id", F.lit(0).alias("_g"), F.col("ord").alias("_o"), F.col("base_row").alias("_i"), "size", "align").unionByName(own.select("struct_id", F.lit(1).alias("_g"), F.col("decl_order").alias("_o"), F.col("id").alias("_i"), "size", "align"))
-    listed = rows.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("_g", "_o", "_i", "size", "align"))).alias("parts"))
-    joined = waiting.join(listed, waiting.id == listed.struct_id, "left")
-    start = F.struct(F.lit(0).alias("at"), F.coalesce("alignment", F.lit(1)).alias("most"))
-    fold = F.aggregate(
-        F.coalesce("parts", F.array().cast(dict(listed.dtypes)["parts"])), start,
-        lambda s, p: F.struct((align_up(s["at"], p["align"]) + p["size"]).cast("int").alias("at"), F.greatest(s["most"], p["align"]).alias("most")),
-        lambda s: align_up(s["at"], s["most"]),
-    )
-    return joined.select("id", fold.cast("int").alias("size"))
+        # All that is left lies on a circle or above one.  Without the links inside circles, no circle is left.
+        open_ = waiting.select(F.col("id").alias("child"), F.explode("r.needs").alias("parent")).distinct()
+        circle = components(open_, local)
+        inner = open_.join(circle.select(F.col("node").alias("child"), F.col("component").alias("c")), "child").join(circle.select(F.col("node").alias("parent"), F.col("component").alias("p")), "parent").where("c = p")
+        fours = inner.groupBy(F.col("child").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("parent", F.lit(4)))).alias("new"))
+        waiting = cut(_taken(waiting, fours))
+        if not waiting.where("touched").take(1):
+            raise ValueError("structs wait for parts that are not types")
+    if left:
+        sized.append(waiting.select("id", "alignment", "items", "have").coalesce(1).mapInPandas(_settle_rest, "id int, size int"))
+    out = sized[0]
+    for more in sized[1:]:
+        out = out.unionByName(more)
+    return written(out)
+
+
+def _done(judged: DataFrame) -> DataFrame:
+    return judged.where("r.size IS NOT NULL").select("id", F.col("r.size").alias("size"))
+
+
+def _filled(waiting: DataFrame, slots: DataFrame, new: DataFrame) -> DataFrame:
+    """``waiting`` with the sizes in ``new`` where they are waited for."""
+    fills = slots.join(new.withColumnRenamed("id", "part_id"), "part_id")
+    return _taken(waiting, fills.groupBy(F.col("struct_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("part_id", "size"))).alias("new")))
+
+
+def _taken(waiting: DataFrame, new: DataFrame) -> DataFrame:
+    joined = waiting.join(new, "id", "left")
+    more = F.map_filter(F.coalesce("new", F.create_map().cast("map<int,int>")), lambda k, _: ~F.map_contains_key("have", k))
+    return joined.select("id", "alignment", "items", F.map_concat("have", more).alias("have"), F.col("new").isNotNull().alias("touched"), F.col("r").alias("old"))
 
 
 def base_sizes(bases: DataFrame, types: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -172,8 +334,9 @@ def fold_offsets(sized: DataFrame) -> DataFrame:
 
 def member_offsets(types: DataFrame, members: DataFrame, references: DataFrame, bases: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """struct_id, id, member_offset of all members of structs."""
-    sizes = sizes if sizes is not None else type_sizes(types, members, references, bases)
+    parts = written(member_parts(members, references, types))
+    sizes = sizes if sizes is not None else type_sizes(types, members, references, bases, parts)
     structs = types.where("kind = 'Struct'").select(F.col("id").alias("struct_id")).distinct()
-    parts = member_parts(members, references, types).join(structs, "struct_id", "left_semi")
+    parts = parts.join(structs, "struct_id", "left_semi")
     sized = _sized(parts, sizes).join(base_sizes(bases, types, sizes), "struct_id", "left")
     return fold_offsets(sized)

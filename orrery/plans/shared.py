@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -40,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(plain, spark)
 
 
+def cut_and_count(df: DataFrame, which: str) -> tuple[DataFrame, int]:
+    """:func:`cut`, and how many of the rows fulfil ``which``, counted on the way."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count_if(F.expr(which)).alias("n")))
+    return done, seen.get["n"]
+
+
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder when the driver's Python ends in good order; results may read it until then."""
     sc = spark.sparkContext
@@ -69,10 +76,12 @@ def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(counts: DataFrame, key: str, n: str, shares: int = 64) -> list:
-    """Keys that hold more than 1/``shares`` of all rows: fewer than ``shares``, so they may go to the driver."""
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    return [r[0] for r in counts.where((F.col(n) * shares > total) & F.col(key).isNotNull()).select(key).collect()] if total else []
+def hot_keys(counts: DataFrame, key: str, n: str, shares: int = 64, least: int = 0) -> list:
+    """Keys that hold more than 1/``shares`` of all rows, and ``least`` rows: fewer than ``shares``, so they may go to the driver."""
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    if not total or most < least or most * shares <= total:
+        return []
+    return [r[0] for r in counts.where((F.col(n) * shares > total) & (F.col(n) >= least) & F.col(key).isNotNull()).select(key).collect()]
 
 
 def salt(key: Column, hot: list, spread: Column, ways: int) -> Column:
@@ -88,8 +97,13 @@ def salted(per_key: DataFrame, key: str, hot: list, ways: int) -> DataFrame:
     return per_key.withColumn("_salt", F.explode(every))
 
 
-def join_to_keys(rows: DataFrame, per_key: DataFrame, key: str, spread: str, hot: list, how: str = "inner", ways: int = 64) -> DataFrame:
-    """``rows`` joined with one row per key by a sort-merge join whose hot keys are spread over ``ways`` tasks."""
+def join_to_keys(rows: DataFrame, per_key: DataFrame, key: str, spread: str, hot: list, how: str = "inner", ways: int = 64, merge: bool = True) -> DataFrame:
+    """``rows`` joined with ``per_key`` by a sort-merge join whose hot keys are spread over ``ways`` tasks.
+
+    Without hot keys, and not asked to ``merge``, it is a plain join, whose kind adaptive execution chooses by measured sizes.
+    """
+    if not hot and not merge:
+        return rows.join(per_key, key, how)
     left = rows.withColumn("_salt", salt(F.col(key), hot, F.col(spread), ways))
     return left.hint("merge").join(salted(per_key, key, hot, ways), [key, "_salt"], how).drop("_salt")
 

@@ -44,17 +44,17 @@ def graph(kind, seed):
     return [(r.randrange(60), r.randrange(60)) for _ in range(70)]
 
 
-@pytest.mark.parametrize("kind,seed,every", [("tree", 1, 4), ("chain", 1, 4), ("chain", 1, 2), ("dag", 2, 3), ("star", 1, 4), ("rings", 1, 4), ("rings", 1, 10**9), ("mixed", 3, 4), ("mixed", 4, 2), ("mixed", 5, 1)])
-def test_against_brute_force(spark, kind, seed, every):
+@pytest.mark.parametrize("kind,seed,every,local", [("tree", 1, 4, 0), ("chain", 1, 4, 0), ("chain", 1, 2, 10**6), ("dag", 2, 3, 0), ("dag", 2, 3, 10**6), ("star", 1, 4, 0), ("rings", 1, 4, 10**6), ("rings", 1, 10**9, 0), ("mixed", 3, 4, 0), ("mixed", 4, 2, 10**6), ("mixed", 5, 1, 0)])
+def test_against_brute_force(spark, kind, seed, every, local):
     links = sorted(set(graph(kind, seed)))
     roots, bad, circles, pairs = brute(links)
-    h = H.resolve(spark.createDataFrame(links, "child long, parent long"), every, paths=True)
+    h = H.resolve(spark.createDataFrame(links, "child long, parent long"), every, paths=True, local=local)
     assert {(r.node, r.root, r.depth) for r in h.roots.collect()} == roots
     assert {r.node for r in h.circular.collect()} == bad
     known = set(links)
     for r in h.roots.collect():
         assert len(r.path) == r.depth and r.path[-1] == r.root and all(s in known for s in zip([r.node, *r.path], r.path))
-    assert {tuple(r) for r in H.circle_links(h).collect()} == circles
+    assert {tuple(r) for r in H.circle_links(h, local).collect()} == circles
     if kind in ("dag", "rings", "mixed"):
         assert {(r.ancestor, r.node, r.depth) for r in H.ancestors(h).collect()} == pairs
 

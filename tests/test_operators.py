@@ -325,3 +325,42 @@ def test_stream(spark, tmp_path):
     q = loads_per_window(arriving(spark, timed, "at timestamp_ntz"), "at").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("w").collect()) == [1, 2]
+
+
+def test_layout_is_the_same_in_one_task_and_in_levels(spark):
+    # A chain of 300 structs, one long struct with many alignments, circles with what contains them, and structs of size 0.
+    r = random.Random(2)
+    types = [(k, f"T{k}", "Struct", r.choice([None, None, 8, 128]), f"T{k}") for k in range(340)]
+    members = [member(k, "p", f"T{k - 1}", 0) for k in range(1, 300)] + [member(k, "c", r.choice(["char", "short", "double"]), 1) for k in range(1, 300, 2)]
+    members += [member(300, f"m{k}", r.choice(["char", "short", "int", "double", "T7", "T9"]), k, alignment=r.choice([None, 2, 3, 128])) for k in range(80)]
+    members += [member(a, f"e{k}", f"T{b}", k) for k, (a, b) in enumerate([(310, 311), (311, 312), (312, 310), (312, 313), (313, 314), (314, 313), (315, 310), (316, 315), (317, 317), (316, 330)])]
+    t = spark.createDataFrame(types, "id int, base_name string, kind string, alignment int, stored_fully_qualified_name string")
+    m = spark.createDataFrame([(k, *x) for k, x in enumerate(members)], MEMBERS)
+    refs = spark.createDataFrame([], "id int, type_string string, referenced_type_id int, is_pointer boolean, is_array boolean, array_size int")
+    bases = spark.createDataFrame([(0, 316, 300, 0)], "id int, parent_type_id int, related_type_id int, ord int")
+    short = t.where("id >= 280"), m.where("struct_id >= 285")
+    at_once = {x.id: x.size for x in layout.type_sizes(*short, refs, bases).collect()}
+    assert at_once == {x.id: x.size for x in layout.type_sizes(*short, refs, bases, local=0).collect()}
+    whole = {x.id: x.size for x in layout.type_sizes(t, m, refs, bases).collect()}
+
+    def size(k, on=frozenset()):  # plain recursion
+        at, most = 0, types[k][3] or 1
+        for _, _, base, o in [(0, 316, 300, 0)] if k == 316 else []:
+            align = types[base][3] or 4
+            at, most = at + -at % align + size(base), max(most, align)
+        for s, _, kind, _, _, _, align, _ in members:
+            if s == k:
+                n = {"char": 1, "short": 2, "int": 4, "double": 8}.get(kind)
+                if n is None:
+                    other = int(kind[1:])
+                    ring = [c for c in ({310, 311, 312}, {313, 314}, {317}) if k in c and other in c]
+                    n = 4 if ring else size(other)
+                align = align or (1 if n <= 1 else 2 if n <= 2 else 4)
+                at = (at + -at % align if align > 1 else at) + n
+                most = max(most, align)
+        return at + -at % most
+
+    import sys
+
+    sys.setrecursionlimit(10_000)
+    assert all(whole[k] == size(k) for k in range(340))
