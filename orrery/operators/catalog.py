@@ -28,6 +28,11 @@ def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*keys, "_f.*")
 
 
+def once(df: DataFrame, key: str = "id") -> DataFrame:
+    """One row of those that share an ``id``; rows without one are kept unless wholly identical.  Columns nobody asks for aren't read."""
+    return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()).distinct())
+
+
 class Catalog:
     """The tables of a directory.  Tables that a catalog doesn't have are missing only when asked for."""
 
@@ -47,15 +52,15 @@ class Catalog:
 
     @property
     def members(self) -> DataFrame:
-        return self.table("struct_members").distinct()
+        return once(self.table("struct_members"))
 
     @property
     def bases(self) -> DataFrame:
-        return self.table("type_inheritances").distinct()
+        return once(self.table("type_inheritances"))
 
     @property
     def bodies(self) -> DataFrame:
-        return self.table("function_bodies").distinct()
+        return once(self.table("function_bodies"))
 
     # Filters.
 
@@ -86,7 +91,7 @@ class Catalog:
 
     def children(self, name: str, key: str, ids: DataFrame | None = None) -> DataFrame:
         """Rows of a child table, of some parents (``ids``: one column ``id``) or of all."""
-        rows = self.table(name).distinct()
+        rows = once(self.table(name))
         return rows if ids is None else rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_semi")
 
     def unresolved(self) -> DataFrame:

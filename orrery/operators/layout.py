@@ -59,6 +59,7 @@ def member_parts(members: DataFrame, references: DataFrame, types: DataFrame) ->
 
     An id without a type has no bytes.  What has no bytes aligns as its type string says: alt_fixed or alt_id.
     """
+    members = written(members.select("id", "struct_id", "name", "type_string", "type_reference_id", "decl_order", "bit_width", "alignment", "is_function_pointer"))
     refs = references.select(F.col("id").alias("type_reference_id"), "referenced_type_id", F.col("is_pointer").alias("_p"), F.col("is_array").alias("_a"), F.col("array_size").alias("_n"), F.col("type_string").alias("_s"))
     named = types.where(F.length("stored_fully_qualified_name") > 0).groupBy(F.col("stored_fully_qualified_name").alias("_text")).agg(F.min("id").alias("_named"))
     there = types.select(F.col("id").alias("referenced_type_id")).distinct().withColumn("_there", F.lit(True))

@@ -78,10 +78,10 @@ def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFram
 
 def hot_keys(counts: DataFrame, key: str, n: str, shares: int = 64, least: int = 0) -> list:
     """Keys that hold more than 1/``shares`` of all rows, and ``least`` rows: fewer than ``shares``, so they may go to the driver."""
-    total, most = counts.agg(F.sum(n), F.max(n)).first()
-    if not total or most < least or most * shares <= total:
-        return []
-    return [r[0] for r in counts.where((F.col(n) * shares > total) & (F.col(n) >= least) & F.col(key).isNotNull()).select(key).collect()]
+    seen = Observation()
+    top = counts.observe(seen, F.sum(n).alias("n")).where(F.col(key).isNotNull()).select(key, n).orderBy(F.desc(n)).limit(shares).collect()
+    total = seen.get["n"] or 0
+    return [k for k, m in top if m * shares > total and m >= least]
 
 
 def salt(key: Column, hot: list, spread: Column, ways: int) -> Column:
