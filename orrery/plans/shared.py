@@ -47,7 +47,7 @@ def cut_and_count(df: DataFrame, which: str) -> tuple[DataFrame, int]:
     return done, seen.get["n"]
 
 
-def _forget_at_exit(spark: SparkSession, path: str) -> None:
+def forget_at_exit(spark: SparkSession, path: str) -> None:
     """Deletes a table of the shared folder when the driver's Python ends in good order; results may read it until then."""
     sc = spark.sparkContext
     if (mine := getattr(sc, "_orrery_tables", None)) is None:
@@ -72,7 +72,7 @@ def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFram
     if partition_by:
         out = out.partitionBy(*partition_by)
     out.parquet(path)
-    _forget_at_exit(spark, path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -132,7 +132,7 @@ def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:
     sizes = sorted(tuple(r) for r in laid.groupBy("_pid").count().collect())
     before, first = [], 0
     for pid, n in sizes:
-        before += [F.lit(pid), F.lit(first)]
+        before.append((pid, first))
         first += n
-    offset = F.element_at(F.create_map(*before), F.col("_pid")) if before else F.lit(0)
-    return laid.withColumn(out, (F.row_number().over(W.partitionBy("_pid").orderBy(*order)) + offset).cast("int")).drop("_pid")
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_pid int, _before bigint"))  # one row per partition
+    return laid.join(offsets, "_pid").withColumn(out, (F.row_number().over(W.partitionBy("_pid").orderBy(*order)) + F.col("_before")).cast("int")).drop("_pid", "_before")
