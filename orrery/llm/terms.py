@@ -3,8 +3,9 @@
 1. *Blocks*: each task counts the terms of its own records (Arrow kernels), so a term in most records is one row per block.
 2. *Dictionary*: the blocks' terms are range-partitioned and sorted; a term's identifier is its rank, from its rank in its
    partition and the number of terms before that partition (one number per partition goes through the driver).
-3. *Count arrays*: encoded, each block of the dictionary adds its counts into dense arrays, one per range of ``WIDTH`` identifiers.
-4. *Sums*: the arrays are summed by identifier range and decoded.
+3. *Count arrays*: encoded, each block adds its counts into dense arrays, one per range of ``WIDTH`` identifiers.
+4. *Sums*: the arrays of an identifier range are summed, cell by cell, and decoded.  Encoded counts lie in order of terms, so only tasks
+   that read neighbouring parts of them have arrays of the same range.
 
 The number of records is counted along, as that of a term no text can hold (the empty one).
 """
@@ -87,6 +88,16 @@ def _count_arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out()
 
 
+def _summed(arrays: pd.DataFrame) -> pd.DataFrame:
+    """The arrays of one (part, block) to (part, term_id, occurrences, records) of the cells that aren't 0."""
+    sums = [np.zeros(WIDTH, dtype=np.int64), np.zeros(WIDTH, dtype=np.int64)]
+    for total, column in zip(sums, (arrays.occurrences, arrays.records)):
+        for array in column:
+            total += array
+    at = np.flatnonzero(sums[0] | sums[1])
+    return pd.DataFrame({"part": np.full(len(at), arrays.part.iloc[0]), "term_id": arrays.block.iloc[0] * WIDTH + at, "occurrences": sums[0][at], "records": sums[1][at]})
+
+
 def term_counts(records: DataFrame) -> DataFrame:
     """part, term, occurrences, records of ``records`` (part int, text string: one row per record).
 
@@ -96,20 +107,18 @@ def term_counts(records: DataFrame) -> DataFrame:
     tokens = records.select("part", F.concat(F.array(F.lit("")), listed).alias("terms"))
     blocks = written(tokens.select("part", "terms", F.array_distinct("terms").alias("once")).mapInArrow(_block_counts, "part int, term string, occurrences bigint, records bigint"))
     laid = written(blocks.repartitionByRange("term").withColumn("pid", F.spark_partition_id()))
-    sizes = {r[0]: r[1] for r in laid.groupBy("pid").agg(F.countDistinct("term")).collect()}
-    before, first = {}, 0
-    for pid in sorted(sizes):
-        before[pid], first = first, first + sizes[pid]
-    if not before:
-        return records.sparkSession.createDataFrame([], "part int, term string, occurrences bigint, records bigint")
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("pid"))
-    encoded = laid.withColumn("term_id", (F.dense_rank().over(W.partitionBy("pid").orderBy("term")) - 1 + offset).cast("long"))
+    sizes = sorted(tuple(r) for r in laid.groupBy("pid").agg(F.countDistinct("term")).collect())
+    before, first = [], 0
+    for pid, n in sizes:
+        before.append((pid, first))
+        first += n
+    offsets = F.broadcast(records.sparkSession.createDataFrame(before, "pid int, _before bigint"))  # one row per partition
+    laid = laid.join(offsets, "pid")
+    encoded = laid.withColumn("term_id", (F.dense_rank().over(W.partitionBy("pid").orderBy("term")) - 1 + F.col("_before")).cast("long"))
     encoded = written(encoded.select("part", "term", "term_id", "occurrences", "records"))
     dictionary = encoded.select("term_id", "term").distinct()
     arrays = encoded.select("part", "term_id", "occurrences", "records").mapInPandas(_count_arrays, "part int, block bigint, occurrences array<bigint>, records array<bigint>")
-    flat = arrays.select("part", "block", F.posexplode(F.arrays_zip("occurrences", "records")).alias("at", "c")).where("c.records > 0 OR c.occurrences > 0")
-    sums = flat.groupBy("part", "block", "at").agg(F.sum("c.occurrences").alias("occurrences"), F.sum("c.records").alias("records"))
-    sums = sums.select("part", (F.col("block") * WIDTH + F.col("at")).alias("term_id"), "occurrences", "records")
+    sums = arrays.groupBy("part", "block").applyInPandas(_summed, "part int, term_id bigint, occurrences bigint, records bigint")
     return sums.join(dictionary, "term_id").select("part", "term", "occurrences", "records")
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions.typekeys import written_key
@@ -19,7 +20,7 @@ def test_batches_give_what_one_gives(spark, tmp_path):
     records = [(i, r.choice(SPELLINGS), "x", 0) for i in range(400)]
     r.shuffle(records)
     key = written_key(F.col("v"))
-    ledger = Ledger(spark, f"{tmp_path}/l", buckets=4)
+    ledger = Ledger(spark, f"{tmp_path}/l", 4)
     for k in range(0, 400, 90):
         ledger.add(batch(spark, records[k : k + 90]), "id", "v", key)
     ledger.add(batch(spark, []), "id", "v", key)
@@ -31,25 +32,38 @@ def test_batches_give_what_one_gives(spark, tmp_path):
     want = sorted((len(g), *min(g)) for g in groups.values())
     got = lambda led: sorted((x.copies, x.first_id, x.first_value) for x in led.records().collect())
     assert got(ledger) == want
-    assert got(Ledger(spark, f"{tmp_path}/l", buckets=4)) == want  # opened again
+    assert got(Ledger(spark, f"{tmp_path}/l", 4)) == want  # opened again
     assert rows(copies(batch(spark, records), "id", key, ledger)) == sorted((min(g)[0], i) for g in groups.values() for i, _ in g if i != min(g)[0])
 
 
-def test_a_generation_without_its_mark_does_not_count(spark, tmp_path):
+def test_a_batch_counts_once_and_only_when_it_is_in(spark, tmp_path):
     key = F.col("v")
-    Ledger(spark, f"{tmp_path}/l").add(batch(spark, [(2, "a", "", 0)]), "id", "v", key).add(batch(spark, [(1, "a", "", 0)]), "id", "v", key)
-    (tmp_path / "l" / "gen=2" / "_SUCCESS").unlink()
-    again = Ledger(spark, f"{tmp_path}/l")
-    assert [tuple(r) for r in again.records().collect()] == [("a", 1, 2, "a")]
-    again.add(batch(spark, [(1, "a", "", 0)]), "id", "v", key)
+    Ledger(spark, f"{tmp_path}/l", 2).add(batch(spark, [(2, "a", "", 0)]), "id", "v", key, "one").add(batch(spark, [(1, "a", "", 0)]), "id", "v", key, "two")
+    again = Ledger(spark, f"{tmp_path}/l", 2).add(batch(spark, [(1, "a", "", 0)]), "id", "v", key, "two")
     assert [tuple(r) for r in again.records().collect()] == [("a", 2, 1, "a")]
+    (tmp_path / "l" / f"manifest={again.version + 1}").write_text("{")  # a writer died here
+    other = Ledger(spark, f"{tmp_path}/l", 2)
+    assert [tuple(r) for r in other.records().collect()] == [("a", 2, 1, "a")] and other.batches == ["one", "two"]
+    with pytest.raises(Exception, match="exist"):
+        other.add(batch(spark, [(7, "b", "", 0)]), "id", "v", key, "three")
 
 
-def test_only_met_buckets_are_written(spark, tmp_path):
-    ledger = Ledger(spark, f"{tmp_path}/l", buckets=16).add(batch(spark, [(i, f"v{i}", "", 0) for i in range(200)]), "id", "v", F.col("v"))
-    ledger.add(batch(spark, [(500, "v1", "", 0)]), "id", "v", F.col("v"))
-    assert len(list((tmp_path / "l" / "gen=2").glob("bucket=*"))) == 1
-    assert sum(r.copies for r in ledger.records().collect()) == 201
+def test_small_batches_leave_large_runs_alone(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/l", 4).add(batch(spark, [(i, f"v{i}", "", 0) for i in range(200)]), "id", "v", F.col("v"))
+    first = ledger.runs[0]
+    for k in range(6):
+        ledger.add(batch(spark, [(500 + k, f"v{k % 2}", "", 0)]), "id", "v", F.col("v"))
+    assert ledger.runs[0] == first and len(ledger.runs) <= 3
+    assert len(list((tmp_path / "l").glob("run_*"))) == len(ledger.runs) and len(list((tmp_path / "l").glob("manifest=*"))) == 1
+    got = {r.key: r.copies for r in ledger.records().collect()}
+    assert len(got) == 200 and sum(got.values()) == 206 and got["v0"] == 4
+
+
+def test_the_larger_run_is_not_shuffled(spark, tmp_path):
+    key = F.col("v")
+    ledger = Ledger(spark, f"{tmp_path}/l", 4).add(batch(spark, [(i, f"v{i}", "", 0) for i in range(200)]), "id", "v", key).add(batch(spark, [(500, "v1", "", 0)]), "id", "v", key)
+    plan = ledger.records()._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in plan and plan.count("Exchange hashpartitioning") == 0  # both are bucketed alike
 
 
 def test_hot_key_ties_and_long_texts(spark, tmp_path):
