@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import strings as S
-from orrery.sources.tables import table
+from orrery.sources.tables import replace, table
 
 
 def gathered(children: DataFrame, key: str, order: list[str], *columns: str, alias: str = "items") -> DataFrame:
@@ -197,14 +197,4 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: Column,
 
 def save(df: DataFrame, directory: str, name: str) -> None:
     """Replaces a table when its new version is written completely; readers see the old or the new one."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = lambda x: jvm.org.apache.hadoop.fs.Path(f"{directory}/{x}")
-    df.write.mode("overwrite").parquet(f"{directory}/{name}.parquet.new")
-    new, now, old = path(f"{name}.parquet.new"), path(f"{name}.parquet"), path(f"{name}.parquet.old")
-    fs = now.getFileSystem(conf)
-    fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(new, now)
-    fs.delete(old, True)
+    replace(df, directory, name)

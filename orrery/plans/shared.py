@@ -13,10 +13,13 @@ from pyspark.sql.window import Window as W
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``; a temporary one where that is unset and everything runs on one
+    machine (tests)."""
     sc = spark.sparkContext
     if named := sc.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     if not (own := getattr(sc, "_orrery_dir", None)):
         sc._orrery_dir = own = "file://" + tempfile.mkdtemp(prefix="orrery-")
     return own
@@ -33,6 +36,7 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(spark))
+    forget_at_exit(spark, sc._jsc.sc().getCheckpointDir().get())
     done = df.checkpoint(eager=True)
     if int(str(done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1 << 62:
         return done
@@ -62,7 +66,8 @@ def forget_at_exit(spark: SparkSession, path: str) -> None:
                 pass
 
         atexit.register(clean)
-    mine.append(path)
+    if path not in mine:
+        mine.append(path)
 
 
 def written(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
@@ -120,7 +125,7 @@ def running_sum(df: DataFrame, group: str, order: list[str], value: str, out: st
     sums = laid.groupBy(pid, group).agg(F.sum(value).alias("_sum"))
     before = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(W.partitionBy(group).orderBy(pid).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     local = F.coalesce(F.sum(value).over(W.partitionBy(pid, group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return laid.withColumn("_local", local).join(F.broadcast(before), [pid, group]).withColumn(out, (F.col("_local") + F.col("_base")).cast(T.LongType())).drop("_local", "_base", pid)
+    return laid.withColumn("_local", local).join(before, [pid, group]).withColumn(out, (F.col("_local") + F.col("_base")).cast(T.LongType())).drop("_local", "_base", pid)
 
 
 def row_numbers(df: DataFrame, order: list[str], out: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from orrery.operators.catalog import save, upsert
+from orrery.sources.tables import exists, table
 
 
 def arriving(spark: SparkSession, directory: str, schema) -> DataFrame:
@@ -23,10 +24,7 @@ def keep_latest(stream: DataFrame, directory: str, name: str, keys: list[str], o
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            now = spark.read.parquet(f"{directory}/{name}.parquet")
-        except Exception:  # the table doesn't exist yet
-            now = batch.limit(0)
+        now = table(spark, directory, name) if exists(spark, directory, name) else batch.limit(0)
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
         save(upsert(now, last, keys, F.col(order)), directory, name)
 

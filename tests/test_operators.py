@@ -8,6 +8,7 @@ from orrery.operators import catalog as K
 from orrery.operators import graph, layout, pipeline, render, resolution, rules
 from orrery.plans.shared import row_numbers
 from orrery.sources import listings
+from orrery.sources.tables import table
 from tests.conftest import rows
 
 
@@ -289,8 +290,11 @@ def test_changes(spark, tmp_path):
     up = K.upsert(old, spark.createDataFrame([(2, "B", None), (5, "e", "z")], "id int, name string, note string"), ["id"], F.lit(0), ("note",))
     assert rows(up) == [(1, "a", None), (2, "B", "x"), (5, "e", "z")]
     K.save(old, str(tmp_path), "t")
-    K.save(K.delete(spark.read.parquet(f"{tmp_path}/t.parquet"), spark.createDataFrame([(1,)], "id int")), str(tmp_path), "t")
-    assert rows(spark.read.parquet(f"{tmp_path}/t.parquet")) == [(2, "b", "x")]
+    first = table(spark, str(tmp_path), "t")
+    K.save(K.delete(first, spark.createDataFrame([(1,)], "id int")), str(tmp_path), "t")
+    assert rows(table(spark, str(tmp_path), "t")) == [(2, "b", "x")] and len(rows(first)) == 2  # who reads the old version still has it
+    K.save(old, str(tmp_path), "t")
+    assert len(rows(table(spark, str(tmp_path), "t"))) == 2 and len(list(tmp_path.glob("t.*.version"))) == 2
 
 
 def test_row_numbers(spark):
@@ -319,7 +323,12 @@ def test_stream(spark, tmp_path):
     for batch in ([(1, "a", 1), (2, "b", 1)], [(1, "c", 3), (1, "old", 2), (3, None, 1)]):
         spark.createDataFrame(batch, "id int, v string, at int").write.mode("append").parquet(source)
         keep_latest(arriving(spark, source, "id int, v string, at int"), kept, "t", ["id"], "at", f"{tmp_path}/cp").awaitTermination()
-    assert rows(spark.read.parquet(f"{kept}/t.parquet")) == [(1, "c", 3), (2, "b", 1), (3, None, 1)]
+    assert rows(table(spark, kept, "t")) == [(1, "c", 3), (2, "b", 1), (3, None, 1)]
+    for f in (tmp_path / "kept").glob("t.*.version/*.parquet"):
+        f.write_bytes(b"broken")
+    spark.createDataFrame([(9, "z", 9)], "id int, v string, at int").write.mode("append").parquet(source)
+    with pytest.raises(Exception):  # a table that can't be read is not taken for none
+        keep_latest(arriving(spark, source, "id int, v string, at int"), kept, "t", ["id"], "at", f"{tmp_path}/cp").awaitTermination()
     timed = f"{tmp_path}/timed"
     spark.sql("SELECT timestamp_ntz'2025-01-01 03:00:00' AS at UNION ALL SELECT timestamp_ntz'2025-01-01 05:00:00' UNION ALL SELECT timestamp_ntz'2025-01-09 05:00:00'").write.parquet(timed)
     q = loads_per_window(arriving(spark, timed, "at timestamp_ntz"), "at").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
