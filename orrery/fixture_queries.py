@@ -136,7 +136,7 @@ def _pipeline(s: SparkSession) -> tuple[DataFrame, DataFrame, pipeline.Stage]:
 
 fixture("fx_j17_pending", "full_name", ("B",))(lambda s: pipeline.pending(_pipeline(s)[0], _pipeline(s)[1], "s").select("full_name"))
 fixture("fx_k5_resumed", "full_name, status, content", ("A", "Success", "<summary>old</summary>"), ("B", "Success", "<summary>B</summary>"))(
-    lambda s: pipeline.merged(_pipeline(s)[1], pipeline.run_stage(_pipeline(s)[0], _pipeline(s)[1], _pipeline(s)[2])).select("full_name", "status", "content")
+    lambda s: pipeline.merged(_pipeline(s)[1], pipeline.run_stage(_pipeline(s)[0], _pipeline(s)[1], _pipeline(s)[2])[0]).select("full_name", "status", "content")
 )
 fixture("fx_x41_summaries", "t, ok", ("<summary>a</summary>", True), ("<a><summary/></a>", False), ("<summary>", False), ("", False))(
     lambda s: s.createDataFrame([("<summary>a</summary>",), ("<a><summary/></a>",), ("<summary>",), ("",)], "t string").select("t", F.udf(pipeline.has_summary, "boolean", useArrow=True)("t").alias("ok"))

@@ -432,7 +432,7 @@ query("k5_upsert", "SELECT user_id, CASE WHEN count(*) FILTER (event_id % 2 = 1)
 )
 _stage = pipeline.Stage("CommentEnums", "Write a summary.", pipeline.stub_checker, pipeline.stub_writer)
 query("e2_stage", "SELECT 'CommentEnums' AS stage, 'Enum' AS entity_type, coalesce(stored_fully_qualified_name, base_name, 'Unknown') AS full_name, 'Success' AS status FROM types WHERE NOT is_ignored AND kind = 'Enum'")(
-    lambda c: pipeline.run_stage(c.work_items(("Enum",)).withColumn("target", F.col("full_name")), c.spark.createDataFrame([], pipeline.RESULTS), _stage).select("stage", "entity_type", "full_name", "status")
+    lambda c: pipeline.run_stage(c.work_items(("Enum",)).withColumn("target", F.col("full_name")), c.spark.createDataFrame([], pipeline.RESULTS), _stage)[0].select("stage", "entity_type", "full_name", "status")
 )
 query("d_update_path", "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN 'moved' END, base_type_path) AS base_type_path FROM types")(lambda c: K.update(c.types, c.types.where("id % 2 = 0").select("id", F.lit("moved").alias("base_type_path"))).select("id", "base_type_path"))
 query("d_delete_members", f"SELECT id FROM {MEMBERS} WHERE struct_id NOT IN (SELECT id FROM types WHERE namespace = 'Net') OR struct_id IS NULL")(lambda c: K.delete(c.members, c.types_in("Net").select("id"), "struct_id").select("id"))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,10 +248,10 @@ def test_term_hits(spark):
 def test_pipeline_resumes_and_retries(spark):
     items = spark.createDataFrame([("Enum", "A", "A"), ("Enum", "B", "B")], "entity_type string, full_name string, target string")
     stage = pipeline.Stage("s", "sys", pipeline.stub_checker, pipeline.stub_writer)
-    first = pipeline.merged(spark.createDataFrame([], pipeline.RESULTS), pipeline.run_stage(items, spark.createDataFrame([], pipeline.RESULTS), stage))
+    first = pipeline.merged(spark.createDataFrame([], pipeline.RESULTS), pipeline.run_stage(items, spark.createDataFrame([], pipeline.RESULTS), stage)[0])
     assert {r.status for r in first.collect()} == {"Success"} and first.count() == 2
-    assert pipeline.run_stage(items, first, stage).count() == 0  # nothing is asked again
-    assert pipeline.run_stage(items, first, stage, pipeline.Options(force=True)).count() == 2
+    assert pipeline.run_stage(items, first, stage)[0].count() == 0  # nothing is asked again
+    assert pipeline.run_stage(items, first, stage, pipeline.Options(force=True))[0].count() == 2
     got = pipeline.statistics(first).first()
     assert (got.total, got.succeeded, got.failed, got.retries) == (2, 2, 0, 0)
     assert pipeline.statistics(first.limit(0)).first().hit_rate == 0
@@ -259,13 +260,36 @@ def test_pipeline_resumes_and_retries(spark):
 def test_one_item():
     answers = iter([("no tag", 1, 1), ("```xml\n<summary>x</summary>\n```", 1, 1), ("<summary>y</summary>", 1, 1)])
     checks = iter([("not json", 1, 1), ('{"valid": false, "reason": "bad"}', 1, 1), ('{"valid": true}', 1, 1)])
-    stage = pipeline.Stage("s", "sys", lambda p: next(checks), lambda p: next(answers))
-    got = pipeline.process("t", stage, pipeline.Options(retries=5))
-    assert (got["status"], got["content"], got["retries"], got["cache_hit"]) == ("Success", "<summary>y</summary>", 2, False)
-    never = pipeline.Stage("s", "sys", pipeline.stub_checker, lambda p: ("<summary>", 1, 1))
-    assert pipeline.process("t", never, pipeline.Options(retries=2))["status"] == "Failed"
-    hit = pipeline.process("t", stage=pipeline.Stage("s", "sys", pipeline.stub_checker, never.write), options=pipeline.Options(), cached=("<summary>c</summary>", 3, 4))
-    assert hit["cache_hit"] and hit["content"] == "<summary>c</summary>"
+    stage = pipeline.Stage("s", "sys", lambda p, o: next(checks), lambda p, o: next(answers))
+    got, calls = pipeline.process("t", stage, pipeline.Options(retries=5))
+    assert (got["status"], got["content"], got["retries"], got["cache_hit"], len(calls)) == ("Success", "<summary>y</summary>", 2, False, 6)
+    again, asked = pipeline.process("t", stage, pipeline.Options(retries=5), {c[0]: c[2:] for c in calls})  # retries and checks are known, too
+    assert again["cache_hit"] and not asked and {k: again[k] for k in got if k not in ("cache_hit", "llm_ms")} == {k: got[k] for k in got if k not in ("cache_hit", "llm_ms")}
+    never = pipeline.Stage("s", "sys", pipeline.stub_checker, lambda p, o: ("<summary>", 1, 1))
+    assert pipeline.process("t", never, pipeline.Options(retries=2))[0]["status"] == "Failed"
+    seen = []
+    limits = pipeline.Stage("s", "sys", pipeline.stub_checker, lambda p, o: (seen.append((o.max_tokens, o.temperature)), ("<summary>a</summary>", 1, 1))[1])
+    pipeline.process("t", limits, pipeline.Options(max_tokens=7, temperature="0.1"))
+    assert seen == [(7, "0.1")]
+
+
+def test_nothing_is_asked_twice(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def writer(prompt, options):
+        with open(log, "a") as f:
+            f.write("w\n")
+        time.sleep(0.01)
+        return "<summary>" + prompt.splitlines()[-1] + "</summary>", 1, 1
+
+    items = spark.createDataFrame([("Enum", f"N{k}", f"N{k}") for k in range(10)], "entity_type string, full_name string, target string")
+    stages = [(pipeline.Stage(n, f"system of {n}", pipeline.stub_checker, writer), items) for n in "abc"]
+    results, cache = pipeline.run(spark, stages)
+    for _ in range(2):
+        assert results.where("status = 'Success'").count() == 30 and cache.count() == 60
+    assert len(open(log).readlines()) == 30 and pipeline.statistics(results).first().mean_ms >= 10
+    forced, more = pipeline.run(spark, stages, results, pipeline.Options(force=True), cache)
+    assert forced.where("cache_hit").count() == 30 and more.count() == 60 and len(open(log).readlines()) == 30
 
 
 def test_stage_order():
