@@ -1,7 +1,6 @@
 """Fixed values that results depend on: word lists, lookup tables and patterns, as they have to be.
 
-Tables that belong to one deployment (names to ignore, rules for folders) are parameters of the operators; what stands here are their
-defaults.
+Lists that belong to one deployment (names to ignore) are parameters of the operators, too; what stands here are their defaults.
 """
 
 from __future__ import annotations
@@ -102,11 +101,44 @@ TYPE_WORDS = (
     "__ptr32", "__ptr64", "__w64", "__try", "__except", "__finally",
 )
 
-# Types whose name ends so are left out by default; a leading underscore also leaves a name out.
+# Types whose name ends so are left out.
 IGNORED_SUFFIXES = ("_", "_tag")
-IGNORED_PREFIXES = ("_", "tag", "ATL", "WinInet", "Windows", "std", "SCARD", "RPC", "MSXML", "IMedia", "IPersist", "D3DXTex", "SYSTEM_", "sock", "type_info", "exception", "CBase", "CEnum", "CMedia")
+# And those whose name begins so.
+IGNORED_PREFIXES = (
+    "_", "tag", "ATL", "WinInet", "Windows", "std", "SCARD", "SB", "RPC", "OPENCARD", "MSXML", "IMedia", "IMem", "IXML", "ISynchronize", "IOle",
+    "IPersist", "IPin", "IPipe", "IProperty", "IQua", "IQeue", "IRe", "IOp", "IMe", "IMa", "IInt", "IHttp", "IGraph", "IFil", "IEn", "ICreate",
+    "ICon", "D3DXTex", "tMIXERCONTROLDETAILS", "SYSTEM_", "IDirect", "DIDEVICE", "sock", "tACMSTREAMHEADER", "tWAVEFORMATEX", "signed_", "value_",
+    "val_", "provider_info", "type_info", "tree_desc_s", "internal_state", "streambuf", "filebuf", "ios", "ofstream", "ostream", "protoent",
+    "linger", "istream", "inflate_", "in_addr", "ifstream", "netent", "localVar", "Param", "hostent", "servent", "get_storage_type", "fstream",
+    "fd_", "exception", "ct_data_s", "config_s", "_com", "XMLDOM", "URL_COMPONENTSW", "TypeDescriptor", "SHEPHANDLE", "QzCComPtr", "RASIPADDR",
+    "QOS_OBJECT_HDR", "POWER_ACTION_POLICY", "PMD", "NUMPARSE", "MENUITEMTEMPLATE", "MIDIFILEHDR", "AVL", "z_stream_s", "static_tree_desc_s", "stat",
+    "pvalue", "TGA", "TEMPEVENT", "IWinInet", "IWaitMultiple", "IXTLRuntime", "IType", "IStdMarshalInfo", "IROTData", "IPrintDialog", "INTRACKSTATE",
+    "INFILESTATE", "IMoniker", "ILBM", "ICD", "ICIDM", "IBind", "IAsync", "IAuthenticate", "IAdvice", "IAddr", "HttpClient", "HID", "GRP",
+    "FLASHWINFO", "DID", "DE", "DIP", "DIE", "DIF", "DLG", "DRVCONFIGINFOEX", "CS_STUB_INFO", "CSI", "CPPEH_RECORD", "CONFIRMSAFETY",
+    "CM_Power_Data_s", "BITMAPV", "BATTERY_REPORTING_SCALE", "ALP", "AM_SEEKING", "CubeTexture", "ADDRESS_MODE", "BlitFormat", "_bstr_t", "_STL",
+    "XLAT_SIDE", "VXDINSTANCE", "WTimer", "WLogSystem", "STUB_PHASE", "SQFL", "ReplacesCorHdrNumericDefines", "RDBBitmask", "PROXY_PHASE",
+    "POWER_INFORMATION_LEVEL", "POWER_ACTION", "PIDMSI_STATUS_VALUE", "OfflineFolderStatus", "MySTLSortFunction_LRU", "LSA_FOREST_TRUST_RECORD_TYPE",
+    "LMINMAX", "LIST_ENTRY", "LATENCY_TIME", "IUrlMon", "IThumbnailExtractor", "ITimeAndNoticeControl", "ISurrogate", "ISupportErrorInfo",
+    "ISoftDistExt", "IServiceProvider", "IRootStorage", "IRunnableObject", "IRunningObject", "CSeekingPassThru", "ISeekingPassThru",
+    "IPSFactoryBuffer", "IProgressNotify", "IProcessInitControl", "IPropertyBag", "IParseDisplayName", "IObjectWithSite", "IObjectFactory",
+    "INTERNET_SCHEME", "IMultiQI", "AsyncIMultiQI", "IMAGE_LOAD_CONFIG_DIRECTORY", "IMAGE_COR20_HEADER", "IMAGE_AUX_SYMBOL", "ILockBytes",
+    "ILayoutStorage", "IForegroundTransfer", "IGlobalInterfaceTable", "IExternalConnection", "IError", "IDummyHICONIncluder", "ICSETSTATUSPROC",
+    "IComThreadingInfo", "ICodeInstall", "IWindowForBindingUI", "IClassFactory", "ICatRegister", "ICatalogFileInfo", "ICancelMethodCalls",
+    "ICallFactory", "IBlockingLock", "IBaseFilter", "IAdviseSink", "FOURCCMap", "CMsg", "CEm", "CEd", "CAutoUsingOutputPin", "BIDI_TYPE",
+    "IMPORT_OBJECT_HEADER", "FallocPool", "IntrusiveLFData", "Intrusive_MW", "ANON_OBJECT_HEADER", "ANSIColorStatus", "ARRAY_INFO", "CHid'", "CBase",
+    "CDeferredCommand", "IDeferredCommand", "CDispParams", "CDynamicOutputPin", "CEnum", "CMedia", "CBasicAudio", "CGenericList", "CHid",
+    "CMemAllocator", "CPosPassThru", "CRendererPosPassThru", "CSourceSeeking", "FT", "InteractiveOutputHandler", "LogTextTypeEnumMapper", "LookFile",
+    "ProjectSettings", "Resource", "UDATE", "CRendererInputPin", "CTextureRenderer", "CCmdQueue", "CSourcePosition", "SerializationBehavior",
+)
 # And these are kept all the same.
-KEPT_NAMES = ("_IDClass", "_GUID", "_tagDataID", "_tag", "_tagVersionHandle", "_tagCellID", "tagPOINT", "tagRECT", "tagBLOB", "_LARGE_INTEGER", "_ULARGE_INTEGER", "CBaseQualities", "CBaseQualities_vtbl", "CBasePiece", "SCARD_T0_COMMAND")
+KEPT_NAMES = (
+    "_IDClass", "D3DPolyRender", "_GUID", "IFileNodeName", "IFileNodeName_vtbl", "_tagDataID", "_tag", "_tagVersionHandle", "_tagCellID", "tagPOINT",
+    "CEmoteTable", "tagRECT", "_D3DPOOL", "_D3DFORMAT", "tWAVEFORMATEX", "IOptionChangeHandler", "_PUBLICKEYSTRUC", "_SECURITY_DESCRIPTOR",
+    "_RTL_CRITICAL_SECTION", "_MMCKINFO", "CBaseQualities", "CBaseQualities_vtbl", "CBasePiece", "tagBLOB", "IObjectFactory", "_D3DLIGHT9",
+    "_D3DLIGHTTYPE", "_D3DCOLORVALUE", "_D3DVECTOR", "ICIDM", "ICIDM_vtbl", "IResourceNotify", "_WSABUF", "SCARD_T0_COMMAND", "HIDREPORTINFO",
+    "_D3DMATERIAL9", "_InstanceID", "_D3DMATRIX", "_D3DDEVTYPE", "_D3DCAPS9", "_D3DRESOURCETYPE", "_D3DPRIMITIVETYPE", "_D3DVSHADERCAPS2_0",
+    "IConsoleCallbackObject", "_LARGE_INTEGER", "_ULARGE_INTEGER",
+)
 
 # The line before a definition, and the line before a function body.
 DEFINITION_MARK = r"/\*\s*\d+\s*\*/"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orrery.functions.fixed import CALLING_CONVENTIONS, IGNORED_PREFIXES, IGNORED_SUFFIXES, KEPT_NAMES, PRIMITIVE_COMBINATIONS, PRIMITIVE_NAMES, PRIMITIVE_SIZES, REMAPS, RESERVED, TYPE_WORDS
+from orrery.functions.fixed import CALLING_CONVENTIONS, FUNCTION_MARK, IGNORED_PREFIXES, IGNORED_SUFFIXES, KEPT_NAMES, PRIMITIVE_COMBINATIONS, PRIMITIVE_NAMES, PRIMITIVE_SIZES, REMAPS, RESERVED, STATIC_LINE, TYPE_WORDS
 
 _PRIMITIVE = tuple(dict.fromkeys(x.lower() for x in (*PRIMITIVE_NAMES, *PRIMITIVE_COMBINATIONS)))
 
@@ -122,6 +122,38 @@ def should_ignore(name: Column, prefixes: tuple[str, ...] = IGNORED_PREFIXES, su
     return F.coalesce((F.length(name) > 0) & ~name.isin(*kept) & name.rlike(pattern), F.lit(False))
 
 
+def is_table_pointer(name: Column, type_string: Column) -> Column:
+    """Whether a member points to a table of virtual functions, by its name or type."""
+    return F.coalesce(name.rlike("vftable|vtbl|__vfptr"), F.lit(False)) | F.coalesce(F.contains(type_string, F.lit("_vtbl")) | F.contains(type_string, F.lit("Vtbl")), F.lit(False))
+
+
+def is_suppressed(signature: Column) -> Column:
+    """Whether a function is written as a comment only."""
+    return signature.rlike(r"__userpurge|operator\*")
+
+
+def is_static_line(line: Column) -> Column:
+    """Whether a line of a listing declares a static variable; tables of virtual functions aren't any."""
+    return F.coalesce(~F.contains(line, F.lit("vftable")) & F.trim(line).rlike(STATIC_LINE), F.lit(False))
+
+
+def is_function_mark(line: Column) -> Column:
+    return F.coalesce(F.trim(line).rlike(FUNCTION_MARK), F.lit(False))
+
+
+def full_name(namespace: Column, base_name: Column) -> Column:
+    return F.when(F.coalesce(namespace, F.lit("")) == "", base_name).otherwise(F.concat_ws("::", namespace, base_name))
+
+
+def type_path(namespace: Column, base_name: Column) -> Column:
+    return F.concat_ws("/", namespace, base_name)
+
+
+def type_link(namespace: Column, base_name: Column) -> Column:
+    """Where a type's page is."""
+    return F.concat(F.lit("/type/"), F.when(F.coalesce(namespace, F.lit("")) == "", "").otherwise(F.concat(F.replace(namespace, F.lit("::"), F.lit("/")), F.lit("/"))), base_name)
+
+
 def remap(c: Column) -> Column:
     """Display names of primitive types inside of a type string; longer names first."""
     keys = sorted(REMAPS, key=lambda k: (-len(k), k))

@@ -12,6 +12,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window as W
+
 from orrery.functions import strings as S
 from orrery.sources.tables import replace, table
 
@@ -28,6 +30,41 @@ def first_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f")).select(*keys, "_f.*")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: the place of each row among those of its keys, from 0.
+
+    Rows of a key pass sorted, and spilled where they don't fit; only the count is kept.
+    """
+    return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)
+
+
+def told_apart(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with names that occur several times among their keys numbered from 1."""
+    several = df.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = numbered(df, [*keys, name], order, "_k").join(several, [*keys, name], "left")
+    return rows.withColumn(name, F.when(F.col("_n") > 1, F.concat_ws("_", name, (F.col("_k") + 1).cast("string"))).otherwise(F.col(name))).drop("_n", "_k")
+
+
+def duplicates(df: DataFrame, name: str) -> DataFrame:
+    """``name``, n of names that occur several times."""
+    return df.where(F.length(name) > 0).groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def new_rows(existing: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """The rows of ``new`` whose name ``existing`` doesn't have."""
+    return new.join(existing.select(name).distinct(), name, "left_anti")
+
+
+def last(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows: a report."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n)
+
+
+def tagged(**parts: DataFrame) -> DataFrame:
+    """origin, id of the rows of several tables, each under its keyword."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(tag).alias("origin"), "id") for tag, df in parts.items()])
+
+
 def once(df: DataFrame, key: str = "id") -> DataFrame:
     """One row of those that share an ``id``; rows without one are kept unless wholly identical.  Columns nobody asks for aren't read."""
     return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()).distinct())
@@ -115,6 +152,26 @@ class Catalog:
         rows = rows if only is None else rows.where(F.col("stored_fully_qualified_name") == only)
         return rows.select("id", F.col("kind").alias("entity_type"), F.coalesce("stored_fully_qualified_name", "base_name", F.lit("Unknown")).alias("full_name"))
 
+    def named_without(self, prefix: str) -> DataFrame:
+        return self.types.where(~F.col("base_name").startswith(prefix))
+
+    def first_bases(self) -> DataFrame:
+        """parent_type_id, base_id: the first base of each type."""
+        return self.bases.where("related_type_id IS NOT NULL").groupBy("parent_type_id").agg(F.min_by("related_type_id", F.struct("ord", "id")).alias("base_id"))
+
+    def first_slots(self) -> DataFrame:
+        """struct_id, name, slot: the offset of the first member of each name, without regard to case."""
+        placed = self.members.where("member_offset IS NOT NULL AND struct_id IS NOT NULL")
+        return placed.groupBy("struct_id", F.lower("name").alias("name")).agg(F.min_by("member_offset", F.struct("decl_order", "id")).alias("slot"))
+
+    def first_bodies(self) -> DataFrame:
+        """fully_qualified_name, id: the first body of each signature."""
+        return self.bodies.where("fully_qualified_name IS NOT NULL").groupBy("fully_qualified_name").agg(F.min("id").alias("id"))
+
+    def used_ids(self) -> DataFrame:
+        """id of all types that something refers to."""
+        return self.references.where("referenced_type_id IS NOT NULL").select(F.col("referenced_type_id").alias("id")).union(self.bases.where("related_type_id IS NOT NULL").select("related_type_id")).distinct()
+
     def method_items(self) -> DataFrame:
         """Functions whose owner is a type that isn't ignored."""
         return self.bodies.join(self.all_types().select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_semi").select("id", F.lit("StructMethod").alias("entity_type"), F.coalesce("fully_qualified_name", F.lit("Unknown")).alias("full_name"))
@@ -171,7 +228,7 @@ def insert(existing: DataFrame, new: DataFrame, name: str) -> DataFrame:
     wrong = new.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where(F.col(name).isNull() | (F.col(name) == "") | (F.col("n") > 1)).orderBy(name).limit(10).collect()
     if wrong:
         raise DuplicateNames(f"{len(wrong)} or more names are empty or occur several times: {[r[0] for r in wrong]}")
-    return existing.unionByName(new.join(existing.select(name).distinct(), name, "left_anti"), allowMissingColumns=True)
+    return existing.unionByName(new_rows(existing, new, name), allowMissingColumns=True)
 
 
 def update(existing: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:

@@ -19,6 +19,13 @@ def ids_by_name(types: DataFrame) -> DataFrame:
     return named.groupBy(F.col("stored_fully_qualified_name").alias("name")).agg(F.min("id").alias("type_id"))
 
 
+def reference_ids(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """``rows`` with ref: the first reference of the same type string."""
+    first = references.where("type_string IS NOT NULL").groupBy("type_string").agg(F.min("id").alias("ref"))
+    hot = hot_keys(rows.groupBy("type_string").agg(F.count(F.lit(1)).alias("n")), "type_string", "n")
+    return join_to_keys(rows, first, "type_string", "id", hot, "left", merge=False)
+
+
 def typedef_targets(typedefs: DataFrame, types: DataFrame) -> DataFrame:
     """name, type_id, depth: what the chain of typedefs of each name ends on.
 

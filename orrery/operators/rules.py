@@ -26,23 +26,74 @@ class Rule:
     file_name: str | None = None
 
 
-# Rules that any catalog can begin with, in order; those of a particular program are given by its user.
+# The rules a catalog is filed by unless others are given, in order; the first that matches counts.
 DEFAULT_RULES = (
+    Rule("name", "^(LongHash|InterfacePtr|PS|NILI|UI64|SmartArray|DArray|SimpleDArray|List|Hash|SmartBuffer|Intrusive|AutoGrow|LongNI|PackableL|DLList|PackableHa|RefCountIUnknown)", "Lib/Templates/", "StripAll", 1),
+    Rule("name", "^InterfaceInfo", "Lib/Templates", "KeepAll", 1),
     Rule("name", "Types?::", "Lib/Types/", "KeepAll", 1),
     Rule("name", "^_(GUID|tag)", "Lib/Types/", "KeepAll", 1),
-    Rule("name", "^Logger", "Lib/"),
-    Rule("name", "(DbgHelp|DbgReport|Debug)", "Lib/Debug"),
+    Rule("name", "QualityType", "Lib/Types/QualityTypes/", "KeepAll", 1),
+    Rule("name", "StringTableMetaLanguage", "Dats/", "KeepAll", 0),
+    Rule("name", "^(Turbine|You_Need)", "Lib/Turbine/", "KeepAll", 0),
+    Rule("name", "^AC1(Legacy|Modern)", "Lib/", "KeepAll", 0),
+    Rule("name", "^Logger", "Lib/", "KeepAll", 0),
+    Rule("name", "^(PlatformString|InputStream)", "Lib/", "KeepAll", 0),
+    Rule("name", "^(Profiler|PerfMon|BudgetStat)", "Lib/Profiler", "KeepAll", 0),
+    Rule("name", "(DbgHelp|DbgReport|Debug)", "Lib/Debug", "KeepAll", 0),
+    Rule("name", "^(Logger|IRpc|IStream|IStor|ISeq|INon|Class)", "Lib/", "KeepAll", 0),
+    Rule("base", "SerializeUsingPackDBObj", "Dats/DBObjs/", "KeepAll", 1),
+    Rule("base", "DBObj", "Dats/DBObjs/", "KeepAll", 1),
+    Rule("base", "PackObj", "Net/Types/", "KeepAll", 1),
+    Rule("base", "COptionalHeader", "Net/Headers/", "KeepAll", 1),
+    Rule("name", "OptionalHeader|CServerSwitchStruct", "Net/Headers/", "KeepAll", 1),
+    Rule("name", "(PackHeader|accountID|ActionNode)", "Net/Types/", "KeepAll", 1),
+    Rule("name", "^(DDD_)", "Net/Messages/", "KeepAll", 1),
     Rule("name", "Connection|Packet|^Blob|^(?!.*Scene).*Net.*$|CLink", "Net/", "KeepAll", 1),
+    Rule("name", "(Crypto|Isaaq)", "Net/Crypto/", "KeepAll", 1),
     Rule("name", "^(C?Physics|COLLISION|AtkCollisionProfile)", "Physics/", "KeepAll", 1),
+    Rule("name", "^(CObjCell|EtherealWeenie)", "Physics/", "KeepAll", 1),
+    Rule("name", "^BSP", "Physics/BSP", "KeepAll", 1),
+    Rule("name", "System$", "Game/Systems", "KeepAll", 1),
+    Rule("name", "(Chat|TextTag)", "Game/Chat/", "KeepAll", 1),
+    Rule("name", "SmartBox", "Game/SmartBox", "KeepAll", 1),
+    Rule("name", "^Ambient(Sound)?$", "Game/SmartBox", "KeepAll", 1),
+    Rule("name", "(CharGen|_CG$)", "Game/CharGen", "KeepAll", 1),
+    Rule("name", "Allegiance", "Game/Allegiance", "KeepAll", 1),
+    Rule("name", "Fellow", "Game/Fellowship", "KeepAll", 1),
+    Rule("name", "(Piece|Chess|MiniGame)", "Game/Chess", "KeepAll", 1),
     Rule("name", "(Attack|Combat|Damage|PowerBar)", "Game/Combat", "KeepAll", 1),
+    Rule("name", "(Weenie|AlreadyRunning|APIManager)", "Game/", "KeepAll", 1),
+    Rule("name", "^(ACC(Factory|Object|md))", "Game/", "KeepAll", 1),
+    Rule("name", "Plugin", "Game/Plugins", "KeepAll", 1),
+    Rule("name", "Trade", "Game/Trade", "KeepAll", 1),
     Rule("name", "(Spell|Enchant)", "Game/Spells", "KeepAll", 1),
+    Rule("name", "^(C?Input|Device|CommandInterp|I?Keystone|ActionState|ArgumentParser|ATTNAMESSTRUCT|CommandLineArg)", "Input/", "KeepAll", 1),
+    Rule("name", "^(CScene|CSound|CTerrain)", "Dats/Types/", "KeepAll", 1),
+    Rule("name", "^(CAnimHook|ActionMapValue|AFrame)", "Dats/Types/", "KeepAll", 1),
+    Rule("name", "(Ambient(STB|Sound)Desc|SoundType)", "Dats/Types/", "KeepAll", 1),
+    Rule("name", "BuildInfo", "Dats/Types/", "KeepAll", 1),
+    Rule("base", "CAnimHook", "Dats/Types/AnimHooks/", "KeepAll", 1),
+    Rule("member", "GetSubDataIDs", "Dats/Types/", "KeepAll", 1),
+    Rule("name", "^(MD_|C?Media)", "UI/Media/", "KeepAll", 1),
+    Rule("name", "D3D", "Rendering/D3D", "KeepAll", 1),
     Rule("name", "Camera", "Rendering/Camera", "KeepAll", 1),
     Rule("name", "(Render|DepthTest|Vertex|Blit|Blend|Graphics|CullMode)", "Rendering/", "KeepAll", 1),
+    Rule("name", "^(view_|Alpha)", "Rendering/", "KeepAll", 1),
     Rule("name", "^(?!.*Hook$)Anim", "Rendering/Animation", "KeepAll", 1),
+    Rule("base", "UIElement", "UI/Elements/", "KeepAll", 1),
+    Rule("name", "^((gm)?UI|Dialog)", "UI/", "KeepAll", 1),
+    Rule("name", "(UI|InfoRegion)$", "UI/", "KeepAll", 1),
+    Rule("name", "^DB(O?Cache|Level|TypeDef)", "Dats/", "StripAll", 0),
     Rule("name", "^DBUpdateType|(CL(Cache|Block))", "Dats/", "StripAll", 0, "DBUpdateType"),
-    Rule("name", "^Disk", "Dats/Disk/", "StripAll"),
-    Rule("name", "Async", "Lib/Async/"),
+    Rule("name", "^PropertyDatFileType", "Dats/", "StripAll", 0, "PropertyDatFileType"),
+    Rule("name", "^(DBObjGrabber|DATFILE_|Archive|DBObj|TransientArchive)", "Dats/", "StripAll", 0),
+    Rule("name", "^(cache_)", "Dats/", "StripAll", 0),
+    Rule("name", "(TransactInfo)", "Dats/Transactions/", "StripAll", 0),
+    Rule("name", "^Disk", "Dats/Disk/", "StripAll", 0),
+    Rule("name", "^BT", "Dats/BTree", "StripAll", 0),
+    Rule("name", "Async", "Lib/Async/", "KeepAll", 0),
     Rule("name", "Client", "Game/", "KeepAll", 1),
+    Rule("name", "Property", "Game/Properties/", "KeepAll", 1),
 )
 
 

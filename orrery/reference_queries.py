@@ -11,10 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from orrery.functions import strings as S
-from orrery.functions.fixed import IGNORED_PREFIXES, IGNORED_SUFFIXES, KEPT_NAMES, PRIMITIVE_COMBINATIONS, PRIMITIVE_NAMES, PRIMITIVE_SIZES, REMAPS, RESERVED
+from orrery.functions.fixed import PRIMITIVE_COMBINATIONS, PRIMITIVE_NAMES, PRIMITIVE_SIZES, REMAPS, RESERVED
 from orrery.functions.target import mapped
 from orrery.operators import catalog as K
 from orrery.operators import graph, layout, methods, pipeline, render, resolution, rules
@@ -75,7 +74,7 @@ query(
     "f6_search_types",
     "SELECT id, base_name FROM types WHERE NOT is_ignored AND (contains(lower(base_name), 'quota') OR contains(lower(namespace), 'quota') OR contains(lower(stored_fully_qualified_name), 'quota'))",
 )(lambda c: c.search("QuoTa").select("id", "base_name"))
-query("f7_bases_of_type", f"SELECT parent_type_id, related_type_id, ord FROM {BASES} WHERE parent_type_id < 500")(lambda c: c.bases.where("parent_type_id < 500").select("parent_type_id", "related_type_id", "ord"))
+query("f7_bases_of_type", f"SELECT parent_type_id, related_type_id, ord FROM {BASES} WHERE parent_type_id IN (SELECT id FROM types)")(lambda c: c.children("type_inheritances", "parent_type_id", c.types).select("parent_type_id", "related_type_id", "ord"))
 query("f7_derived_types", f"SELECT related_type_id, count(*) AS n FROM {BASES} WHERE related_type_id IS NOT NULL GROUP BY 1")(lambda c: c.bases.where("related_type_id IS NOT NULL").groupBy("related_type_id").agg(F.count(F.lit(1)).alias("n")))
 query("f8_members_of_several", f"SELECT id, struct_id, name FROM {MEMBERS} WHERE struct_id IN (SELECT id FROM types WHERE namespace = 'Net')")(lambda c: c.children("struct_members", "struct_id", c.types_in("Net")).select("id", "struct_id", "name"))
 query(
@@ -91,44 +90,45 @@ OR regexp_replace(lower(trim(regexp_replace(trim(type_string), '[*&]$', ''))), '
 query("f12_primitive_shown", f"SELECT DISTINCT type_string, {_SHOWN} AS is_primitive FROM struct_members")(lambda c: c.members.select("type_string").distinct().select("type_string", S.is_primitive_shown(F.col("type_string")).alias("is_primitive")))
 _SIZED = _in(dict.fromkeys(x.lower() for x in (*PRIMITIVE_SIZES, *PRIMITIVE_NAMES)))
 query("f13_primitive_sized", f"SELECT name, coalesce(lower(name) IN ({_SIZED}), false) AS is_sized FROM primitive_types")(lambda c: c.table("primitive_types").select("name", S.is_sized_primitive(F.col("name")).alias("is_sized")))
-_IGNORE = f"""coalesce(length(base_name) > 0 AND base_name NOT IN ({_in(KEPT_NAMES)}) AND regexp_matches(base_name, '^(?:{_esc(IGNORED_PREFIXES)})|(?:{_esc(IGNORED_SUFFIXES)})$'), false)"""
-query("f14_ignored_names", f"SELECT id, {_IGNORE} AS ignored FROM types")(lambda c: c.types.select("id", S.should_ignore(F.col("base_name")).alias("ignored")))
+query("f14_ignored_names", "SELECT id, coalesce(regexp_matches(base_name, '^(Led|Arc)|(Kor|_vtbl)$') AND base_name NOT IN ('LedgeTaskDof', 'ArcPacketZef'), false) AS ignored FROM types")(
+    lambda c: c.types.select("id", S.should_ignore(F.col("base_name"), ("Led", "Arc"), ("Kor", "_vtbl"), ("LedgeTaskDof", "ArcPacketZef")).alias("ignored"))
+)
 query("f15_group_of_type", "SELECT id FROM types WHERE (base_name = 'LedgeTaskDof' AND coalesce(namespace, '') = 'Core') OR base_type_path = 'Core::LedgeTaskDof'")(lambda c: c.group("LedgeTaskDof", "Core").select("id"))
-query("f16_without_dollar", "SELECT id FROM types WHERE base_name NOT LIKE '$%'")(lambda c: c.types.where(~F.col("base_name").startswith("$")).select("id"))
+query("f16_without_dollar", "SELECT id FROM types WHERE base_name NOT LIKE '$%'")(lambda c: c.named_without("$").select("id"))
 query("f17_work_items", "SELECT id, kind AS entity_type, coalesce(stored_fully_qualified_name, base_name, 'Unknown') AS full_name FROM types WHERE NOT is_ignored AND kind IN ('Struct', 'Class')")(lambda c: c.work_items(("Struct", "Class")))
 query("f17_method_items", f"SELECT id, 'StructMethod' AS entity_type, coalesce(fully_qualified_name, 'Unknown') AS full_name FROM {BODIES} WHERE parent_id IN (SELECT id FROM types WHERE NOT is_ignored)")(lambda c: c.method_items())
 query("f20_typedef_kinds", "SELECT id, CASE WHEN regexp_matches(source, '\\(\\s*(__\\w+\\s+)?\\*\\s*\\w+\\s*\\)') THEN 'pointer' WHEN regexp_matches(source, '__(cdecl|stdcall|thiscall|fastcall)\\s+\\w+\\s*\\(') THEN 'signature' ELSE 'simple' END AS form FROM types WHERE kind = 'Typedef' AND source IS NOT NULL")(
     lambda c: c.types.where("kind = 'Typedef' AND source IS NOT NULL").select("id", S.typedef_kind(F.col("source")).alias("form"))
 )
 query("f21_table_pointers", f"SELECT id FROM {MEMBERS} WHERE regexp_matches(name, 'vftable|vtbl|__vfptr') OR contains(type_string, '_vtbl') OR contains(type_string, 'Vtbl')")(
-    lambda c: c.members.where(F.col("name").rlike("vftable|vtbl|__vfptr") | F.contains("type_string", F.lit("_vtbl")) | F.contains("type_string", F.lit("Vtbl"))).select("id")
+    lambda c: c.members.where(S.is_table_pointer(F.col("name"), F.col("type_string"))).select("id")
 )
 query("f22_suppressed_lines", f"SELECT id, regexp_matches(fully_qualified_name, '__userpurge|operator\\*') AS suppressed FROM {BODIES} WHERE fully_qualified_name IS NOT NULL")(
-    lambda c: c.bodies.where("fully_qualified_name IS NOT NULL").select("id", F.col("fully_qualified_name").rlike(r"__userpurge|operator\*").alias("suppressed"))
+    lambda c: c.bodies.where("fully_qualified_name IS NOT NULL").select("id", S.is_suppressed(F.col("fully_qualified_name")).alias("suppressed"))
 )
 query("f23_request_kind", "SELECT event_id, CASE WHEN props LIKE '{%' AND contains(props, '\"k\"') THEN 'Verification' ELSE 'Generation' END AS kind FROM events")(
     lambda c: c.table("events").select("event_id", F.when(F.col("props").startswith("{") & F.contains("props", F.lit('"k"')), "Verification").otherwise("Generation").alias("kind"))
 )
 _STATIC_LINES = "(SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS line FROM documents)"
 query("f25_static_lines", f"SELECT doc_id, count(*) AS n FROM {_STATIC_LINES} WHERE NOT contains(line, 'vftable') AND regexp_matches(trim(line), '^([0-9A-F]{{16}})\\s+(.+?)\\s+\\d+\\s+bytes\\s+\\[(.+?)\\]$') GROUP BY doc_id")(
-    lambda c: c.table("documents").select("doc_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(~F.contains("line", F.lit("vftable")) & F.trim("line").rlike(r"^([0-9A-F]{16})\s+(.+?)\s+\d+\s+bytes\s+\[(.+?)\]$")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    lambda c: c.table("documents").select("doc_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(S.is_static_line(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 )
 query("f26_function_marks", f"SELECT doc_id, count(*) AS n FROM {_STATIC_LINES} WHERE regexp_matches(trim(line), '^//-+ \\(([0-9A-F]+)\\) -+') GROUP BY doc_id")(
-    lambda c: c.table("documents").select("doc_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(F.trim("line").rlike(r"^//-+ \(([0-9A-F]+)\) -+")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    lambda c: c.table("documents").select("doc_id", F.explode(F.split("text", r"\r?\n")).alias("line")).where(S.is_function_mark(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 )
 
 # Projections.
 query("r1_lookup", "SELECT id, base_name, namespace, stored_fully_qualified_name FROM types WHERE NOT is_ignored")(lambda c: c.lookup())
 query("r3_full_names", "SELECT id, CASE WHEN coalesce(namespace, '') = '' THEN base_name ELSE namespace || '::' || base_name END AS full_name FROM types")(
-    lambda c: c.types.select("id", F.when(F.coalesce("namespace", F.lit("")) == "", F.col("base_name")).otherwise(F.concat_ws("::", "namespace", "base_name")).alias("full_name"))
+    lambda c: c.types.select("id", S.full_name(F.col("namespace"), F.col("base_name")).alias("full_name"))
 )
 query("r5_unresolved_sample", f"SELECT concat_ws(': ', origin, text) AS sample FROM ({_UNRESOLVED}) ORDER BY CASE origin WHEN 'TypeReference' THEN 0 ELSE 1 END, id LIMIT 5")(lambda c: c.unresolved_sample(5))
-query("r9_type_from_path", "SELECT id, namespace || '/' || base_name AS path FROM types WHERE namespace = 'Tools::Import'")(lambda c: c.types_in("Tools::Import").select("id", F.concat_ws("/", "namespace", "base_name").alias("path")))
+query("r9_type_from_path", "SELECT id, namespace || '/' || base_name AS path FROM types WHERE namespace = 'Tools::Import'")(lambda c: c.types_in("Tools::Import").select("id", S.type_path(F.col("namespace"), F.col("base_name")).alias("path")))
 query("r10_ancestor_paths", "SELECT DISTINCT namespace, array_to_string(string_split(namespace, '::')[1:n], '/') AS path FROM types, range(1, 9) AS r(n) WHERE length(namespace) > 0 AND n <= len(string_split(namespace, '::'))")(
     lambda c: c.types.where("length(namespace) > 0").select("namespace", F.explode(S.prefixes_of(F.replace("namespace", F.lit("::"), F.lit("/")))).alias("path")).distinct()
 )
 query("r11_links", "SELECT id, '/type/' || CASE WHEN coalesce(namespace, '') = '' THEN '' ELSE replace(namespace, '::', '/') || '/' END || base_name AS link FROM types")(
-    lambda c: c.types.select("id", F.concat(F.lit("/type/"), F.when(F.coalesce("namespace", F.lit("")) == "", "").otherwise(F.concat(F.replace("namespace", F.lit("::"), F.lit("/")), F.lit("/"))), F.col("base_name")).alias("link"))
+    lambda c: c.types.select("id", S.type_link(F.col("namespace"), F.col("base_name")).alias("link"))
 )
 
 # Joins.
@@ -156,7 +156,7 @@ query(
 )(lambda c: c.whole_types().select("id", F.size("bases").alias("n_bases"), F.coalesce(F.size("members"), F.lit(0)).alias("n_members"), F.coalesce(F.size("bodies"), F.lit(0)).alias("n_bodies")))
 query("j10_ids_by_name", BY_NAME[1:-1])(lambda c: resolution.ids_by_name(c.types))
 query("j11_reference_ids", f"SELECT m.id, r.ref FROM {MEMBERS} m LEFT JOIN (SELECT type_string, min(id) AS ref FROM type_references WHERE type_string IS NOT NULL GROUP BY 1) r USING (type_string)")(
-    lambda c: c.members.join(c.references.where("type_string IS NOT NULL").groupBy("type_string").agg(F.min("id").alias("ref")), "type_string", "left").select("id", "ref")
+    lambda c: resolution.reference_ids(c.members, c.references).select("id", "ref")
 )
 _OWNER = "CASE WHEN contains(full_name, '::') THEN left(full_name, length(full_name) - length(list_last(string_split(full_name, '::'))) - 2) END"
 _SCOPED = f"(SELECT id, regexp_extract(fully_qualified_name, '([\\w:~]+)\\(', 1) AS full_name FROM {BODIES} WHERE fully_qualified_name IS NOT NULL)"
@@ -172,9 +172,14 @@ query(
     f"""WITH named AS {BY_NAME} SELECT b.id, coalesce(b.related_type_id, CASE WHEN length(related_type_string) > 0 AND NOT {PRIM("related_type_string")} THEN coalesce(n1.type_id, n2.type_id) END) AS related_type_id
 FROM {BASES} b LEFT JOIN named n1 ON n1.name = related_type_string LEFT JOIN named n2 ON n2.name = {NORM("related_type_string")}""",
 )(lambda c: resolution.resolve_bases(c.bases, c.types).select("id", "related_type_id"))
-query("j17_pending_work", "SELECT doc_id FROM documents ANTI JOIN (SELECT DISTINCT doc_id FROM doc_labels) USING (doc_id)")(lambda c: c.table("documents").select("doc_id").join(c.table("doc_labels").select("doc_id").distinct(), "doc_id", "left_anti"))
+query("j17_pending_work", "SELECT doc_id FROM documents ANTI JOIN (SELECT DISTINCT doc_id FROM doc_labels) USING (doc_id)")(
+    lambda c: pipeline.pending(
+        c.table("documents").select("doc_id", F.lit("Document").alias("entity_type"), F.col("doc_id").cast("string").alias("full_name")),
+        c.table("doc_labels").select(F.lit("Label").alias("stage"), F.lit("Document").alias("entity_type"), F.col("doc_id").cast("string").alias("full_name"), F.lit("Success").alias("status")), "Label",
+    ).select("doc_id")
+)
 query("j18_new_types", "SELECT count(*) AS n FROM types WHERE stored_fully_qualified_name NOT IN (SELECT fully_qualified_name FROM type_removals WHERE fully_qualified_name IS NOT NULL)")(
-    lambda c: c.types.where("stored_fully_qualified_name IS NOT NULL").join(c.table("type_removals").select(F.col("fully_qualified_name").alias("stored_fully_qualified_name")).distinct(), "stored_fully_qualified_name", "left_anti").agg(F.count(F.lit(1)).alias("n"))
+    lambda c: K.new_rows(c.table("type_removals").select(F.col("fully_qualified_name").alias("stored_fully_qualified_name")), c.types.where("stored_fully_qualified_name IS NOT NULL"), "stored_fully_qualified_name").agg(F.count(F.lit(1)).alias("n"))
 )
 query(
     "j21_names_in_scope",
@@ -208,8 +213,11 @@ SELECT * FROM u UNION ALL SELECT id, text, 'TypeReference', NULL, NULL FROM o WH
 )(lambda c: resolution.provenance(c))
 query(
     "j28_texts_by_terms",
-    f"""WITH terms AS (SELECT DISTINCT id AS owner_id, lower(base_name) AS term FROM types WHERE kind = 'Enum' AND length(trim(base_name)) > 0),
-hits AS (SELECT owner_id, b.id AS body_id, count(*) AS hits FROM terms JOIN (SELECT DISTINCT id, fully_qualified_name FROM function_bodies) b ON contains(lower(fully_qualified_name), term) GROUP BY ALL),
+    """WITH b AS (SELECT id, regexp_extract(source, '\\{(.*)\\}', 1, 's') AS body FROM types WHERE kind = 'Enum' AND regexp_matches(source, '(?s)^/\\*\\s*\\d+\\s*\\*/\\r?\\nenum [^;{]*\\{.*\\}')),
+m AS (SELECT id, unnest(string_split(body, ',')) AS part FROM b),
+named AS (SELECT id, regexp_extract(part, '^\\s*([a-zA-Z_]\\w*)', 1) AS name FROM m WHERE regexp_matches(part, '(?s)^\\s*([a-zA-Z_]\\w*)\\s*(?:=\\s*(.*?))?\\s*$')),
+terms AS (SELECT id AS owner_id, lower(base_name) AS term FROM types WHERE kind = 'Enum' AND length(trim(base_name)) > 0 UNION SELECT id, lower(name) FROM named),
+hits AS (SELECT owner_id, b.id AS body_id, count(*) AS hits FROM (SELECT DISTINCT id, lower(body_text) AS t FROM function_bodies) b JOIN terms ON contains(t, term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY hits DESC, body_id) AS n FROM hits) SELECT owner_id, body_id, hits FROM r WHERE n <= 20""",
 )(lambda c: render.term_hits(_enum_terms(c), c.bodies.select("id", "body_text").distinct(), "body_text"))
 query("j35_lookup_by_name", "SELECT stored_fully_qualified_name, max(id) AS id FROM types WHERE NOT is_ignored AND stored_fully_qualified_name IS NOT NULL GROUP BY 1")(lambda c: c.lookup_by_name())
@@ -221,7 +229,7 @@ query("a1_members_by_struct", f"SELECT struct_id, string_agg(coalesce(name, '-')
 )
 query("a2_first_per_name", "SELECT base_name, arg_min(kind, id) AS kind, min(id) AS id FROM types GROUP BY 1")(lambda c: first_per(c.types.select("base_name", "id", "kind"), ["base_name"], ["id"]).select("base_name", "kind", "id"))
 query("a3_duplicate_names", "SELECT stored_fully_qualified_name, count(*) AS n FROM types WHERE length(stored_fully_qualified_name) > 0 GROUP BY 1 HAVING count(*) > 1")(
-    lambda c: c.types.where("length(stored_fully_qualified_name) > 0").groupBy("stored_fully_qualified_name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    lambda c: K.duplicates(c.types, "stored_fully_qualified_name")
 )
 query("a5_unresolved_count", f"SELECT count(*) AS n FROM ({_UNRESOLVED})")(lambda c: c.unresolved_count())
 query("a9_distinct_type_strings", "SELECT DISTINCT type_string FROM struct_members")(lambda c: c.members.select("type_string").distinct())
@@ -236,22 +244,18 @@ SELECT full_path, CASE WHEN full_path = '' THEN NULL WHEN contains(full_path, '/
 CASE WHEN full_path = '' THEN 'Root' ELSE list_last(string_split(full_path, '/')) END AS name, (SELECT count(*) FROM p WHERE path = full_path) AS n_items FROM nodes""",
 )(lambda c: rules.path_tree(c.types.select(F.replace("namespace", F.lit("::"), F.lit("/")).alias("path"))))
 query("a18_first_base", f"SELECT parent_type_id, arg_min(related_type_id, (ord, id)) AS base_id FROM {BASES} WHERE related_type_id IS NOT NULL GROUP BY 1")(
-    lambda c: c.bases.where("related_type_id IS NOT NULL").groupBy("parent_type_id").agg(F.min_by("related_type_id", F.struct("ord", "id")).alias("base_id"))
+    lambda c: c.first_bases()
 )
 query("w1_overload_index", f"SELECT id, (row_number() OVER (PARTITION BY struct_id, name ORDER BY decl_order, id) - 1)::INT AS overload FROM {MEMBERS}")(
-    lambda c: c.members.select("id", (F.row_number().over(W.partitionBy("struct_id", "name").orderBy("decl_order", "id")) - 1).alias("overload"))
+    lambda c: K.numbered(c.members, ["struct_id", "name"], ["decl_order", "id"], "overload").select("id", "overload")
 )
 query("w2_declaration_order", f"SELECT id, (row_number() OVER (PARTITION BY struct_id ORDER BY decl_order, id) - 1)::INT AS place FROM {MEMBERS}")(
-    lambda c: c.members.select("id", (F.row_number().over(W.partitionBy("struct_id").orderBy("decl_order", "id")) - 1).alias("place"))
+    lambda c: K.numbered(c.members, ["struct_id"], ["decl_order", "id"], "place").select("id", "place")
 )
 query(
     "w4_names_numbered",
     f"SELECT id, CASE WHEN count(*) OVER (PARTITION BY struct_id, name) > 1 THEN name || '_' || row_number() OVER (PARTITION BY struct_id, name ORDER BY decl_order, id) ELSE name END AS name FROM {MEMBERS} WHERE name IS NOT NULL",
-)(
-    lambda c: c.members.where("name IS NOT NULL").select(
-        "id", F.when(F.count(F.lit(1)).over(W.partitionBy("struct_id", "name")) > 1, F.concat_ws("_", "name", F.row_number().over(W.partitionBy("struct_id", "name").orderBy("decl_order", "id")).cast("string"))).otherwise(F.col("name")).alias("name")
-    )
-)
+)(lambda c: K.told_apart(c.members.where("name IS NOT NULL").withColumn("struct_id", F.coalesce("struct_id", F.lit(-1))), ["struct_id"], ["decl_order", "id"], "name").select("id", "name"))
 query(
     "w5_best_candidates",
     f"""WITH s AS (SELECT struct_id AS id, count(*) AS n_parts FROM {MEMBERS} WHERE struct_id IS NOT NULL GROUP BY 1), b AS (SELECT parent_type_id AS id, count(*) AS n_bases FROM {BASES} GROUP BY 1)
@@ -263,15 +267,15 @@ SELECT base_name AS generated, arg_min(id, (-coalesce(n_parts, 0), -coalesce(n_b
     )
 )
 query("w9_first_slot", f"SELECT struct_id, lower(name) AS name, arg_min(member_offset, (decl_order, id)) AS slot FROM (SELECT * FROM {MEMBERS} WHERE member_offset IS NOT NULL AND struct_id IS NOT NULL) GROUP BY ALL")(
-    lambda c: c.members.where("member_offset IS NOT NULL AND struct_id IS NOT NULL").groupBy("struct_id", F.lower("name").alias("name")).agg(F.min_by("member_offset", F.struct("decl_order", "id")).alias("slot"))
+    lambda c: c.first_slots()
 )
-query("w10_signatures_once", f"SELECT fully_qualified_name, min(id) AS id FROM {BODIES} WHERE fully_qualified_name IS NOT NULL GROUP BY 1")(lambda c: c.bodies.where("fully_qualified_name IS NOT NULL").groupBy("fully_qualified_name").agg(F.min("id").alias("id")))
+query("w10_signatures_once", f"SELECT fully_qualified_name, min(id) AS id FROM {BODIES} WHERE fully_qualified_name IS NOT NULL GROUP BY 1")(lambda c: c.first_bodies())
 query("l2_by_name", "SELECT id, (row_number() OVER (ORDER BY base_name, id))::INT AS place FROM types")(lambda c: _numbered(c.types.select("id", "base_name"), ["base_name", "id"]))
-query("l11_last_events", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")(lambda c: c.table("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id"))
-query("o1_tagged_union", f"SELECT 'type' AS origin, id FROM types UNION ALL SELECT 'body', id FROM {BODIES}")(lambda c: c.types.select(F.lit("type").alias("origin"), "id").unionByName(c.bodies.select(F.lit("body").alias("origin"), "id")))
+query("l11_last_events", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")(lambda c: K.last(c.table("events"), ["ts", "event_id"], 200).select("event_id"))
+query("o1_tagged_union", f"SELECT 'type' AS origin, id FROM types UNION ALL SELECT 'body', id FROM {BODIES}")(lambda c: K.tagged(type=c.types, body=c.bodies))
 query("o2_except", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM doc_labels")(lambda c: c.table("documents").select("doc_id").subtract(c.table("doc_labels").select("doc_id")))
 query("o3_set_union", "SELECT referenced_type_id AS id FROM type_references WHERE referenced_type_id IS NOT NULL UNION SELECT related_type_id FROM type_inheritances WHERE related_type_id IS NOT NULL")(
-    lambda c: c.references.where("referenced_type_id IS NOT NULL").select(F.col("referenced_type_id").alias("id")).union(c.bases.where("related_type_id IS NOT NULL").select("related_type_id")).distinct()
+    lambda c: c.used_ids()
 )
 
 
@@ -326,10 +330,9 @@ query("x32_sanitized", f"SELECT id, CASE WHEN coalesce(replace(name, '~', 'Destr
     lambda c: c.members.select("id", S.sanitize(F.col("name")).alias("name"))
 )
 query("x34_addresses", f"SELECT id, '0x' || lpad(upper(to_hex(body_offset)), 8, '0') AS address FROM {BODIES} WHERE body_offset IS NOT NULL")(lambda c: c.bodies.where("body_offset IS NOT NULL").select("id", S.address(F.hex("body_offset")).alias("address")))
-_REMAP = f"""array_to_string(list_transform(regexp_extract_all(type_string, '\\b(?:{_esc(sorted(REMAPS, key=lambda k: (-len(k), k)))})\\b|(?s:.)'), lambda w: CASE w {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REMAPS.items())} ELSE w END), '')"""
-query("x35_remapped", f"SELECT id, {_REMAP} AS text FROM type_references WHERE type_string IS NOT NULL AND regexp_matches(type_string, '^[ -~]*$')")(
-    lambda c: c.references.where(F.col("type_string").isNotNull() & F.col("type_string").rlike("^[ -~]*$")).select("id", S.remap(F.col("type_string")).alias("text"))
-)
+_ACCENTED = r"[\p{L}\p{M}\p{N}_]*[^\x00-\x7F\p{Z}\p{P}\p{S}\p{C}][\p{L}\p{M}\p{N}_]*"  # such letters are part of words, which RE2's \b doesn't know
+REMAP = lambda c: f"""array_to_string(list_transform(regexp_extract_all({c}, '{_ACCENTED}|\\b(?:{_esc(sorted(REMAPS, key=lambda k: (-len(k), k)))})\\b|(?s:.)'), lambda w: CASE w {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REMAPS.items())} ELSE w END), '')"""
+query("x35_remapped", f"SELECT id, {REMAP('type_string')} AS text FROM type_references WHERE type_string IS NOT NULL")(lambda c: c.references.where("type_string IS NOT NULL").select("id", S.remap(F.col("type_string")).alias("text")))
 query("x36_clean_base_names", f"SELECT id, regexp_replace({BASE('type_string')}, '_vtbl$', '') AS base FROM type_references WHERE type_string IS NOT NULL")(lambda c: c.references.where("type_string IS NOT NULL").select("id", S.clean_base_name(F.col("type_string")).alias("base")))
 query("x38_cache_keys", "SELECT doc_id, upper(sha256('local|0.7|' || text)) AS cache_key FROM documents WHERE text IS NOT NULL")(lambda c: c.table("documents").where("text IS NOT NULL").select("doc_id", S.cache_key(F.lit("local"), F.lit("0.7"), F.col("text")).alias("cache_key")))
 _FENCED = "array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(ltrim(x), '```')), chr(10))"
@@ -343,8 +346,8 @@ query("x43_prompts", "SELECT doc_id, '<system>' || chr(10) || 's' || chr(10) ||
     lambda c: c.table("documents").select("doc_id", S.prompt(system=F.lit("s"), references=F.lit(""), input=F.col("text")).alias("prompt"))
 )
 query("x29_target_types")(lambda c: c.references.select("type_string").distinct().select("type_string", mapped(F.col("type_string")).alias("target")))
-query("parse16_type_tokens", "SELECT doc_id, len(regexp_extract_all(type_fqn, '[a-zA-Z_]\\w*|\\d+|\\s+|[^\\w\\s]')) AS n FROM documents WHERE type_fqn IS NOT NULL AND regexp_matches(type_fqn, '^[ -~]*$')")(
-    lambda c: c.table("documents").where(F.col("type_fqn").isNotNull() & F.col("type_fqn").rlike("^[ -~]*$")).select("doc_id", F.size(F.regexp_extract_all("type_fqn", F.lit(r"[a-zA-Z_]\w*|\d+|\s+|[^\w\s]"), F.lit(0))).cast("bigint").alias("n"))
+query("parse16_type_tokens", f"SELECT doc_id, len(regexp_extract_all({REMAP('type_fqn')}, '[a-zA-Z_]\\w*|\\d+|[\\s\\v]+|[^\\w\\s\\v]')) AS n FROM documents WHERE type_fqn IS NOT NULL")(
+    lambda c: c.table("documents").where("type_fqn IS NOT NULL").select("doc_id", F.size(S.type_tokens(F.col("type_fqn"))).cast("bigint").alias("n"))
 )
 
 # Parsers over the sources of types and over texts.
