@@ -100,7 +100,7 @@ fixture(
     ("CEmoteTable", False), ("IObjectFactory", False), ("_ULARGE_INTEGER", False), ("D3DPolyRender", False), ("tWAVEFORMATEX", False), ("tWAVEFORMATEXTENSIBLE", True), ("Player", False), ("cmsg", False), ("", False),
 )(lambda s: s.createDataFrame([(n,) for n in ("CMsgBox", "IXMLHttp", "ResourceBag", "SerializationBehaviorX", "CHid", "Value_", "x_tag", "_com_error", "LIST_ENTRY32", "CEmoteTable", "IObjectFactory", "_ULARGE_INTEGER", "D3DPolyRender", "tWAVEFORMATEX", "tWAVEFORMATEXTENSIBLE", "Player", "cmsg", "")], "name string").select("name", S.should_ignore(F.col("name")).alias("ignored")))
 _FILED = [(1, "Struct", "", "DArray<int>", ""), (2, "Struct", "N", "N::Child", "struct Child : DBObj {};"), (3, "Struct", "A::B", "A::B::Plain", "/* 1 */\nstruct Plain\n{\n  int GetSubDataIDs;\n};\n"), (4, "Class", "", "CameraSet", ""), (5, "Struct", "X::Y", "X::Y::Own", None), (6, "Struct", "", "DBObj", None), (7, "Enum", "", "DBUpdateType", None), (8, "Struct", "P::Q", "P::Q::PropertyBag", None)]
-fixture("fx_j31_default_rules", "id, path, file_name", (1, "Lib/Templates", None), (2, "Dats/DBObjs", None), (3, "Dats/Types/B", None), (4, "Rendering/Camera", None), (5, "X/Y", None), (6, "Dats/DBObjs", None), (7, "Dats", "DBUpdateType"), (8, "Game/Properties/Q", None))(
+fixture("fx_j31_default_rules", "id, path, file_name", (1, "Lib/Templates", None), (2, "Dats/DBObjs/N", None), (3, "Dats/Types/A/B", None), (4, "Rendering/Camera", None), (5, "X/Y", None), (6, "Dats/DBObjs", None), (7, "Dats", "DBUpdateType"), (8, "Game/Properties/P/Q", None))(
     lambda s: rules.locations(s.createDataFrame([(*r, False) for r in _FILED], "id int, kind string, namespace string, stored_fully_qualified_name string, source string, is_ignored boolean"), s.createDataFrame([(2, 6)], "child long, parent long")).select("id", "path", "file_name")
 )
 fixture("fx_x37_located", "path", ("Lib/a/b",), ("Lib",), ("Lib/b",), ("a/b",))(

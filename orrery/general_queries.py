@@ -47,7 +47,9 @@ round AS (SELECT DISTINCT relation, c FROM reach WHERE c = p),
 bad AS (SELECT relation, c FROM round UNION SELECT r.relation, r.c FROM reach r JOIN round o ON o.relation = r.relation AND o.c = r.p),
 good AS (SELECT l.* FROM links l ANTI JOIN bad b ON b.relation = l.relation AND b.c = l.c),
 steps AS (SELECT relation, c, p, 1 AS d FROM good UNION SELECT s.relation, s.c, g.p, d + 1 FROM steps s JOIN good g ON g.relation = s.relation AND g.c = s.p),
-least AS (SELECT relation, c, p, min(d) AS d FROM steps GROUP BY ALL)
+least AS (SELECT relation, c, p, min(d) AS d FROM steps GROUP BY ALL),
+further AS (SELECT relation, c, p, 1 AS d FROM links UNION SELECT s.relation, s.c, g.p, d + 1 FROM further s JOIN links g ON g.relation = s.relation AND g.c = s.p WHERE d < 150),
+far AS (SELECT relation, c, p, min(d) AS d FROM further GROUP BY ALL)
 """
 
 ORACLES: dict[str, str] = {
@@ -57,7 +59,15 @@ ORACLES: dict[str, str] = {
     + """SELECT relation, c AS type_id, p AS root_id, d::INT AS depth FROM least r
 WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.relation = r.relation AND l.c = r.p)
 UNION ALL SELECT relation, c, -1, -1 FROM bad""",
-    "p6_descendants": _LINKS + "SELECT relation, p AS type_id, c AS descendant_id, d::INT AS depth FROM least",
+    "p6_paths": _LINKS.replace(
+        "least AS",
+        """ways AS (SELECT relation, c, p, [p] AS path FROM good UNION ALL SELECT w.relation, w.c, g.p, list_append(path, g.p) FROM ways w JOIN good g ON g.relation = w.relation AND g.c = w.p),
+least AS""",
+    )
+    + """SELECT relation, c AS type_id, p AS root_id, len(min(path))::INT AS depth, c || '/' || array_to_string(min(path), '/') AS path
+FROM (SELECT relation, c, p, path FROM ways w WHERE NOT EXISTS (SELECT 1 FROM links l WHERE l.relation = w.relation AND l.c = w.p)
+  QUALIFY len(path) = min(len(path)) OVER (PARTITION BY relation, c, p)) GROUP BY relation, c, p""",
+    "p6_descendants": _LINKS + "SELECT relation, p AS type_id, c AS descendant_id, d::INT AS depth FROM far",
     "p6_circles": _LINKS
     + """SELECT l.relation, l.c AS child_id, l.p AS parent_id FROM links l
 WHERE l.c = l.p OR EXISTS (SELECT 1 FROM reach r WHERE r.relation = l.relation AND r.c = l.p AND r.p = l.c)""",

@@ -299,8 +299,23 @@ query("g2_closure", f"WITH RECURSIVE {_LINKS}, r AS (SELECT c, p FROM links UNIO
 query("g7_destructors", f"WITH RECURSIVE {_LINKS}, found AS (SELECT DISTINCT parent_id::BIGINT AS id FROM {BODIES} WHERE contains(fully_qualified_name, '~') AND parent_id IS NOT NULL UNION SELECT c FROM found JOIN links ON p = id) SELECT id FROM found")(
     lambda c: graph.with_destructor(_links(c), c.bodies.where("contains(fully_qualified_name, '~') AND parent_id IS NOT NULL").select(F.col("parent_id").alias("id")))
 )
-query("g6_base_paths")(lambda c: resolution.base_paths(c.types))
-query("g5_grouping_roots")(lambda c: resolution.grouping_roots(c.types))
+query(
+    "g6_base_paths",
+    """WITH r AS (SELECT id, base_name, coalesce(namespace, '') AS ns, coalesce(stored_fully_qualified_name, '') AS f FROM types),
+by_name AS (SELECT DISTINCT f AS k FROM r WHERE f <> ''), by_base AS (SELECT base_name, ns, arg_min(f, id) AS v FROM r GROUP BY ALL), top AS (SELECT base_name AS k, v FROM by_base WHERE ns = ''),
+a AS (SELECT r.*, b.v AS parent, CASE WHEN contains(b.v, '::') THEN string_split(b.v, '::')[1] END AS pk, CASE WHEN contains(r.ns, '::') THEN string_split(r.ns, '::')[1] END AS sk,
+  CASE WHEN contains(r.base_name, '::') THEN string_split(r.base_name, '::')[1] END AS ok FROM r LEFT JOIN by_base b ON ends_with(r.base_name, '_vtbl') AND b.base_name = regexp_replace(r.base_name, '_vtbl$', '') AND b.ns = r.ns)
+SELECT a.id, CASE WHEN parent IS NOT NULL THEN coalesce(p1.v, p2.k, parent) ELSE coalesce(s1.v, s2.k, same.k, o1.k, o2.v, f) END AS base_type_path FROM a
+LEFT JOIN top p1 ON p1.k = pk LEFT JOIN by_name p2 ON p2.k = pk LEFT JOIN top s1 ON s1.k = sk LEFT JOIN by_name s2 ON s2.k = sk LEFT JOIN by_name same ON same.k = ns AND ns <> '' LEFT JOIN by_name o1 ON o1.k = ok LEFT JOIN top o2 ON o2.k = ok""",
+)(lambda c: resolution.base_paths(c.types))
+_UP = f"""WITH RECURSIVE named AS {BY_NAME}, t AS (SELECT id, base_name, coalesce(namespace, '') AS ns, coalesce(stored_fully_qualified_name, '') AS f, coalesce(base_type_path, '') AS path FROM types),
+p AS (SELECT *, {BASE("path")} AS k FROM t WHERE path <> ''), two AS (SELECT base_name AS k, ns, min(id) AS b FROM t GROUP BY ALL), three AS (SELECT base_name AS k, min(id) AS c FROM t GROUP BY ALL),
+up AS (SELECT p.id, coalesce(n.type_id, b, c) AS up FROM p LEFT JOIN named n ON n.name = path LEFT JOIN two USING (k, ns) LEFT JOIN three USING (k)),
+root AS (SELECT id, path = '' OR path = f OR {BASE("path")} = base_name AS r FROM t),
+walk AS (SELECT id, up AS pos FROM up WHERE up IS NOT NULL UNION SELECT w.id, u.up FROM walk w JOIN root ON root.id = pos AND NOT r JOIN up u ON u.id = pos WHERE u.up IS NOT NULL),
+roots AS (SELECT w.id, pos AS root_id FROM walk w JOIN root ON root.id = pos AND r)
+"""
+query("g5_grouping_roots", _UP + "SELECT types.id, root_id FROM types LEFT JOIN roots USING (id)")(lambda c: resolution.grouping_roots(c.types))
 query("j31_locations")(lambda c: rules.locations(c.types, _links(c)).select("id", "rule", "path", "file_name"))
 query("a14_output_files")(lambda c: rules.grouped(c.types, rules.locations(c.types, _links(c))))
 
@@ -389,6 +404,62 @@ query("rt_statics", "SELECT lpad(upper(to_hex(c_custkey)), 16, '0') AS address,
     lambda c: c.table("customer").select(F.explode(listings.statics_of(F.concat(F.lpad(F.hex("c_custkey"), 16, "0"), F.lit(" public: static Map<int, Customer *> * Nation_"), _n(F.col("c_nationkey")), F.lit("::s_"), _n(F.col("c_custkey")), F.lit(" 8 bytes [statics]")))).alias("s")).select("s.address", "s.name", "s.type_string")
 )
 
+_k = lambda c="p_partkey": F.col(c).cast("string")
+_MEMBERS_OF_PART = """[('flags', 'unsigned int', 3, false, NULL, 0, false), ('pad', '_BYTE', NULL, true, p_size, 0, false), ('next', 'const Name<int, Part_' || p_partkey || '*>*', NULL, false, NULL, 1, false),
+('run', NULL, NULL, false, NULL, 0, true), ('grid', 'double*', NULL, true, 4, 1, false), ('m_' || p_partkey, 'N::Inner', NULL, false, NULL, 0, false)]"""
+query(
+    "rt_members",
+    f"""SELECT 'N_' || p_size || '::Part_' || p_partkey AS full_name, u.i - 1 AS decl_order, m[u.i][1] AS name, m[u.i][2] AS type_string, m[u.i][3] AS bit_width, m[u.i][4] AS is_array, m[u.i][5] AS array_size, m[u.i][6] AS pointer_depth, m[u.i][7] AS is_function_pointer
+FROM (SELECT *, {_MEMBERS_OF_PART} AS m FROM part), range(1, 7) u(i)""",
+)(
+    lambda c: listings.definitions(
+        c.table("part").select(
+            _k().alias("file"),
+            F.concat(
+                F.lit("/* 3 */\nstruct __cppobj N_"), _k("p_size"), F.lit("::Part_"), _k(), F.lit(" : Base_"), _k("p_size"), F.lit(", Other<int, Part_"), _k(), F.lit(" *>\n{\n  unsigned int flags : 3;\n  _BYTE pad["), _k("p_size"),
+                F.lit("];\n  const Name<int, Part_"), _k(), F.lit(" *> *next; // note\n  void (__thiscall *run)(Part_"), _k(), F.lit(" *this, int);\n  double *grid[4];\n  N::Inner m_"), _k(), F.lit(";\n};\n"),
+            ).alias("text"),
+        )
+    ).select("full_name", F.explode("members").alias("m")).select("full_name", "m.decl_order", "m.name", F.when(~F.col("m.is_function_pointer"), F.col("m.type_string")).alias("type_string"), "m.bit_width", "m.is_array", "m.array_size", "m.pointer_depth", "m.is_function_pointer")
+)
+query("rt_unions", "SELECT 'U_' || s_suppkey AS full_name, 2 AS members, 'b_' || s_nationkey AS last_name FROM supplier")(
+    lambda c: listings.definitions(c.table("supplier").select(_k("s_suppkey").alias("file"), F.concat(F.lit("/* 9 */\nunion U_"), _k("s_suppkey"), F.lit("\n{\n  int a;\n  float b_"), _k("s_nationkey"), F.lit(";\n};\n")).alias("text")))
+    .where("kind = 'Union'").select("full_name", F.size("members").alias("members"), F.element_at("members", -1)["name"].alias("last_name"))
+)
+query("rt_typedefs", "SELECT 'T_' || c_custkey AS name, 'N_' || c_nationkey || ' *' AS refers_to FROM customer")(
+    lambda c: listings.definitions(c.table("customer").select(_k("c_custkey").alias("file"), F.concat(F.lit("/* 2 */\ntypedef N_"), _k("c_nationkey"), F.lit(" *T_"), _k("c_custkey"), F.lit(";\n")).alias("text"))).where("kind = 'Typedef'").select("name", "refers_to")
+)
+query("rt_signatures", "SELECT o_orderkey AS id, 'O_' || o_custkey || '::go_' || o_orderkey AS name, '__cdecl' AS convention, 'unsigned int' AS returns, 'a,cb,m' AS parameters FROM orders")(
+    lambda c: c.table("orders").select(F.col("o_orderkey").alias("id"), listings.signature_of(F.concat(F.lit("unsigned int __cdecl O_"), _k("o_custkey"), F.lit("::go_"), _k("o_orderkey"), F.lit("(const A *a, void (__stdcall *cb)(int, B *), Map<int, C *> m)"))).alias("s"))
+    .select("id", "s.name", "s.convention", "s.returns", F.array_join(F.transform("s.parameters", lambda p: p["name"]), ",").alias("parameters"))
+)
+
+
+def _built(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A catalog of structs whose layout is known: a struct per customer, which an order has by value, with a base, an array, bit fields and a pointer."""
+    customers, orders = c.table("customer"), c.table("orders").select(F.col("o_orderkey").cast("int").alias("k"), F.col("o_custkey").cast("int").alias("cust"))
+    none = F.lit(None).cast("int")
+    named = lambda df, i, prefix: df.select(i.alias("id"), F.concat(F.lit(prefix), i.cast("string")).alias("base_name"), F.lit("Struct").alias("kind"), none.alias("alignment"), F.concat(F.lit(prefix), i.cast("string")).alias("stored_fully_qualified_name"))
+    cust, order = F.col("c_custkey").cast("int"), F.col("k") + 50_000_000
+    types = named(customers, cust, "C").unionByName(named(orders, order, "O"))
+    part = lambda n, name, kind, ref=None, bits=None: F.struct(F.lit(n).alias("n"), F.lit(name).alias("name"), kind.alias("type_string"), (ref if ref is not None else none).alias("type_reference_id"), F.lit(bits).cast("int").alias("bit_width"))
+    own = F.concat(F.lit("C"), F.col("cust").cast("string"))
+    of_customer = customers.select(cust.alias("struct_id"), F.explode(F.array(part(0, "c", F.lit("char")), part(1, "i", F.lit("int")), part(2, "s", F.lit("short")))).alias("p"))
+    of_order = orders.select(order.alias("struct_id"), F.explode(F.array(part(0, "f", F.lit("int"), bits=3), part(1, "g", F.lit("int"), bits=5), part(2, "one", own), part(3, "many", own, F.col("cust")), part(4, "d", F.lit("double")), part(5, "p", F.concat(own, F.lit(" *"))), part(6, "z", F.lit("char")))).alias("p"))
+    members = of_customer.unionByName(of_order).select((F.col("struct_id").cast("long") * 8 + F.col("p.n")).alias("id"), "struct_id", "p.name", "p.type_string", "p.type_reference_id", F.col("p.n").alias("decl_order"), "p.bit_width", none.alias("alignment"), F.lit(False).alias("is_function_pointer"))
+    references = customers.select(cust.alias("id"), F.concat(F.lit("C"), cust.cast("string"), F.lit("[3]")).alias("type_string"), cust.alias("referenced_type_id"), F.lit(False).alias("is_pointer"), F.lit(True).alias("is_array"), F.lit(3).alias("array_size"))
+    bases = orders.select(F.col("k").alias("id"), order.alias("parent_type_id"), F.col("cust").alias("related_type_id"), F.lit(0).alias("ord"))
+    return types, members.withColumn("id", F.col("id").cast("int")), references, bases
+
+
+# A customer's struct has 12 bytes (1, to 4 + 4, + 2, to 12); an order's begins with one, then 4 + 4 for the bit fields in its size, which takes no notice of packing, but 4 in its offsets.
+query("rt_type_sizes", "SELECT c_custkey::INT AS id, 12 AS size FROM customer UNION ALL SELECT o_orderkey::INT + 50000000, 12 + 8 + 12 + 36 + 8 + 4 + 4 FROM orders")(lambda c: layout.type_sizes(*_built(c)))
+query(
+    "rt_member_offsets",
+    """SELECT c_custkey::INT AS struct_id, name, pos AS member_offset FROM customer, (VALUES ('c', 0), ('i', 4), ('s', 8)) v(name, pos)
+UNION ALL SELECT o_orderkey::INT + 50000000, name, pos FROM orders, (VALUES ('f', 12), ('g', 12), ('one', 16), ('many', 28), ('d', 64), ('p', 72), ('z', 76)) v(name, pos)""",
+)(lambda c: layout.member_offsets(*(b := _built(c))).join(b[1].select("id", "name"), "id").select("struct_id", "name", "member_offset"))
+
 # Layout, texts, pipeline, changes.
 query("y2_member_offsets")(lambda c: layout.member_offsets(c.types, c.members, c.references, c.bases))
 query("y4_type_sizes")(lambda c: layout.type_sizes(c.types, c.members, c.references, c.bases))
@@ -433,6 +504,16 @@ sum(event_id)::BIGINT AS prompt_tokens, sum(user_id)::BIGINT AS completion_token
 query("k5_upsert", "SELECT user_id, CASE WHEN count(*) FILTER (event_id % 2 = 1) > 0 THEN max(event_id) FILTER (event_id % 2 = 1) ELSE max(event_id) END AS event_id FROM events GROUP BY 1")(
     lambda c: K.upsert(c.table("events").where("event_id % 2 = 0").select("user_id", "event_id"), c.table("events").where("event_id % 2 = 1").select("user_id", "event_id"), ["user_id"], F.col("event_id"))
 )
+_PARTS = r"""b AS (SELECT id, regexp_extract(source, '\{(.*)\}', 1, 's') AS body FROM types WHERE regexp_matches(source, '(?s)^/\*\s*\d+\s*\*/\r?\nenum [^;{]*\{.*\}')),
+m AS (SELECT id, unnest(string_split(body, ',')) AS part, generate_subscripts(string_split(body, ','), 1) AS n FROM b),
+v AS (SELECT id, n, regexp_extract(part, '^\s*([a-zA-Z_]\w*)', 1) AS name, trim(regexp_extract(part, '(?s)=\s*(.*?)\s*$', 1)) AS value FROM m WHERE regexp_matches(part, '(?s)^\s*([a-zA-Z_]\w*)\s*(?:=\s*(.*?))?\s*$'))"""
+ORACLES["c2_enum_texts"] = f"""WITH {_PARTS}, l AS (SELECT id, string_agg(chr(10) || '    ' || name || CASE WHEN value <> '' THEN ' = ' || value ELSE '' END || ',', '' ORDER BY n) AS t FROM v GROUP BY id)
+SELECT types.id, 'enum ' || CASE WHEN is_bitmask THEN '__bitmask ' ELSE '' END || coalesce(stored_fully_qualified_name, base_name) || chr(10) || '{{' || coalesce(t, '') || chr(10) || '}};' AS content FROM types LEFT JOIN l USING (id) WHERE kind = 'Enum'"""
+ORACLES["a7_enum_widths"] = f"""WITH {_PARTS}, num AS (SELECT id, CASE WHEN regexp_matches(value, '^-?0[xX][0-9a-fA-F]{{1,15}}[LlUu]*$') THEN (CASE WHEN value LIKE '-%' THEN -1 ELSE 1 END) * ('0x' || regexp_extract(value, '^-?0[xX]([0-9a-fA-F]+)', 1))::BIGINT
+  WHEN regexp_matches(value, '^[-+]?\\d+[LlUu]*$') THEN TRY_CAST(rtrim(value, 'LlUu') AS BIGINT) END AS x FROM v),
+lh AS (SELECT id, least(coalesce(min(x), 0), 0) AS low, greatest(coalesce(max(x), 0), 0) AS high FROM num GROUP BY id)
+SELECT id AS enum_id, CASE WHEN low < 0 THEN CASE WHEN low >= -128 AND high <= 127 THEN 'sbyte' WHEN low >= -32768 AND high <= 32767 THEN 'short' WHEN low >= -2147483648 AND high <= 2147483647 THEN 'int' ELSE 'long' END
+  WHEN high >= 2147483647 THEN 'uint' WHEN high <= 255 THEN 'byte' WHEN high <= 65535 THEN 'ushort' ELSE 'uint' END AS width FROM lh"""
 _stage = pipeline.Stage("CommentEnums", "Write a summary.", pipeline.stub_checker, pipeline.stub_writer)
 query("e2_stage", "SELECT 'CommentEnums' AS stage, 'Enum' AS entity_type, coalesce(stored_fully_qualified_name, base_name, 'Unknown') AS full_name, 'Success' AS status FROM types WHERE NOT is_ignored AND kind = 'Enum'")(
     lambda c: pipeline.run_stage(c.work_items(("Enum",)).withColumn("target", F.col("full_name")), c.spark.createDataFrame([], pipeline.RESULTS), _stage)[0].select("stage", "entity_type", "full_name", "status")
@@ -453,7 +534,7 @@ s AS (SELECT m.id AS member_id, m.name, parent_id FROM {MEMBERS} m JOIN t ON t.i
 b AS (SELECT id, parent_id, list_last(string_split(regexp_extract(fully_qualified_name, '([\\w:~]+)\\(', 1), '::')) AS name FROM {BODIES} WHERE length(fully_qualified_name) > 0)
 SELECT member_id, min(b.id) AS body_id FROM s JOIN b ON b.parent_id = s.parent_id AND b.name = s.name GROUP BY 1""",
 )(lambda c: methods.slot_bodies(c.types, c.members, _signed(c)))
-query("g9_nested_flat")(lambda c: graph.closure(resolution.nested_types(c.types).select(F.col("child_id").cast("long").alias("child"), F.col("parent_id").cast("long").alias("parent"))))
+query("g9_nested_flat", ORACLES["j25_nested_types"].replace("WITH t AS", "WITH RECURSIVE t AS").replace("SELECT parent_id, l.id AS child_id", ", direct AS (SELECT parent_id, l.id AS child_id") + "), flat AS (SELECT child_id AS c, parent_id AS p FROM direct UNION SELECT f.c, d.parent_id FROM flat f JOIN direct d ON d.child_id = f.p) SELECT c AS child, p AS parent FROM flat")(lambda c: graph.closure(resolution.nested_types(c.types).select(F.col("child_id").cast("long").alias("child"), F.col("parent_id").cast("long").alias("parent"))))
 _DECLARED = "regexp_extract(line, '^(.*[\\s*&>\\]])\\w+;$', 1)"
 query("x6_types_of_declarations", f"SELECT DISTINCT line, {NORM(_DECLARED)} AS type FROM (SELECT trim(unnest(regexp_split_to_array(source, '\\r?\\n'))) AS line FROM types) WHERE regexp_matches(line, '^[\\w:]+[ *]+\\w+;$')")(
     lambda c: c.types.select(F.explode(F.split("source", r"\r?\n")).alias("l")).select(F.trim("l").alias("line")).where(F.col("line").rlike(r"^[\w:]+[ *]+\w+;$")).distinct().select("line", S.normalize_type(F.regexp_extract("line", r"^(.*[\s*&>\]])\w+;$", 1)).alias("type"))
