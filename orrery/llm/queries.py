@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_written_types": ledger.written_types,
     "p2_found": splitter.oversized,
     "p2_pieces": splitter.all_pieces,
+    "p2_round_trip": splitter.round_trip,
     "p4_found": terms.terms_found,
     "p4_terms": terms.marked_terms,
     "p5_found": survivors.best_rows,
@@ -59,6 +60,8 @@ SELECT first_id, id AS copy_id FROM least WHERE id <> first_id""",
 FROM type_references JOIN k ON s = type_string GROUP BY full_key""",
     "p2_found": """SELECT DISTINCT table_name, id AS row_id FROM types, split_limits WHERE table_name = 'types' AND length(source) > max_chars
 UNION SELECT table_name, id FROM function_bodies, split_limits WHERE table_name = 'function_bodies' AND length(fully_qualified_name) > max_chars""",
+    "p2_round_trip": """SELECT 'types' AS table_name, id AS row_id, md5(max(source)) AS digest, true AS fits FROM types GROUP BY id HAVING length(max(source)) > 0
+UNION ALL SELECT 'function_bodies', id, md5(max(fully_qualified_name)), true FROM function_bodies GROUP BY id HAVING length(max(fully_qualified_name)) > 0""",
     "p4_found": _P4 + "SELECT table_name, term, mark FROM p4 WHERE mark IS NOT NULL",
     "p5_found": _P5 + "SELECT first_id, members_from_id, source_from_id FROM best WHERE n > 1",
     "p4_terms": _P4 + "SELECT table_name, term, occurrences, records, mark FROM p4",

@@ -3,8 +3,9 @@
 Each position between two characters of a text has a boundary strength (see ``STRENGTHS``).  A sparse table over the strengths
 answers range-maximum queries: for a piece that begins at ``a`` the permissible cuts are those after more than ``overlap``
 characters (so that the next piece begins later) and at most ``max_chars``; the strongest one is taken, the rightmost of equals.
-The next piece begins ``overlap`` characters before the cut.  The table is built over a stretch of the text at a time, in
-``numpy``, so a text of any length needs a bounded amount of memory besides itself.
+The next piece begins ``overlap`` characters before the cut.  No piece but the last is shorter than ``LEAST`` of the limit, so a strong
+boundary right behind the last cut doesn't make a crumb.  Strengths take a byte for each character; the table, with eight bytes for
+each character and level, is built over a stretch of the text at a time.
 """
 
 from __future__ import annotations
@@ -35,15 +36,16 @@ STRENGTHS = (
 _PATTERNS = [(s, re.compile(p, re.S)) for s, p in STRENGTHS]
 #: Characters for which one table is built.
 STRETCH = 1 << 16
+#: The part of the limit that a piece has at least, unless it is the last.
+LEAST = 0.25
 
 
 def strengths(text: str) -> np.ndarray:
     """The strength of the cut before each position 0..len(text); 0 inside of words."""
     out = np.zeros(len(text) + 1, dtype=np.uint8)
     for strength, pattern in reversed(_PATTERNS):
-        ends = [m.end() for m in pattern.finditer(text)]
-        if ends:
-            out[ends] = strength
+        for m in pattern.finditer(text):
+            out[m.end()] = strength
     return out
 
 
@@ -66,7 +68,7 @@ class RangeMax:
         return int(max(row[low], row[high - (1 << k) + 1]) & ((1 << 40) - 1))
 
 
-def pieces(text: str, max_chars: int, overlap: int) -> list[tuple[int, int, int]]:
+def pieces(text: str, max_chars: int, overlap: int, least: float = LEAST) -> list[tuple[int, int, int]]:
     """(begin, end, strength of the cut at the end) of the pieces of a text; one piece if it fits, none if it is empty.
 
     ``overlap`` counts as at most ``max_chars - 1``; the strength at the end of the text is 0.
@@ -78,7 +80,7 @@ def pieces(text: str, max_chars: int, overlap: int) -> list[tuple[int, int, int]
         return [(0, n, 0)] if n else []
     out, begin, known, index, base = [], 0, strengths(text), None, 0
     while n - begin > max_chars:
-        low, high = begin + overlap + 1, begin + max_chars
+        low, high = begin + max(overlap + 1, min(int(least * max_chars), max_chars)), begin + max_chars
         if index is None or high >= base + STRETCH + max_chars:
             base = begin
             index = RangeMax(known[base : base + STRETCH + max_chars])
@@ -121,6 +123,21 @@ def one_per_record(df: DataFrame, ident: str, text: str) -> DataFrame:
     return df.groupBy(ident).agg(F.max(text).alias(text))
 
 
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """table_name, row_id, text, longest: the texts that pieces (see :func:`all_pieces`) were cut from, and the length of the longest piece."""
+    own = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "begin", "end", "text"))), lambda p: p)
+    rows = pieces.groupBy("table_name", "row_id").agg(own.alias("l"), F.max(F.length("text")).alias("longest"))
+    new = F.transform("l", lambda p, k: F.when(k == 0, p["text"]).otherwise(F.substring(p["text"], F.element_at("l", k)["end"] - p["begin"] + 1, F.length(p["text"]))))
+    return rows.select("table_name", "row_id", F.array_join(new, "").alias("text"), "longest")
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """table_name, row_id, digest of the text its pieces make up again, fits: whether all are within the limit."""
+    most = spark.createDataFrame([(t, m) for t, _, m, _ in limits(spark, sf_dir)], "table_name string, most int")
+    whole = rejoined(all_pieces(spark, sf_dir)).join(F.broadcast(most), "table_name")  # one row per field
+    return whole.select("table_name", "row_id", F.md5(F.col("text").cast("binary")).alias("digest"), (F.col("longest") <= F.col("most")).alias("fits"))
+
+
 def limits(spark: SparkSession, sf_dir: str) -> list[tuple[str, str, int, int]]:
     """table_name, field_name, max_chars, overlap_chars: a small table of settings, a row per field."""
     rows = table(spark, sf_dir, "split_limits").where("max_chars > 0").select("table_name", "field_name", "max_chars", F.coalesce("overlap_chars", F.lit(0))).distinct()
