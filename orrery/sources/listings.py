@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from orrery.functions import cpp
-from orrery.plans.shared import row_numbers, written
+from orrery.functions.strings import is_static_line
+from orrery.plans.shared import hot_keys, join_to_keys, row_numbers, written
 
 _PARAMETERS = "array<struct<position: int, name: string, type: string, pointer_depth: int, is_function_pointer: boolean, is_const: boolean>>"
 _MEMBERS = (
@@ -158,7 +159,12 @@ def first_definitions(found: DataFrame) -> DataFrame:
 
 
 def catalog_tables(files: DataFrame) -> dict[str, DataFrame]:
-    """The tables of a catalog from source files (file, text).  Ids follow file, kind and line, however the work is spread."""
+    """The tables of a catalog from source files (file, text).  Ids follow file, kind and line, however the work is spread.
+
+    References have no referenced_type_id yet; that is the work of ``operators.resolution.resolve_references``.
+    """
+    from orrery.operators.resolution import static_owners
+
     rank = F.array_position(F.array(*[F.lit(k) for k in KIND_ORDER]), F.col("kind")).cast("int").alias("_rank")
     kept = written(row_numbers(first_definitions(definitions(files)).select("*", rank), ["file", "_rank", "line", "full_name"], "id"))
     code = F.when(F.col("kind") == "Enum", 1).when(F.col("kind") == "Struct", 2).when(F.col("kind") == "Union", 4).when(F.col("kind") == "Typedef", 5).otherwise(0)
@@ -168,9 +174,39 @@ def catalog_tables(files: DataFrame) -> dict[str, DataFrame]:
     )
     members = row_numbers(kept.select("id", F.explode("members").alias("m")).select(F.col("id").alias("struct_id"), "m.*"), ["struct_id", "decl_order"], "id")
     bases = row_numbers(kept.select("id", F.posexplode("bases").alias("ord", "related_type_string")).withColumnRenamed("id", "parent_type_id"), ["parent_type_id", "ord"], "id")
+    bases = bases.withColumn("related_type_id", F.lit(None).cast("int"))
     arguments = row_numbers(kept.select("id", F.posexplode("arguments").alias("position", "type_string")).withColumnRenamed("id", "parent_type_id"), ["parent_type_id", "position"], "id")
     values = row_numbers(kept.select("id", F.posexplode("values").alias("position", "v")).select(F.col("id").alias("enum_id"), "position", "v.*"), ["enum_id", "position"], "id")
     typedefs = kept.where("kind = 'Typedef'").select("id", "name", "namespace", F.col("refers_to").alias("type_string"), "signature")
     functions = files.select("file", F.explode(functions_of(F.col("text"))).alias("f")).select("file", "f.*")
     functions = row_numbers(functions, ["file", "line"], "id")
-    return {"types": types, "struct_members": members, "type_inheritances": bases, "type_arguments": arguments, "enum_members": values, "typedefs": typedefs, "function_bodies": functions}
+    statics = lines(files).where(is_static_line(F.col("text"))).select("file", "line", F.explode(statics_of(F.col("text"))).alias("s")).select("file", "line", "s.*")
+    statics = written(static_owners(row_numbers(statics, ["file", "line"], "id"), types))
+    members, functions, typedefs = written(members), written(functions), written(typedefs)
+    # Signatures of bodies, of pointers among members and of typedefs, and the parameters they have.
+    signed = functions.select(F.lit("Body").alias("origin"), F.col("id").alias("origin_id"), "name", "signature", "convention", "returns", "parameters").unionByName(
+        members.where("is_function_pointer").select(F.lit("Member").alias("origin"), F.col("id").alias("origin_id"), "name", "signature", "convention", F.col("type_string").alias("returns"), "parameters")
+    )
+    signatures = written(row_numbers(signed, ["origin", "origin_id"], "id"))
+    parameters = signatures.select(F.col("id").alias("signature_id"), F.explode("parameters").alias("p")).select("signature_id", "p.*").withColumnRenamed("type", "type_string")
+    parameters = written(row_numbers(parameters, ["signature_id", "position"], "id"))
+    # Every written use of a type is a reference; equal ones are one.
+    plain = lambda df, c: df.select(F.col(c).alias("type_string"), F.lit(False).alias("is_array"), F.lit(None).cast("int").alias("array_size"))
+    used = members.where("NOT is_function_pointer").select("type_string", "is_array", "array_size")
+    for df, c in ((bases, "related_type_string"), (arguments, "type_string"), (parameters, "type_string"), (signatures, "returns"), (typedefs, "type_string"), (statics, "type_string")):
+        used = used.unionByName(plain(df, c))
+    used = row_numbers(used.where("length(trim(type_string)) > 0").distinct(), ["type_string", "is_array", "array_size"], "id").withColumn("r", references_of(F.col("type_string")))
+    references = written(used.select("id", "type_string", "r.fully_qualified_type", F.lit(None).cast("int").alias("referenced_type_id"), "r.is_const", "r.is_pointer", "r.is_reference", "r.pointer_depth", "is_array", "array_size"))
+    key = lambda t, a, n: F.concat_ws("\u0001", t, a.cast("string"), F.coalesce(n.cast("string"), F.lit("")))
+    known = references.select(key(F.col("type_string"), F.col("is_array"), F.col("array_size")).alias("_key"), F.col("id").alias("type_reference_id"))
+
+    def referring(df: DataFrame, c: str, out: str = "type_reference_id", array: Column | None = None, n: Column | None = None) -> DataFrame:
+        keyed = df.withColumn("_key", key(F.col(c), F.lit(False) if array is None else array, F.lit(None).cast("int") if n is None else n))
+        hot = hot_keys(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", "n", least=1 << 16)
+        return join_to_keys(keyed, known.withColumnRenamed("type_reference_id", out), "_key", "id", hot, "left", merge=False).drop("_key")
+
+    return {
+        "types": types, "type_inheritances": referring(bases, "related_type_string"), "type_arguments": referring(arguments, "type_string"), "enum_members": values, "function_bodies": functions,
+        "struct_members": referring(members, "type_string", array=F.col("is_array"), n=F.col("array_size")), "typedefs": referring(typedefs, "type_string"), "static_variables": referring(statics, "type_string"),
+        "type_references": references, "function_signatures": referring(signatures.drop("parameters"), "returns", "return_reference_id"), "function_parameters": referring(parameters, "type_string"),
+    }

@@ -340,6 +340,21 @@ def test_catalog_from_files(spark, tmp_path):
     assert rows(made["function_bodies"].select("name", "owner", "offset")) == [("A::go", "A", 31)]
 
 
+def test_text_to_layout(spark, tmp_path):
+    (tmp_path / "a.h").write_text("/* 1 */\nstruct A\n{\n  char c;\n  int i;\n};\n/* 2 */\nstruct B : A\n{\n  A many[3];\n  A *p;\n  int (__cdecl *go)(A *self, const B *);\n  char z;\n};\n//----- (1F) ----\nvoid __thiscall B::run(B *this, A q)\n{\n}\n")
+    (tmp_path / "s.txt").write_text("0000000140BA96E0 public: static A B::s_a 8 bytes [statics]\nnothing\n")
+    made = listings.catalog_tables(listings.read_files(spark, str(tmp_path)))
+    refs = resolution.resolve_references(made["type_references"], made["types"])
+    bases = resolution.resolve_bases(made["type_inheritances"], made["types"])
+    assert {(r.type_string, r.is_array, r.array_size): r.referenced_type_id for r in refs.collect() if "A" in r.type_string} == {("A", False, None): 1, ("A", True, 3): 1, ("A*", False, None): 1, **{(t, False, None): 1 for t in {r.type_string for r in refs.collect()} & {"A *"}}}
+    assert rows(made["function_signatures"].select("origin", "name", "convention")) == [("Body", "B::run", "__thiscall"), ("Member", "go", "__cdecl")]
+    assert {(r.name, r.position) for r in made["function_parameters"].collect()} == {("this", 0), ("q", 1), ("self", 0), ("__param2", 1)}
+    assert all(r.type_reference_id is not None for r in made["function_parameters"].collect())
+    assert rows(made["static_variables"].select("name", "parent_id")) == [("s_a", 2)]
+    sizes = layout.type_sizes(made["types"], made["struct_members"], refs, bases)
+    assert rows(sizes) == [(1, 8), (2, 8 + 24 + 4 + 4 + 4)]
+
+
 def test_stream(spark, tmp_path):
     from orrery.streaming.results import arriving, keep_latest, loads_per_window
 
