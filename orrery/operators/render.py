@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import strings as S
 from orrery.functions.target import mapped
+from orrery.plans.shared import written
 
 
 def joined_lines(rows: DataFrame, key: str, order: list[str], text: str = "text", between: str = "\n", alias: str = "content") -> DataFrame:
@@ -157,7 +158,7 @@ def term_hits(terms: DataFrame, bodies: DataFrame, text: str, most: int = 20, bl
     import pandas as pd
     from pyspark.sql.window import Window as W
 
-    asked = terms.select("owner_id", F.lower("term").alias("term")).where(F.length(F.trim("term")) > 0).distinct()
+    asked = written(terms.select("owner_id", F.lower("term").alias("term")).where(F.length(F.trim("term")) > 0).distinct())
     words = asked.select("term").distinct()
     spark, parts = terms.sparkSession, []
     n = words.count()

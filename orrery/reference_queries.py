@@ -479,7 +479,7 @@ def _plain_members(c: Catalog) -> DataFrame:
 
 query("c3_struct_texts")(lambda c: render.struct_texts(c.types.where("kind IN ('Struct', 'Class', 'Union')").select("id", _full(), "source", "alignment"), _plain_members(c), c.bases))
 query("c1_headers")(lambda c: render.headers(rules.grouped(c.types, rules.locations(c.types)), QUERIES["c3_struct_texts"](c.spark, c.directory).unionByName(QUERIES["c2_enum_texts"](c.spark, c.directory))))
-_enum_values = lambda c: listings.definitions(_files(c)).where("kind = 'Enum'").select(F.col("file").cast("int").alias("enum_id"), F.posexplode("values").alias("position", "v")).select("enum_id", "position", "v.name", "v.value")
+_enum_values = lambda c: listings.definitions(_files(c).where(F.contains("text", F.lit("enum")))).where("kind = 'Enum'").select(F.col("file").cast("int").alias("enum_id"), F.posexplode("values").alias("position", "v")).select("enum_id", "position", "v.name", "v.value")
 query("c2_enum_texts")(lambda c: render.enum_texts(c.types_of_kind("Enum").select("id", _full(), "is_bitmask"), _enum_values(c)))
 query("a7_enum_widths")(lambda c: render.enum_widths(_enum_values(c)))
 query("c7_bindings")(lambda c: render.binding_texts(c.types, _plain_members(c), c.bases, _enum_values(c)))
