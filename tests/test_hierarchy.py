@@ -95,3 +95,15 @@ def test_all_ancestors_by_brute_force(spark):
                 want |= {(p, c, d) for p in now}
                 now, d = {q for p in now for q in up.get(p, ())} - seen, d + 1
         assert {(r.ancestor, r.node, r.depth) for r in H.all_ancestors(spark.createDataFrame(links, "child long, parent long")).collect()} == want
+
+
+def test_a_hot_node_and_a_long_circle(spark):
+    # 100,000 links in one circle, 90,000 children of one node that is two below a root, and a tail of 50 into the circle.
+    ring = spark.range(100_000).selectExpr("id AS child", "(id + 1) % 100000 AS parent")
+    hot = spark.range(90_000).selectExpr("id + 1000000 AS child", "200000 AS parent")
+    rest = spark.createDataFrame([(200_000, 200_001), (200_001, 200_002)] + [(300_000 + k, 300_000 + k + 1 if k < 49 else 7) for k in range(50)], "child long, parent long")
+    links = ring.union(hot).union(rest)
+    h = H.resolve(links)
+    assert h.circular.count() == 100_050
+    assert rows(h.roots.groupBy("root", "depth").count()) == [(200_002, 1, 1), (200_002, 2, 1), (200_002, 3, 90_000)]
+    assert H.circle_links(h).count() == 100_000
