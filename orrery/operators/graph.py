@@ -7,14 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.shared import cut, hot_keys, join_to_keys
+from orrery.plans.shared import cut, cut_and_count, hot_keys, join_to_keys
 
 #: Links that one task settles by itself.
 LOCAL = 1 << 19
+#: Links that each of ``WAYS`` tasks follows by itself, for its share of tags.
+FOLLOWED = 1 << 21
+WAYS = 8
 #: Rows a key has at least before its rows are spread.
 LEAST_HOT = 1 << 16
 
@@ -139,14 +144,93 @@ def closure(links: DataFrame) -> DataFrame:
     return all_ancestors(links.select("child", "parent").distinct()).select(F.col("node").alias("child"), F.col("ancestor").alias("parent"))
 
 
-def reached(links: DataFrame, seeds: DataFrame, at: str, to: str, *tags: str) -> DataFrame:
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_k, _at, _to and tags), first links (_k 0), then seeds (_k 1, in ``_at``) sorted by tags: node and tags of all that seeds lead to.
+
+    One tag is followed at a time; in memory are the links and what that tag has reached.
+    """
+    at, to = [], []
+    nodes = start = targets = seen = None
+    tag, own, lone = None, [], []
+
+    def follow() -> Iterator[pa.RecordBatch]:
+        found = []
+        for x in own:
+            if not seen[x]:
+                seen[x] = 1
+                found.append(x)
+        for x in found:  # grows as it is read
+            for y in targets[start[x] : start[x + 1]]:
+                if not seen[y]:
+                    seen[y] = 1
+                    found.append(y)
+        for x in found:
+            seen[x] = 0
+        ids = np.concatenate([nodes[found], np.array(lone, dtype=np.int64)])
+        for k in range(0, len(ids), 100_000):
+            part = ids[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *[pa.array([t.as_py()] * len(part), t.type) for t in tag]], names=["node", *names])
+
+    def joined(small: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return pa.Table.from_batches(small).combine_chunks().to_batches()[0]
+
+    out, held = [], 0
+    for batch in batches:
+        names = batch.schema.names[3:]
+        n = batch.num_rows - int(np.count_nonzero(batch.column("_k").to_numpy()))
+        at.append(batch.column("_at").slice(0, n).to_numpy())
+        to.append(batch.column("_to").slice(0, n).to_numpy(zero_copy_only=False).astype(np.int64))
+        seeds = batch.slice(n)
+        if not seeds.num_rows:
+            continue
+        if nodes is None:
+            ends = np.concatenate([*at, *to])
+            nodes, ids = np.unique(ends, return_inverse=True)
+            order = np.argsort(ids[: len(ends) // 2], kind="stable")
+            targets = ids[len(ends) // 2 :][order].tolist()
+            start = np.concatenate([[0], np.cumsum(np.bincount(ids[: len(ends) // 2], minlength=len(nodes)))]).tolist()
+            seen = bytearray(len(nodes))
+        ids = seeds.column("_at").to_numpy()
+        place = np.searchsorted(nodes, ids)
+        there = place < len(nodes)
+        there[there] = nodes[place[there]] == ids[there]
+        columns = [seeds.column(c) for c in names]
+        for i, (node, x, linked) in enumerate(zip(ids.tolist(), place.tolist(), there.tolist())):
+            new = [c[i] for c in columns]
+            if tag != new:
+                if own or lone:
+                    for more in follow():
+                        out.append(more)
+                        held += more.num_rows
+                        if held > 50_000:
+                            yield joined(out)
+                            out, held = [], 0
+                tag, own, lone = new, [], []
+            own.append(x) if linked else lone.append(node)
+    if own or lone:
+        out.extend(follow())
+    if out:
+        yield joined(out)
+
+
+def reached(links: DataFrame, seeds: DataFrame, at: str, to: str, *tags: str, local: int = FOLLOWED) -> DataFrame:
     """The seeds (node and ``tags``) and all nodes that links lead to from ``at`` to ``to``, each under its seed's tags.
 
-    A round takes the links of the nodes newly found; those of nodes with very many links are spread.
+    Up to ``local`` links go to ``WAYS`` tasks, each of which follows them for its share of tags, however long the way.  Beyond that, a round takes
+    the links of the nodes newly found; those of nodes with very many links are spread.
     """
-    step_of = links.select(F.col(at).alias("node"), F.col(to).alias("_to"))
+    step_of, n = cut_and_count(links.select(F.col(at).cast("long").alias("node"), F.col(to).cast("long").alias("_to")), "true")
+    seeds = seeds.select(F.col("node").cast("long").alias("node"), *tags).where("node IS NOT NULL").distinct()
+    if n <= local:
+        ways = WAYS if tags else 1
+        kinds = {f.name: f.dataType for f in seeds.schema}
+        whole = step_of.where("node IS NOT NULL AND _to IS NOT NULL").select(F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("_w"), F.lit(0).alias("_k"), F.col("node").alias("_at"), "_to", *[F.lit(None).cast(kinds[t]).alias(t) for t in tags])
+        way = F.pmod(F.xxhash64(*tags), F.lit(ways)).cast("int") if tags else F.lit(0)
+        begun = seeds.select(way.alias("_w"), F.lit(1).alias("_k"), F.col("node").alias("_at"), F.lit(None).cast("long").alias("_to"), *tags)
+        laid = whole.unionByName(begun).repartitionById(ways, F.col("_w")).sortWithinPartitions("_k", *tags).drop("_w")
+        return cut(laid.mapInArrow(_followed, ", ".join(["node long", *[f"{t} {kinds[t].simpleString()}" for t in tags]])))
     hot = hot_keys(step_of.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node", "n", least=LEAST_HOT)
-    parts = [cut(seeds.select("node", *tags).distinct())]
+    parts = [cut(seeds)]
     while parts[-1].take(1):
         found = parts[0]
         for more in parts[1:]:

@@ -114,6 +114,31 @@ def test_graph(spark):
     assert rows(graph.with_destructor(links, spark.createDataFrame([(2,)], "id int"))) == [(2,), (3,), (4,)]
 
 
+def test_reached_takes_no_round_per_step(spark):
+    chain = [(k + 1, k) for k in range(80)] + [(200 + k, 5) for k in range(40)] + [(301, 300), (302, 301), (300, 302)]
+    links = spark.createDataFrame(chain, "child long, parent long")
+    seeds = spark.createDataFrame([(0, "a"), (40, "a"), (40, "b"), (301, "c"), (999, "d"), (999, "a"), (77, "")], "node long, name string")
+    to = {}
+    for child, parent in chain:
+        to.setdefault(parent, []).append(child)
+
+    def all_under(node):
+        found = [node]
+        for x in found:
+            found += [y for y in to.get(x, ()) if y not in found]
+        return found
+
+    want = sorted({(y, s.name) for s in seeds.collect() for y in all_under(s.node)})
+    spark.sparkContext.setJobGroup("reached", "reached")
+    got = rows(graph.reached(links, seeds, "parent", "child", "name"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("reached"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and jobs < 40
+    short = links.where("child < 10 OR child > 100")
+    assert rows(graph.reached(short, seeds, "parent", "child", "name", local=0)) == rows(graph.reached(short, seeds, "parent", "child", "name"))
+    assert rows(graph.reached(links, seeds.limit(0), "parent", "child", "name")) == rows(graph.reached(links.limit(0), seeds.limit(0), "parent", "child")) == []
+
+
 MEMBERS = "id int, struct_id int, name string, type_string string, type_reference_id int, decl_order int, bit_width int, alignment int, is_function_pointer boolean"
 
 
