@@ -93,7 +93,7 @@ fixture("fx_j16_arguments", "id, type_reference_id", (1, 1), (2, 8), (3, 8), (4,
 fixture("fx_y2_layout", "struct_id, id, member_offset", (1, 0, 0), (1, 1, 0), (1, 2, 0), (2, 3, 0), (2, 4, 4), (2, 5, 4), (3, 6, 8))(
     lambda s: layout.fold_offsets(
         s.createDataFrame([(1, 0, 0, 4, 4, 1, 0), (1, 1, 1, 4, 4, 1, 0), (1, 2, 2, 4, 4, 1, 0), (2, 3, 0, 4, 4, None, 0), (2, 4, 1, 4, 4, 1, 0), (2, 5, 2, 4, 4, 1, 0), (3, 6, 0, 2, 2, None, 8)], "struct_id int, id int, decl_order int, size int, align int, bit_width int, base_size int")
-    )
+    ).select("struct_id", "id", F.col("member_offset").cast("int").alias("member_offset"))
 )
 fixture(
     "fx_f14_default_lists", "name, ignored", ("CMsgBox", True), ("IXMLHttp", True), ("ResourceBag", True), ("SerializationBehaviorX", True), ("CHid", True), ("Value_", True), ("x_tag", True), ("_com_error", True), ("LIST_ENTRY32", True),

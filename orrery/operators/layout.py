@@ -3,7 +3,8 @@
 Sizes depend on sizes: structs contain structs by value.  They are computed level by level, those first whose parts are all known.
 Where that stops, circles are in the way: a part on the same circle as its struct counts four bytes, and the levels go on above with
 the sizes this gives.  Known quirks are kept: a union or enum by value counts four bytes, the size of a struct takes no notice of
-packed bit fields, and members align to four bytes at most.
+packed bit fields, and members align to four bytes at most.  Sizes and offsets are longs: arrays of structs of arrays multiply, and
+soon have more than 2^31 bytes.
 
 Before the levels begin, runs of members whose sizes are known become one *shift* each: by how much a run moves an offset depends on
 nothing but the offset's remainder, so a run of any length is a table of a few numbers, and tables of tasks that share a struct are
@@ -84,7 +85,7 @@ def _sized(parts: DataFrame, sizes: DataFrame) -> DataFrame:
     alt = F.when(F.coalesce("fixed", "_size") == 0, F.col("alt_id"))
     joined = joined.withColumn("_alt", alt).join(sizes.select(F.col("id").alias("_alt"), F.col("size").alias("_alt_size")), "_alt", "left")
     element = F.coalesce("fixed", "_size")
-    counted = F.when(F.col("array") & (element == 0), 1).otherwise(element) * F.col("count")
+    counted = F.when(F.col("array") & (element == 0), 1).otherwise(element).cast("long") * F.col("count")
     shown = F.when(element == 0, F.coalesce("alt_fixed", "_alt_size", F.lit(4))).otherwise(element)
     align = F.coalesce("alignment", F.when(F.col("plain_pointer"), 4).otherwise(_alignment_of_size(shown)))
     return joined.withColumn("size", counted).withColumn("align", F.when(element.isNotNull(), align)).drop("_size", "_alt", "_alt_size")
@@ -95,7 +96,7 @@ def _aligned(at: int, to: int) -> int:
 
 
 _ELEMENT = "fixed int, part_id int, count int, array boolean, align int, alt_fixed int, alt_id int"
-_ITEM = f"struct_id int, g int, o int, i int, shift array<int>, most int, {_ELEMENT}"
+_ITEM = f"struct_id int, g int, o int, i int, shift array<long>, most int, {_ELEMENT}"
 
 
 def _shifts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,11 +168,11 @@ def _settle(alignment: int | None, items: list[dict], size_of: Callable[[int], i
     return (None, needs) if needs else (_aligned(at, most), [])
 
 
-@F.pandas_udf(T.StructType().add("size", T.IntegerType()).add("needs", T.ArrayType(T.IntegerType())))
+@F.pandas_udf(T.StructType().add("size", T.LongType()).add("needs", T.ArrayType(T.IntegerType())))
 def _settled(structs: pd.Series, alignments: pd.Series, items: pd.Series, have: pd.Series) -> pd.DataFrame:
     """Null items (structs that nothing new has come for) give nulls."""
     got = [(None, None) if x is None else _settle(_whole(a), _read(x), dict(h).get) for a, x, h in zip(alignments, items, have)]
-    return pd.DataFrame({"size": pd.Series([g[0] for g in got], dtype="Int32"), "needs": [g[1] for g in got]})
+    return pd.DataFrame({"size": pd.Series([g[0] for g in got], dtype="Int64"), "needs": [g[1] for g in got]})
 
 
 def settle_all(waiting: dict[int, tuple[int | None, list[dict], dict[int, int]]]) -> dict[int, int]:
@@ -223,26 +224,26 @@ def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, base
     """id, size of every type.  ``parts`` are those of :func:`member_parts`, if they are at hand."""
     rows = cut(types.select("id", "base_name", "kind", "alignment").dropDuplicates(["id"]))
     primitive, struct = S.is_sized_primitive(F.col("base_name")), F.coalesce(F.col("kind") == "Struct", F.lit(False))
-    plain = rows.where(primitive | ~struct).select("id", F.when(primitive, S.primitive_size(F.col("base_name"))).otherwise(4).cast("int").alias("size"))
+    plain = rows.where(primitive | ~struct).select("id", F.when(primitive, S.primitive_size(F.col("base_name"))).otherwise(4).cast("long").alias("size"))
     structs = rows.where(~primitive & struct).select("id", "alignment")
     parts = (member_parts(members, references, types) if parts is None else parts).join(structs.select(F.col("id").alias("struct_id")), "struct_id", "left_semi")
     parts = parts.join(plain.select(F.col("id").alias("part_id"), F.col("size").alias("_p")), "part_id", "left").join(plain.select(F.col("id").alias("alt_id"), F.col("size").alias("_a")), "alt_id", "left")
     align = F.coalesce("alignment", F.when(F.col("plain_pointer"), 4))
-    own = parts.select("struct_id", F.lit(1).alias("g"), F.col("decl_order").alias("o"), F.col("id").alias("i"), F.coalesce("fixed", "_p").alias("fixed"), "part_id", "count", "array", align.alias("align"), F.coalesce("alt_fixed", "_a").alias("alt_fixed"), "alt_id")
+    own = parts.select("struct_id", F.lit(1).alias("g"), F.col("decl_order").alias("o"), F.col("id").alias("i"), F.coalesce("fixed", F.col("_p").cast("int")).alias("fixed"), "part_id", "count", "array", align.alias("align"), F.coalesce("alt_fixed", F.col("_a").cast("int")).alias("alt_fixed"), "alt_id")
     heads = bases.where("related_type_id IS NOT NULL").join(rows.select(F.col("id").alias("related_type_id"), type_alignment(F.col("alignment"), F.col("base_name")).alias("align")), "related_type_id")
     heads = heads.join(structs.select(F.col("id").alias("parent_type_id")), "parent_type_id", "left_semi").join(plain.withColumnRenamed("id", "related_type_id"), "related_type_id", "left")
     none = F.lit(None).cast("int")
-    above = heads.select(F.col("parent_type_id").alias("struct_id"), F.lit(0).alias("g"), F.col("ord").alias("o"), F.col("id").alias("i"), F.col("size").alias("fixed"), F.col("related_type_id").alias("part_id"), F.lit(1).alias("count"), F.lit(False).alias("array"), "align", none.alias("alt_fixed"), none.alias("alt_id"))
+    above = heads.select(F.col("parent_type_id").alias("struct_id"), F.lit(0).alias("g"), F.col("ord").alias("o"), F.col("id").alias("i"), F.col("size").cast("int").alias("fixed"), F.col("related_type_id").alias("part_id"), F.lit(1).alias("count"), F.lit(False).alias("array"), "align", none.alias("alt_fixed"), none.alias("alt_id"))
     shown = F.when(F.col("fixed") == 0, F.coalesce("alt_fixed", F.when(F.col("alt_id").isNull(), 4))).otherwise(F.col("fixed"))
     known_align = F.coalesce("align", _alignment_of_size(shown))
     known = F.col("fixed").isNotNull() & (F.col("align").isNotNull() | shown.isNotNull())
-    counted = F.when(F.col("array") & (F.col("fixed") == 0), 1).otherwise(F.col("fixed")) * F.col("count")
+    counted = F.when(F.col("array") & (F.col("fixed") == 0), 1).otherwise(F.col("fixed")).cast("long") * F.col("count")
     elements = above.unionByName(own).select("*", F.when(known, counted).alias("known_size"), F.when(known, known_align).alias("known_align"))
     laid = elements.repartitionByRange("struct_id", "g", "o", "i").sortWithinPartitions("struct_id", "g", "o", "i")
     items = written(laid.mapInPandas(_shifts, _ITEM))
     listed = items.groupBy("struct_id").agg(F.array_sort(F.collect_list(F.struct("g", "o", "i", "shift", "most", *[c.split()[0] for c in _ELEMENT.split(", ")]))).alias("items")).withColumnRenamed("struct_id", "id")
     empty = F.array().cast(dict(listed.dtypes)["items"])
-    state = structs.join(listed, "id", "left").select("id", "alignment", F.coalesce("items", empty).alias("items"), F.create_map().cast("map<int,int>").alias("have"))
+    state = structs.join(listed, "id", "left").select("id", "alignment", F.coalesce("items", empty).alias("items"), F.create_map().cast("map<int,bigint>").alias("have"))
     judged = cut(state.withColumn("r", _settled("id", "alignment", "items", "have")))
     sized = [plain, _done(judged)]
     waiting = judged.where("r.size IS NULL")
@@ -261,12 +262,12 @@ def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, base
         open_ = waiting.select(F.col("id").alias("child"), F.explode("r.needs").alias("parent")).distinct()
         circle = components(open_, local)
         inner = open_.join(circle.select(F.col("node").alias("child"), F.col("component").alias("c")), "child").join(circle.select(F.col("node").alias("parent"), F.col("component").alias("p")), "parent").where("c = p")
-        fours = inner.groupBy(F.col("child").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("parent", F.lit(4)))).alias("new"))
+        fours = inner.groupBy(F.col("child").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("parent").cast("int").alias("parent"), F.lit(4).cast("long").alias("size")))).alias("new"))
         waiting = cut(_taken(waiting, fours))
         if not waiting.where("touched").take(1):
             raise ValueError("structs wait for parts that are not types")
     if left:
-        sized.append(waiting.select("id", "alignment", "items", "have").coalesce(1).mapInPandas(_settle_rest, "id int, size int"))
+        sized.append(waiting.select("id", "alignment", "items", "have").coalesce(1).mapInPandas(_settle_rest, "id int, size long"))
     out = sized[0]
     for more in sized[1:]:
         out = out.unionByName(more)
@@ -285,7 +286,7 @@ def _filled(waiting: DataFrame, slots: DataFrame, new: DataFrame) -> DataFrame:
 
 def _taken(waiting: DataFrame, new: DataFrame) -> DataFrame:
     joined = waiting.join(new, "id", "left")
-    more = F.map_filter(F.coalesce("new", F.create_map().cast("map<int,int>")), lambda k, _: ~F.map_contains_key("have", k))
+    more = F.map_filter(F.coalesce("new", F.create_map().cast("map<int,bigint>")), lambda k, _: ~F.map_contains_key("have", k))
     return joined.select("id", "alignment", "items", F.map_concat("have", more).alias("have"), F.col("new").isNotNull().alias("touched"), F.col("r").alias("old"))
 
 
@@ -294,7 +295,7 @@ def base_sizes(bases: DataFrame, types: DataFrame, sizes: DataFrame) -> DataFram
     rows = bases.where("related_type_id IS NOT NULL").join(types.select(F.col("id").alias("related_type_id"), type_alignment(F.col("alignment"), F.col("base_name")).alias("align")).dropDuplicates(["related_type_id"]), "related_type_id")
     rows = rows.join(sizes.select(F.col("id").alias("related_type_id"), "size"), "related_type_id")
     listed = rows.groupBy(F.col("parent_type_id").alias("struct_id")).agg(F.array_sort(F.collect_list(F.struct("ord", "id", "size", "align"))).alias("b"))
-    return listed.select("struct_id", F.aggregate("b", F.lit(0), lambda s, p: (align_up(s, p["align"]) + p["size"]).cast("int")).alias("base_size"))
+    return listed.select("struct_id", F.aggregate("b", F.lit(0).cast("long"), lambda s, p: align_up(s, p["align"]) + p["size"]).alias("base_size"))
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -327,10 +328,10 @@ def fold_offsets(sized: DataFrame) -> DataFrame:
     A bit field joins the open unit if that has its size and room; anything else closes the unit.  Members stream through sorted, so
     a struct of any length takes a few numbers of memory.
     """
-    plain = [F.coalesce(c, F.lit(d)).cast("int").alias(c) for c, d in (("size", 4), ("align", 4), ("bit_width", -1), ("base_size", 0))]
+    plain = [F.coalesce(c, F.lit(d)).cast(kind).alias(c) for c, d, kind in (("size", 4, "long"), ("align", 4, "int"), ("bit_width", -1, "int"), ("base_size", 0, "long"))]
     laid = sized.select("struct_id", "id", "decl_order", *plain).repartition("struct_id").sortWithinPartitions("struct_id", "decl_order", "id")
     kinds = dict(sized.dtypes)
-    return laid.mapInPandas(_fold, f"struct_id {kinds['struct_id']}, id {kinds['id']}, member_offset int")
+    return laid.mapInPandas(_fold, f"struct_id {kinds['struct_id']}, id {kinds['id']}, member_offset long")
 
 
 def member_offsets(types: DataFrame, members: DataFrame, references: DataFrame, bases: DataFrame, sizes: DataFrame | None = None) -> DataFrame:

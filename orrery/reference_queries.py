@@ -453,12 +453,12 @@ def _built(c: Catalog) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 
 # A customer's struct has 12 bytes (1, to 4 + 4, + 2, to 12); an order's begins with one, then 4 + 4 for the bit fields in its size, which takes no notice of packing, but 4 in its offsets.
-query("rt_type_sizes", "SELECT c_custkey::INT AS id, 12 AS size FROM customer UNION ALL SELECT o_orderkey::INT + 50000000, 12 + 8 + 12 + 36 + 8 + 4 + 4 FROM orders")(lambda c: layout.type_sizes(*_built(c)))
+query("rt_type_sizes", "SELECT c_custkey::INT AS id, 12 AS size FROM customer UNION ALL SELECT o_orderkey::INT + 50000000, 12 + 8 + 12 + 36 + 8 + 4 + 4 FROM orders")(lambda c: layout.type_sizes(*_built(c)).select("id", F.col("size").cast("int").alias("size")))
 query(
     "rt_member_offsets",
     """SELECT c_custkey::INT AS struct_id, name, pos AS member_offset FROM customer, (VALUES ('c', 0), ('i', 4), ('s', 8)) v(name, pos)
 UNION ALL SELECT o_orderkey::INT + 50000000, name, pos FROM orders, (VALUES ('f', 12), ('g', 12), ('one', 16), ('many', 28), ('d', 64), ('p', 72), ('z', 76)) v(name, pos)""",
-)(lambda c: layout.member_offsets(*(b := _built(c))).join(b[1].select("id", "name"), "id").select("struct_id", "name", "member_offset"))
+)(lambda c: layout.member_offsets(*(b := _built(c))).join(b[1].select("id", "name"), "id").select("struct_id", "name", F.col("member_offset").cast("int").alias("member_offset")))
 
 # Layout, texts, pipeline, changes.
 query("y2_member_offsets")(lambda c: layout.member_offsets(c.types, c.members, c.references, c.bases))

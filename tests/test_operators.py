@@ -189,6 +189,26 @@ def test_what_contains_a_circle_takes_its_real_size(spark):
     assert [at[k] for k in (1, 4, 6, 7, 11, 12)] == [12, 8, 24, 28, 12, 44]
 
 
+def test_sizes_of_more_than_two_gigabytes(spark):
+    # Arrays of arrays, a plain array, a base and a circle above them; the last has 100,000^3 times 8 bytes.
+    types = [(k, n, "Struct", None, n) for k, n in enumerate("ABCDEFG", 1)]
+    refs = [(k, n, k, False, True, 100_000) for k, n in enumerate("ABCDEF", 1)] + [(9, "int", None, False, True, 1 << 30)]
+    members = [member(1, "d", "double", 0), member(2, "a", "A", 0, ref=1), member(2, "c", "char", 1), member(3, "b", "B", 0, ref=2), member(3, "i", "int", 1), member(4, "c", "C", 0, ref=3), member(4, "z", "char", 1)]
+    members += [member(5, "n", "int", 0, ref=9), member(5, "i", "int", 1), member(6, "i", "int", 0), member(7, "c", "C", 0), member(7, "g", "G", 1), member(7, "i", "int", 2)]
+    b = 800_000 + 4
+    c = 100_000 * b + 4
+    d = 100_000 * c + 4
+    want = {1: 8, 2: b, 3: c, 4: d, 5: (1 << 32) + 4, 6: d + 4, 7: c + 4 + 4}
+    sizes, at = layouts(spark, types, members, refs, [(6, 4, 0)])
+    assert sizes == want
+    assert [at[k] for k in (2, 4, 6, 8, 9, 11, 12)] == [800_000, c - 4, d - 4, 1 << 32, d, c, 2 * c + 8]
+    t = spark.createDataFrame(types, "id int, base_name string, kind string, alignment int, stored_fully_qualified_name string")
+    m = spark.createDataFrame([(k, *x) for k, x in enumerate(members)], MEMBERS)
+    r = spark.createDataFrame(refs, "id int, type_string string, referenced_type_id int, is_pointer boolean, is_array boolean, array_size int")
+    bases = spark.createDataFrame([(0, 6, 4, 0)], "id int, parent_type_id int, related_type_id int, ord int")
+    assert {x.id: x.size for x in layout.type_sizes(t, m, r, bases, local=0).collect()} == want
+
+
 def test_quirks_of_sizes(spark):
     assert values(spark, S.primitive_size, ["unsigned char", "unsigned __int16", "long long", "double", "DOUBLE", "void"]) == [4, 4, 4, 8, 8, 0]
 
