@@ -1,13 +1,13 @@
 """Best representative of each duplicate group, field by field, by token-level consensus.
 
-Every field of a group is put to the vote.  Equal values are one voter with the sum of their weights.  Values are aligned
+Every field of a group that no rule settles is put to the vote.  Equal values are one voter with the sum of their weights.  Values are aligned
 progressively along one guide tree, the same for groups of any size: voters stand in order of weight, and neighbours are
 aligned two by two, then the results, and so on.  An alignment of two profiles (columns of weighted tokens) is the one with the
 greatest weight of common tokens, by dynamic programming; each column is won by its heaviest token or gap; and the existing value
 with the fewest tokens to edit into that consensus survives (of equals the heavier, then the smaller).  A voter with more than half
 of a group's weight wins every column, so it survives without any alignment.
 
-A rule that names the row a field has to come from is put into weights: the row it ranks first weighs more than all others together.
+A rule that names the row a field has to come from leaves nothing to vote on: such a field (members, a whole source) is that row's.
 Up to ``CHUNK`` neighbours of the tree are aligned in one call; larger groups take several rounds of such calls, with the same tree, so
 ``CHUNK`` makes no difference to the result and no task sees a whole group.
 """
@@ -283,69 +283,62 @@ def ranked(*order: Column) -> Column:
     return -F.max(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(order)], (-F.col("id")).alias("id")))["id"]
 
 
-def type_rows(spark: SparkSession, sf_dir: str, least_rows: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(groups, rows) of all types that have a name and at least ``least_rows`` rows.
+def named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, loaded_at, source, kind, is_vtable, name, group, whole and the number of members of all types that have a name.
 
-    groups: group, rows, first_id, by_members, by_source (the row each field has to come from; by_source is null where no row has a whole
-    definition).  rows: id, group, whole, source, kind, is_vtable, name, members (their number and a digest of names and types), with
-    those of the group.  Rows sharing an id in struct_members are one member; a null loaded_at counts as the earliest.
+    Rows sharing an id in struct_members are one member.
     """
-    parts = table(spark, sf_dir, "struct_members").where("struct_id IS NOT NULL").groupBy("struct_id", "id").agg(F.min(F.xxhash64("name", "type_string", "decl_order")).alias("h"))
-    listed = parts.groupBy(F.col("struct_id").alias("id")).agg(F.count(F.lit(1)).alias("members"), F.bit_xor("h").alias("digest"))
+    listed = table(spark, sf_dir, "struct_members").where("struct_id IS NOT NULL").select("struct_id", "id").distinct().groupBy(F.col("struct_id").alias("id")).agg(F.count(F.lit(1)).alias("members"))
     name = type_name()
     types = table(spark, sf_dir, "types").select("id", "loaded_at", "source", "kind", "is_vtable", name.alias("name"), written_key(name).alias("group"), is_whole(F.col("source")).alias("whole"))
-    rows = written(types.where("group IS NOT NULL").join(listed, "id", "left").withColumn("members", F.coalesce("members", F.lit(0))))
-    by_source = -F.max(F.when(F.col("whole"), F.struct("loaded_at", (-F.col("id")).alias("id"))))["id"]
-    groups = rows.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"), ranked(F.col("members"), F.col("loaded_at")).alias("by_members"), by_source.alias("by_source"))
-    groups = written(groups.where(F.col("rows") >= least_rows))
-    hot = hot_keys(groups, "group", "rows")
-    return groups, join_to_keys(rows, groups, "group", "id", hot)
+    return types.where("group IS NOT NULL").join(listed, "id", "left").withColumn("members", F.coalesce("members", F.lit(0)))
 
 
-def _weight(first: str) -> Column:
-    """1 for the row a rule ranks first, less than all others together could make up for the others."""
-    return F.when(F.col("id") == F.col(first), 1.0).otherwise(0.5 / F.col("rows"))
+def type_groups(rows: DataFrame) -> DataFrame:
+    """group, rows, first_id, by_members, by_source of :func:`named_rows`: the row each of the two fields has to come from; by_source is null where
+    no row has a whole definition.  A null loaded_at counts as the earliest."""
+    by_source = -F.max(F.when(F.col("whole"), F.struct("loaded_at", (-F.col("id")).alias("id"))))["id"]
+    return rows.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("first_id"), ranked(F.col("members"), F.col("loaded_at")).alias("by_members"), by_source.alias("by_source"))
 
 
 def _ballot(field: str, value: Column, weight: Column, rows: DataFrame) -> DataFrame:
     return rows.where(value.isNotNull()).select("group", F.lit(field).alias("field"), value.alias("value"), weight.alias("weight"), "id")
 
 
-def _ranked_ballots(rows: DataFrame) -> DataFrame:
-    members = F.concat_ws(" ", F.col("members").cast("string"), F.hex("digest"))
-    return _ballot("members", members, _weight("by_members"), rows).unionByName(_ballot("source", F.col("source"), _weight("by_source"), rows.where("whole")))
-
-
 def best_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p5_found: first_id, members_from_id, source_from_id of all types with two or more rows: the rows that the consensus on members and
-    source is from."""
-    groups, rows = type_rows(spark, sf_dir, 2)
-    won = consensus(_ranked_ballots(rows)).groupBy("group").agg(*[F.max(F.when(F.col("field") == f, F.col("id"))).alias(f"{f}_from_id") for f in ("members", "source")])
-    return groups.select("group", "first_id").join(won, "group").select("first_id", "members_from_id", "source_from_id")
+    """p5_found: first_id, members_from_id, source_from_id of all types with two or more rows.
+
+    Its rule names the rows, so it is a ranking; the consensus would have nothing to decide.
+    """
+    return type_groups(named_rows(spark, sf_dir)).where("rows >= 2").select("first_id", F.col("by_members").alias("members_from_id"), F.col("by_source").alias("source_from_id"))
 
 
 def type_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per type: first_id, n_rows, name, kind, is_vtable, source_from_id, source, members_from_id, members and member_rows.
 
-    Each field is a value of its group that is closest to the consensus.  For name, kind and is_vtable rows with a whole definition weigh
-    double.  Where no definition is whole, source is the consensus of those that aren't blank, and source_from_id is null.
+    Members and whole sources are from the rows that the rule of p5_found names.  Name, kind and is_vtable are the values of the group that are
+    closest to the consensus; rows with a whole definition weigh double.  Where no definition is whole, source is the consensus of those that
+    aren't blank, and source_from_id is null.
     """
-    groups, rows = type_rows(spark, sf_dir)
-    rows = written(rows)
+    named = written(named_rows(spark, sf_dir))
+    groups = written(type_groups(named))
+    rows = written(join_to_keys(named, groups, "group", "id", hot_keys(groups, "group", "rows")))
     double = F.when(F.col("whole"), 2.0).otherwise(1.0)
-    ballots = _ranked_ballots(rows)
-    for field, value in (("name", F.col("name")), ("kind", F.col("kind")), ("is_vtable", F.col("is_vtable").cast("string"))):
+    ballots = _ballot("name", F.col("name"), double, rows)
+    for field, value in (("kind", F.col("kind")), ("is_vtable", F.col("is_vtable").cast("string"))):
         ballots = ballots.unionByName(_ballot(field, value, double, rows))
     ballots = ballots.unionByName(_ballot("broken", F.when(is_value(F.col("source")), F.col("source")), F.lit(1.0), rows.where("by_source IS NULL")))
     won = consensus(ballots)
     value = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
     fields = won.groupBy("group").agg(
         value("name", "value").alias("name"), value("kind", "value").alias("kind"), value("is_vtable", "value").cast("boolean").alias("is_vtable"),
-        value("source", "id").alias("source_from_id"), F.coalesce(value("source", "value"), value("broken", "value")).alias("source"), value("members", "id").alias("members_from_id"),
+        value("broken", "value").alias("broken"),
     )
+    whole = rows.where("whole AND id = by_source").groupBy("group").agg(F.max("source").alias("whole"))
+    chosen = groups.select("group", "first_id", F.col("rows").alias("n_rows"), F.col("by_source").alias("source_from_id"), F.col("by_members").alias("members_from_id"))
     listed = F.array_sort(F.collect_set(F.struct("decl_order", "id", "name", "type_string")))
     members = table(spark, sf_dir, "struct_members").where("struct_id IS NOT NULL").groupBy(F.col("struct_id").alias("members_from_id")).agg(F.count_distinct("id").alias("members"), listed.alias("member_rows"))
     return (
-        groups.select("group", "first_id", F.col("rows").alias("n_rows")).join(fields, "group").join(members, "members_from_id", "left")
-        .select("first_id", "n_rows", "name", "kind", "is_vtable", "source_from_id", "source", "members_from_id", F.coalesce("members", F.lit(0)).alias("members"), "member_rows")
+        chosen.join(fields, "group").join(whole, "group", "left").join(members, "members_from_id", "left")
+        .select("first_id", "n_rows", "name", "kind", "is_vtable", "source_from_id", F.coalesce("whole", "broken").alias("source"), "members_from_id", F.coalesce("members", F.lit(0)).alias("members"), "member_rows")
     )

@@ -121,3 +121,18 @@ def test_what_rows_have_is_kept(spark, catalog):
     assert (got[1].kind, got[1].is_vtable, got[1].source, got[1].source_from_id, got[1].members) == ("Struct", False, "struct A;", None, 2)
     assert [m.name for m in got[1].member_rows] == ["m2", "m1"]
     assert (got[3].kind, got[3].source, got[3].source_from_id) == ("Class", WHOLE, 4)
+
+
+def test_the_consensus_is_asked_only_where_it_decides(spark, catalog, monkeypatch):
+    types = [{"id": k, "stored_fully_qualified_name": "A::B", "kind": "Struct" if k == 4 else "Class", "source": WHOLE if k > 2 else BROKEN, "loaded_at": day(k)} for k in (1, 2, 3, 4)]
+    types += [{"id": k, "stored_fully_qualified_name": "C", "source": "struct C; // " + t, "loaded_at": day(k)} for k, t in ((5, "a b c"), (6, "a b c d"), (7, "x"))]
+    members = [{"id": k, "struct_id": s} for k, s in enumerate([1, 1, 2, 5])]
+    d = catalog(types=types, struct_members=members)
+    asked, consensus = [], M.consensus
+    monkeypatch.setattr(M, "consensus", lambda votes: asked.append({r.field for r in votes.select("field").distinct().collect()}) or consensus(votes))
+    assert rows(M.best_rows(spark, d)) == [(1, 1, 4), (5, 5, None)] and not asked
+    got = {r.first_id: r for r in M.type_survivors(spark, d).collect()}
+    assert asked == [{"name", "kind", "broken"}]
+    # Rows 3 and 4 weigh double: Class has 4 of 6, although row 4 is the one that source is from.
+    assert (got[1].kind, got[1].source, got[1].source_from_id, got[1].members_from_id, got[1].members) == ("Class", WHOLE, 4, 1, 2)
+    assert got[5].source == "struct C; // a b c" and (got[5].source_from_id, got[5].members_from_id) == (None, 5)
