@@ -15,6 +15,7 @@ the same function; results are the same wherever that happens.
 
 from __future__ import annotations
 
+import marshal
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from math import lcm
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.functions import strings as S
+from orrery.operators import graph
 from orrery.operators.graph import components, tarjan
 from orrery.plans.shared import cut, hot_keys, join_to_keys, written
 
-#: Open parts that one task settles by itself.
-LOCAL = 1 << 18
+#: Open parts that one task settles by itself, packed; beyond it, each level takes a round that writes all that waits anew.
+LOCAL = 1 << 21
 #: Remainders a shift tells apart at most; what aligns to more stands by itself.
 REMAINDERS = 64
 
@@ -96,6 +98,7 @@ def _aligned(at: int, to: int) -> int:
 
 
 _ELEMENT = "fixed int, part_id int, count int, array boolean, align int, alt_fixed int, alt_id int"
+_OPEN = ("fixed", "part_id", "count", "align", "alt_fixed", "alt_id")
 _ITEM = f"struct_id int, g int, o int, i int, shift array<long>, most int, {_ELEMENT}"
 
 
@@ -175,37 +178,47 @@ def _settled(structs: pd.Series, alignments: pd.Series, items: pd.Series, have:
     return pd.DataFrame({"size": pd.Series([g[0] for g in got], dtype="Int64"), "needs": [g[1] for g in got]})
 
 
-def settle_all(waiting: dict[int, tuple[int | None, list[dict], dict[int, int]]]) -> dict[int, int]:
-    """Sizes of structs (alignment, items, sizes of parts known before) in one go: levels, then circles, then levels again."""
+def _packed(alignment: int | None, items, have) -> bytes:
+    """What :func:`_settle` needs of a struct, in few bytes: millions of items have to fit a task."""
+    items = [([int(x) for x in e["shift"]], int(e["most"])) if e["shift"] is not None else (*(_whole(e[c]) for c in _OPEN), bool(e["array"])) for e in items]
+    return marshal.dumps((alignment, items, [(int(k), int(v)) for k, v in have]))
+
+
+def _unpacked(struct: bytes) -> tuple[int | None, list[dict], dict[int, int]]:
+    alignment, items, have = marshal.loads(struct)
+    return alignment, [{"shift": e[0], "most": e[1]} if len(e) == 2 else {"shift": None, **dict(zip(_OPEN, e)), "array": e[-1]} for e in items], dict(have)
+
+
+def settle_all(waiting: dict[int, bytes]) -> dict[int, int]:
+    """Sizes of packed structs (alignment, items, sizes of parts known before) in one go: levels, then circles, then levels again."""
     sizes: dict[int, int] = {}
-    users: dict[int, set[int]] = defaultdict(set)
-    needs: dict[int, set[int]] = {}
+    users: dict[int, list[int]] = defaultdict(list)
+    needs: dict[int, tuple[int, ...]] = {}
+    fours: dict[int, list[int]] = {}
     todo = sorted(waiting)
     while True:
         while todo:
             one = todo.pop()
             if one not in waiting:
                 continue
-            alignment, items, have = waiting[one]
+            alignment, items, have = _unpacked(waiting[one])
+            have.update(dict.fromkeys(fours.get(one, ()), 4))
             size, open_ = _settle(alignment, items, lambda p: have[p] if p in have else sizes.get(p))
-            needs[one] = set(open_)
             if size is None:
-                for p in open_:
-                    users[p].add(one)
+                needs[one] = tuple(set(open_))
+                for p in needs[one]:
+                    users[p].append(one)
                 continue
             sizes[one] = size
-            del waiting[one], needs[one]
-            for user in users.pop(one, ()):
-                if user in needs:
-                    needs[user].discard(one)
-                    if not needs[user]:
-                        todo.append(user)
+            del waiting[one]
+            needs.pop(one, None)
+            todo += [user for user in users.pop(one, ()) if user in waiting and all(p in sizes for p in needs[user])]
         if not waiting:
             return sizes
-        circle = tarjan((s, p) for s, parts in needs.items() for p in parts)
+        circle = tarjan((s, p) for s, parts in needs.items() for p in parts if p in needs)
         for s, parts in needs.items():
             if inner := [p for p in parts if s in circle and circle[s] == circle.get(p)]:
-                waiting[s][2].update(dict.fromkeys(inner, 4))
+                fours[s] = fours.get(s, []) + inner
                 todo.append(s)
         if not todo:
             raise ValueError("structs wait for parts that are not types")
@@ -215,7 +228,7 @@ def _settle_rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     waiting = {}
     for rows in batches:
         for one, alignment, items, have in zip(rows["id"], rows["alignment"], rows["items"], rows["have"]):
-            waiting[int(one)] = (_whole(alignment), _read(items), dict(have))
+            waiting[int(one)] = _packed(_whole(alignment), items, dict(have).items())
     sizes = settle_all(waiting)
     yield pd.DataFrame({"id": list(sizes), "size": list(sizes.values())})
 
@@ -260,7 +273,7 @@ def type_sizes(types: DataFrame, members: DataFrame, references: DataFrame, base
             continue
         # All that is left lies on a circle or above one.  Without the links inside circles, no circle is left.
         open_ = waiting.select(F.col("id").alias("child"), F.explode("r.needs").alias("parent")).distinct()
-        circle = components(open_, local)
+        circle = components(open_, min(local, graph.LOCAL))
         inner = open_.join(circle.select(F.col("node").alias("child"), F.col("component").alias("c")), "child").join(circle.select(F.col("node").alias("parent"), F.col("component").alias("p")), "parent").where("c = p")
         fours = inner.groupBy(F.col("child").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("parent").cast("int").alias("parent"), F.lit(4).cast("long").alias("size")))).alias("new"))
         waiting = cut(_taken(waiting, fours))

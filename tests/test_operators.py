@@ -209,6 +209,20 @@ def test_sizes_of_more_than_two_gigabytes(spark):
     assert {x.id: x.size for x in layout.type_sizes(t, m, r, bases, local=0).collect()} == want
 
 
+def test_sizes_take_no_round_per_level(spark, monkeypatch):
+    # 1,400 towers of 200 structs, one upon the other with an int on top of each: more than 2^18 parts wait, one of each tower for the one below.
+    t = spark.range(280_000).selectExpr("cast(id AS int) AS id", "concat('T', id) AS base_name", "'Struct' AS kind", "cast(null AS int) AS alignment", "concat('T', id) AS stored_fully_qualified_name")
+    below = spark.range(280_000).where("id % 200 > 0").selectExpr("cast(id AS int) AS id", "cast(id AS int) AS struct_id", "'b' AS name", "concat('T', id - 1) AS type_string", "cast(null AS int) AS type_reference_id", "0 AS decl_order")
+    top = spark.range(280_000).selectExpr("cast(id + 300000 AS int) AS id", "cast(id AS int) AS struct_id", "'i' AS name", "'int' AS type_string", "cast(null AS int) AS type_reference_id", "1 AS decl_order")
+    m = below.unionByName(top).selectExpr("*", "cast(null AS int) AS bit_width", "cast(null AS int) AS alignment", "false AS is_function_pointer")
+    r = spark.createDataFrame([], "id int, type_string string, referenced_type_id int, is_pointer boolean, is_array boolean, array_size int")
+    bases = spark.createDataFrame([], "id int, parent_type_id int, related_type_id int, ord int")
+    levels, filled = [], layout._filled
+    monkeypatch.setattr(layout, "_filled", lambda *a: levels.append(1) or filled(*a))
+    assert layout.type_sizes(t, m, r, bases).where("size <> 4 * (id % 200 + 1)").count() == 0
+    assert len(levels) == 1
+
+
 def test_quirks_of_sizes(spark):
     assert values(spark, S.primitive_size, ["unsigned char", "unsigned __int16", "long long", "double", "DOUBLE", "void"]) == [4, 4, 4, 8, 8, 0]
 
